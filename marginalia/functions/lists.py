@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from marginalia.functions.text import strip
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` refers to it.
+
+    Without it every reference repeats the whole expression in the plan.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def empty_list() -> Column:
     return F.array().cast("array<string>")
 
@@ -19,14 +29,16 @@ def clean_list(values: Column) -> Column:
 
 def variant_list(value: Column) -> Column:
     """A front-matter value as a list: text → one element, list → elements, else empty."""
-    kind = F.schema_of_variant(value)
-    one = F.try_variant_get(value, "$", "string")
-    many = F.try_variant_get(value, "$", "array<string>")
-    return (
-        F.when(kind == "STRING", clean_list(F.array(one)))
-        .when(F.startswith(kind, F.lit("ARRAY")), clean_list(many))
-        .otherwise(empty_list())
-    )
+
+    def read(v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        return (
+            F.when(kind == "STRING", clean_list(F.array(F.try_variant_get(v, "$", "string"))))
+            .when(F.startswith(kind, F.lit("ARRAY")), clean_list(F.try_variant_get(v, "$", "array<string>")))
+            .otherwise(empty_list())
+        )
+
+    return let(value, read)
 
 
 def valid_tags(suggested: Column, vocabulary: Column) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from marginalia.functions.lists import empty_list
+from marginalia import schemas
+from marginalia.functions.lists import empty_list, let
 from marginalia.functions.text import strip
 
 # Name of the tool block, and what stands in for unreadable takeaways.
@@ -27,41 +28,87 @@ def _kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def is_text_list(value: Column) -> Column:
-    """True when a variant is a list that holds only strings."""
-    items = F.try_variant_get(value, "$", "array<string>")
-    return _kind(value).isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(items, F.isnull)
+def _text(value: Column) -> Column:
+    """A variant as text if it is a string, else null."""
+    return F.when(_kind(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
 def _text_list(value: Column) -> Column:
-    return F.when(is_text_list(value), F.try_variant_get(value, "$", "array<string>"))
+    """A variant as a list if all its elements are strings, else null."""
+    return let(
+        F.try_variant_get(value, "$", "array<string>"),
+        lambda items: F.when(
+            _kind(value).isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(items, F.isnull), items
+        ),
+    )
+
+
+def _json_list(body: Column, broken: Column) -> Column:
+    return let(
+        strict_json(body), lambda parsed: F.when(parsed.isNull(), broken).otherwise(_text_list(parsed))
+    )
+
+
+def _bullets(body: Column) -> Column:
+    lines = F.filter(F.split(body, "\n"), lambda line: ~strip(line).isin("", "-"))
+    return let(
+        F.transform(lines, lambda line: strip(F.trim(line, F.lit("- ")))),
+        lambda items: F.when(F.size(items) > 0, items).otherwise(F.array(F.lit(NO_TAKEAWAYS))),
+    )
 
 
 def repair_takeaways(text: Column) -> Column:
     """Takeaways given as one text. Null means a JSON list with elements that are no text."""
-    body = strip(text)
-    parsed = strict_json(body)
-    lines = F.filter(F.split(body, "\n"), lambda line: ~strip(line).isin("", "-"))
-    items = F.transform(lines, lambda line: strip(F.trim(line, F.lit("- "))))
-    return (
-        F.when(
-            F.startswith(body, F.lit("[")),
-            F.when(parsed.isNull(), F.array(body)).otherwise(_text_list(parsed)),
-        )
-        .when(F.size(items) > 0, items)
-        .otherwise(F.array(F.lit(NO_TAKEAWAYS)))
+    return let(
+        strip(text),
+        lambda body: F.when(
+            F.startswith(body, F.lit("[")), _json_list(body, broken=F.array(body))
+        ).otherwise(_bullets(body)),
     )
 
 
 def repair_tags(text: Column) -> Column:
     """Tags given as one text: JSON list or comma-separated; broken JSON gives none."""
-    body = strip(text)
-    parsed = strict_json(body)
-    parts = F.filter(F.transform(F.split(body, ","), strip), lambda t: t != "")
-    return F.when(
-        F.startswith(body, F.lit("[")),
-        F.when(parsed.isNull(), empty_list()).otherwise(_text_list(parsed)),
-    ).otherwise(parts)
+    return let(
+        strip(text),
+        lambda body: F.when(
+            F.startswith(body, F.lit("[")), _json_list(body, broken=empty_list())
+        ).otherwise(F.filter(F.transform(F.split(body, ","), strip), lambda t: t != "")),
+    )
+
+
+def _read_fields(data: Column) -> Column:
+    def entry(name: str) -> Column:
+        return F.try_variant_get(data, f"$.{name}", "variant")
+
+    return F.struct(
+        let(entry("summary"), _text).alias("summary"),
+        let(
+            entry("key_takeaways"),
+            lambda v: F.when(_kind(v) == "STRING", repair_takeaways(_text(v))).otherwise(_text_list(v)),
+        ).alias("key_takeaways"),
+        let(
+            entry("tags"),
+            lambda v: F.when(_kind(v) == "STRING", repair_tags(_text(v)))
+            .when(v.isNull(), empty_list())
+            .otherwise(_text_list(v)),
+        ).alias("tags"),
+        let(entry("content_type"), _text).alias("content_type"),
+        let(entry("description"), _text).alias("description"),
+    )
+
+
+def _judge(raw: Column, data: Column, fields: Column) -> Column:
+    """Every field must be there; the first thing that is wrong is the error."""
+    absent = F.concat_ws(", ", *(F.when(fields[n].isNull(), F.lit(n)) for n in schemas.ANALYSIS.names))
+    error = (
+        F.when(raw.isNull(), F.lit(f"No {TOOL_NAME} tool use in response"))
+        .when(data.isNull(), F.concat(F.lit("Tool input is not valid JSON: "), F.coalesce(_text(raw), F.lit(""))))
+        .when(absent != "", F.concat(F.lit("Missing or invalid fields: "), absent))
+    )
+    return let(
+        error, lambda e: F.struct(F.when(e.isNull(), fields).alias("analysis"), e.alias("error"))
+    )
 
 
 def parse_reply(message: Column) -> Column:
@@ -72,50 +119,10 @@ def parse_reply(message: Column) -> Column:
         lambda b: (F.try_variant_get(b, "$.type", "string") == "tool_use")
         & (F.try_variant_get(b, "$.name", "string") == TOOL_NAME),
     )
-    block = F.try_element_at(chosen, F.lit(1))
-    raw = F.try_variant_get(block, "$.input", "variant")
-    raw_text = F.when(_kind(raw) == "STRING", F.try_variant_get(raw, "$", "string"))
-    data = F.when(raw_text.isNotNull(), strict_json(raw_text)).otherwise(raw)
-
-    def field(name: str) -> Column:
-        return F.try_variant_get(data, f"$.{name}", "variant")
+    tool_input = F.try_variant_get(F.try_element_at(chosen, F.lit(1)), "$.input", "variant")
 
-    def text_field(name: str) -> Column:
-        return F.when(_kind(field(name)) == "STRING", F.try_variant_get(field(name), "$", "string"))
+    def judged(raw: Column) -> Column:
+        read = F.when(_kind(raw) == "STRING", strict_json(_text(raw))).otherwise(raw)
+        return let(read, lambda data: let(_read_fields(data), lambda f: _judge(raw, data, f)))
 
-    takeaways = F.when(
-        _kind(field("key_takeaways")) == "STRING", repair_takeaways(text_field("key_takeaways"))
-    ).otherwise(_text_list(field("key_takeaways")))
-    tags = (
-        F.when(_kind(field("tags")) == "STRING", repair_tags(text_field("tags")))
-        .when(field("tags").isNull(), empty_list())
-        .otherwise(_text_list(field("tags")))
-    )
-    summary, kind, description = (
-        text_field("summary"), text_field("content_type"), text_field("description"),
-    )
-
-    def missing(name: str, value: Column) -> Column:
-        return F.when(value.isNull(), F.lit(name))
-
-    bad = F.concat_ws(
-        ", ",
-        missing("summary", summary),
-        missing("key_takeaways", takeaways),
-        missing("tags", tags),
-        missing("content_type", kind),
-        missing("description", description),
-    )
-    error = (
-        F.when(block.isNull(), F.lit(f"No {TOOL_NAME} tool use in response"))
-        .when(data.isNull(), F.concat(F.lit("Tool input is not valid JSON: "), F.coalesce(raw_text, F.lit(""))))
-        .when(bad != "", F.concat(F.lit("Missing or invalid fields: "), bad))
-    )
-    analysis = F.struct(
-        summary.alias("summary"),
-        takeaways.alias("key_takeaways"),
-        tags.alias("tags"),
-        kind.alias("content_type"),
-        description.alias("description"),
-    )
-    return F.struct(F.when(error.isNull(), analysis).alias("analysis"), error.alias("error"))
+    return let(tool_input, judged)

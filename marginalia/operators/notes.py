@@ -79,12 +79,18 @@ def collisions(incoming: DataFrame) -> DataFrame:
 def move(notes: DataFrame, processed: DataFrame, inbox_folder: str, notes_folder: str) -> DataFrame:
     """Notes with the processed inbox keys in the notes folder, under the name they had.
 
-    A moved note replaces one of the same name that is already there.
+    A moved note replaces one of the same name that is already there. The table is read once.
     """
-    done = processed.select("filename").distinct().withColumn("folder", F.lit(inbox_folder))
-    moved = notes.join(done, KEY, "left_semi").withColumn("folder", F.lit(notes_folder))
-    rest = notes.join(done, KEY, "left_anti")
-    return rest.join(moved.select(*KEY), KEY, "left_anti").unionByName(moved)
+    done = processed.select(
+        F.lit(inbox_folder).alias("folder"), "filename", F.lit(True).alias("_moved")
+    ).distinct()
+    placed = notes.join(done, KEY, "left").withColumns(
+        {
+            "_moved": F.coalesce("_moved", F.lit(False)),
+            "folder": F.when(F.col("_moved"), F.lit(notes_folder)).otherwise(F.col("folder")),
+        }
+    )
+    return last_per_key(placed, KEY, F.col("_moved").desc()).drop("_moved")
 
 
 def asset_manifest(files: DataFrame, folder: str) -> DataFrame:

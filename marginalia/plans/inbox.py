@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from marginalia.functions import lists, text, urls
 from marginalia.operators import enrich, merge, notes, report, scoring
 from marginalia.operators.scoring import Scorer
-from marginalia.plans.runs import RunResult, StateFolder, materialise, run_time, write_run_report
+from marginalia.plans.runs import RunResult, StateFolder, materialise, run_time, write_part, write_run_report
 from marginalia.settings import JobSettings
 from marginalia.sources import state, vault
 
@@ -103,8 +103,8 @@ def commit(
     state.append_increment(result.notes, folder.path("notes"), ["folder"])
     kept = scored.filter("error IS NULL AND is_pdf").select(F.col("original_path").alias("path"))
     assets = notes.asset_manifest(pdf_files.join(kept, "path", "left_semi"), settings.assets_folder)
-    state.append_increment(assets, folder.path("assets"))
-    state.append_increment(result.dead_letters, folder.path("dead_letters_inbox"))
+    write_part(assets, folder, "assets", run_id)
+    write_part(result.dead_letters, folder, "dead_letters_inbox", run_id)
     write_run_report(result.report, folder, run_id, now)
     return result
 
@@ -129,6 +129,6 @@ def run(
     scored = scoring.score(items, scorer, system_prompt)
     if not write:
         return outcome(scored, vocabulary(taxonomy), now, settings)
-    fixed = materialise(scored, folder.path(f"scored_inbox/run={run_id}"))
-    state.append_increment(quarantined, folder.path("quarantine"))
+    fixed = materialise(scored, folder.path(f"scored_inbox/run_id={run_id}"))
+    write_part(quarantined, folder, "quarantine", run_id)
     return commit(fixed, pdf_files, vocabulary(taxonomy), folder, now, run_id, settings)

@@ -8,7 +8,7 @@ from marginalia.functions import text
 from marginalia.operators import incremental, notes, report, scoring
 from marginalia.operators.scoring import Scorer
 from marginalia.plans.runs import (
-    RunResult, StateFolder, materialise, run_time, write_global_run, write_run_report,
+    RunResult, StateFolder, materialise, run_time, write_global_run, write_part, write_run_report,
 )
 from marginalia.settings import JobSettings
 from marginalia.sources import messages as mail, state
@@ -62,7 +62,7 @@ def commit(scored: DataFrame, folder: StateFolder, now: str, run_id: str, settin
     ok = scored.filter("error IS NULL")
     labels = notes.label_messages(folder.labels(spark), ok, settings.newsletter_label)
     state.append_increment(labels, folder.path("message_labels"))
-    state.append_increment(result.dead_letters, folder.path("dead_letters"))
+    write_part(result.dead_letters, folder, "dead_letters", run_id)
     marks = incremental.new_marks(scored, F.col("error").isNull())
     advanced = incremental.advance_marks(folder.sync_state(spark), marks)
     state.write_snapshot(advanced, folder.path("sync_state"))
@@ -101,5 +101,5 @@ def run(
     whole = scored.unionByName(unreadable, allowMissingColumns=True)
     if not write:
         return outcome(whole, now, settings, "newsletters")
-    fixed = materialise(whole, folder.path(f"scored/run={run_id}"))
+    fixed = materialise(whole, folder.path(f"scored/run_id={run_id}"))
     return commit(fixed, folder, now, run_id, settings)

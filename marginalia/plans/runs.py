@@ -54,9 +54,13 @@ def run_time(now: str) -> F.Column:
     return F.lit(now).cast("timestamp")
 
 
+def write_part(df: DataFrame, folder: StateFolder, table: str, run_id: str) -> None:
+    """Rows of one run in a folder of their own: a repeated run replaces what it wrote."""
+    df.write.mode("overwrite").parquet(folder.path(f"{table}/run_id={run_id}"))
+
+
 def write_run_report(report: DataFrame, folder: StateFolder, run_id: str, now: str) -> None:
-    stamped = report.select(F.lit(run_id).alias("run_id"), run_time(now).alias("run_ts"), "*")
-    state.append_increment(stamped, folder.path("run_report"))
+    write_part(report.withColumn("run_ts", run_time(now)), folder, "run_report", run_id)
 
 
 def write_global_run(spark: SparkSession, folder: StateFolder, now: str) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marginalia import schemas
@@ -9,14 +11,18 @@ from marginalia.operators import batches
 from marginalia.plans import inbox, newsletter
 from marginalia.plans.runs import StateFolder, materialise, run_time
 from marginalia.settings import JobSettings
-from marginalia.sources import state
+from marginalia.sources import state, vault
 
 ITEM = ["batch_id", "custom_id"]
+# A batch id names a folder; starting with a letter it is never read back as a number.
+BATCH_ID = r"[A-Za-z][A-Za-z0-9_-]{0,63}"
 
 
 def pending_items(spark: SparkSession, folder: StateFolder, pipeline: str) -> DataFrame | None:
-    """Items of live batches. They are stored per batch and never rewritten."""
-    return state.read_increments(spark, folder.path(f"pending_items/{pipeline}"))
+    """Items of all submitted batches, partitioned by batch: joined to the live batches,
+    only their folders are read. None before the first submit."""
+    path = folder.path(f"pending_items/{pipeline}")
+    return spark.read.parquet(path) if vault.path_exists(spark, path) else None
 
 
 def submit(
@@ -29,6 +35,8 @@ def submit(
     if the job dies before, nothing waits for a result that will not come.
     """
     spark = items.sparkSession
+    if not re.fullmatch(BATCH_ID, batch_id):
+        raise ValueError(f"batch id {batch_id!r} must match {BATCH_ID}")
     waiting = pending_items(spark, folder, pipeline)
     live = batches.live(folder.pending_batches(spark), run_time(now))
     fresh = items
@@ -36,7 +44,9 @@ def submit(
         fresh = batches.without_pending(items, waiting.join(live.select("batch_id"), "batch_id", "left_semi"))
     built = batches.build_requests(fresh, F.col("hint")).withColumn("batch_id", F.lit(batch_id))
     fixed = materialise(built, folder.path(f"requests/batch={batch_id}"))
-    state.append_increment(fixed.drop("prompt"), folder.path(f"pending_items/{pipeline}"))
+    fixed.drop("prompt", "batch_id").write.mode("overwrite").parquet(
+        folder.path(f"pending_items/{pipeline}/batch_id={batch_id}")
+    )
     new = spark.range(1).select(
         *batches.pending_batch(F.lit(batch_id), F.lit(pipeline), run_time(now), settings.result_ttl_days)
     )
@@ -82,7 +92,7 @@ def resume(
             continue
         mine = live.filter(F.col("pipeline") == pipeline)
         status = materialise(
-            batches.batch_status(mine, waiting, results), folder.path(f"status/{pipeline}/run={run_id}")
+            batches.batch_status(mine, waiting, results), folder.path(f"status/{pipeline}/run_id={run_id}")
         )
         states.append(status)
         ready = status.filter("state = 'complete'").select("batch_id")
@@ -90,7 +100,7 @@ def resume(
         outcomes = batches.reconcile(items, batches.classify_results(results.join(ready, "batch_id", "left_semi")))
         if status.filter("state = 'complete'").isEmpty():
             continue
-        fixed = materialise(outcomes, folder.path(f"reconciled/{pipeline}/run={run_id}"))
+        fixed = materialise(outcomes, folder.path(f"reconciled/{pipeline}/run_id={run_id}"))
         if pipeline == "newsletters":
             newsletter.commit(fixed, folder, now, run_id, settings)
         else:

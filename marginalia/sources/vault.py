@@ -9,14 +9,14 @@ from marginalia.functions import frontmatter, lists
 DONE = ("classified", "processed")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
 def read_notes(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text) of the `.md` files directly in a folder; no folder gives no rows."""
-    if not _exists(spark, folder):
+    if not path_exists(spark, folder):
         return spark.createDataFrame([], "path string, text string")
     files = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
@@ -24,7 +24,7 @@ def read_notes(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_pdfs(spark: SparkSession, folder: str) -> DataFrame:
     """binaryFile rows of the `.pdf` files; `content` is read only where it is selected."""
-    if not _exists(spark, folder):
+    if not path_exists(spark, folder):
         return spark.createDataFrame(
             [], "path string, modificationTime timestamp, length bigint, content binary"
         )

@@ -80,8 +80,7 @@ def batch_reconcile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def reconciled(spark: SparkSession, folder: str) -> DataFrame:
-    found = batches.classify_results(inputs.results(spark, folder))
-    return batches.reconcile(inputs.pending_items(spark, folder), found)
+    return batches.reconcile(inputs.pending_items(spark, folder), inputs.results(spark, folder))
 
 
 def _clock(spark: SparkSession, folder: str) -> F.Column:
@@ -196,8 +195,8 @@ def run_report(spark: SparkSession, folder: str) -> DataFrame:
 )
 def run_errors(spark: SparkSession, folder: str) -> DataFrame:
     """Every error of two runs as a row; nothing is gathered into one list."""
-    letters = report.dead_letters(scored_messages(spark, folder), "score", "newsletters", ["source"])
-    inbox = report.dead_letters(reconciled(spark, folder), "reconcile", "inbox", ["source"])
+    letters = report.dead_letters(scored_messages(spark, folder), F.lit("score"), "newsletters", ["source"])
+    inbox = report.dead_letters(reconciled(spark, folder), F.lit("reconcile"), "inbox", ["source"])
     return letters.unionByName(inbox).select("message")
 
 
@@ -208,7 +207,7 @@ def run_errors(spark: SparkSession, folder: str) -> DataFrame:
 )
 def dead_letters(spark: SparkSession, folder: str) -> DataFrame:
     failed = report.dead_letters(
-        scored_messages(spark, folder), "score", "newsletters", ["message_id", "source", "internal_ts"]
+        scored_messages(spark, folder), F.lit("score"), "newsletters", ["message_id", "source", "internal_ts"]
     )
     return failed.drop("message")
 

@@ -5,17 +5,31 @@ Every role is a projection or aggregate of a whole table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
+from marginalia.functions.dates import expiry
 from marginalia.functions.text import SPACE_CHARS, first_line
 from marginalia.operators.incremental import source_cutoffs
-from marginalia.operators.keyed import small_relation
+from marginalia.operators.keyed import small_relation, spread
 
 SPACES = f"'{SPACE_CHARS}'"
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """One of the given tables; its footer is read once per process, not once per query."""
+    path = f"{folder}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
+
+
+def busy_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    """A table for work that is heavy per row."""
+    return spread(table(spark, folder, name).select(*columns or "*"))
 
 
 def text_of(*parts: str | Column) -> Column:
@@ -38,7 +52,7 @@ messages AS (
   FROM events)"""
 
 
-def messages(spark: SparkSession, folder: str) -> DataFrame:
+def messages(spark: SparkSession, folder: str, busy: bool = False) -> DataFrame:
     user, kind = F.col("user_id"), F.pmod("event_id", F.lit(4))
     address = text_of("user", user, "@example.com")
     sender = (
@@ -47,7 +61,8 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
         .when(kind == 2, address)
         .otherwise(text_of("<", address, ">"))
     )
-    return table(spark, folder, "events").select(
+    events = (busy_table if busy else table)(spark, folder, "events")
+    return events.select(
         "event_id",
         "user_id",
         "value",
@@ -135,7 +150,7 @@ items AS (
 
 
 def items(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return busy_table(spark, folder, "documents").select(
         "doc_id",
         F.col("doc_id").cast("string").alias("item_id"),
         "lang",
@@ -159,8 +174,6 @@ taxonomy AS (
 
 def taxonomy(spark: SparkSession, folder: str) -> DataFrame:
     """(kind, ord, tag, scope): pre-aggregated per source and language in one pass."""
-    from pyspark.sql import Window
-
     pairs = small_relation(table(spark, folder, "documents").groupBy("source", "lang").count())
 
     def tags(kind: str, prefix: str, column: str) -> DataFrame:
@@ -263,8 +276,6 @@ def pending_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def batches(spark: SparkSession, folder: str, now: Column) -> DataFrame:
-    from marginalia.functions.dates import expiry
-
     numbers = table(spark, folder, "documents").select(batch_number().alias("no")).distinct()
     number = F.col("no")
     submitted = now - F.make_dt_interval((number * 7 % 40).cast("int"))

@@ -106,7 +106,7 @@ def message_items(spark: SparkSession, folder: str) -> DataFrame:
     def header(name: str, value: str | F.Column) -> F.Column:
         return F.struct(F.lit(name).alias("name"), (F.lit(value) if isinstance(value, str) else value).alias("value"))
 
-    raw = inputs.messages(spark, folder).select(
+    raw = inputs.messages(spark, folder, busy=True).select(
         "message_id",
         "thread_id",
         "source",
@@ -146,7 +146,7 @@ def mime_bodies(spark: SparkSession, folder: str) -> DataFrame:
         return F.struct(F.lit(kind).alias("mimeType"), F.struct(encoded(column).alias("data")).alias("body"))
 
     pages = inputs.table(spark, folder, "pages").select(F.col("page_id").alias("doc_id"), "html")
-    docs = inputs.table(spark, folder, "documents").select("doc_id", "text").join(pages, "doc_id", "left")
+    docs = inputs.busy_table(spark, folder, "documents", "doc_id", "text").join(pages, "doc_id", "left")
     inner = F.struct(
         F.lit("multipart/alternative").alias("mimeType"),
         F.array(part("text/plain", "text"), part("text/html", "html")).alias("parts"),

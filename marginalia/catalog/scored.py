@@ -11,22 +11,23 @@ from marginalia.catalog.fields import CLEAN_URL
 from marginalia.catalog.inputs import ITEMS, SPACES, text_of
 from marginalia.catalog.registry import query
 from marginalia.functions import html, replies
+from marginalia.functions.text import blank_to_null
 from marginalia.operators import enrich, scoring
 
 
 @query("page_text")
 def page_text(spark: SparkSession, folder: str) -> DataFrame:
-    return inputs.table(spark, folder, "pages").select("page_id", html.page_text(F.col("html")).alias("text"))
+    return inputs.busy_table(spark, folder, "pages").select("page_id", html.page_text(F.col("html")).alias("text"))
 
 
 @query("page_markdown")
 def page_markdown(spark: SparkSession, folder: str) -> DataFrame:
-    return inputs.table(spark, folder, "pages").select("page_id", html.page_markdown(F.col("html")).alias("markdown"))
+    return inputs.busy_table(spark, folder, "pages").select("page_id", html.page_markdown(F.col("html")).alias("markdown"))
 
 
 @query("page_articles")
 def page_articles(spark: SparkSession, folder: str) -> DataFrame:
-    return enrich.articles(inputs.table(spark, folder, "pages"))
+    return enrich.articles(inputs.busy_table(spark, folder, "pages"))
 
 
 # Documents as captured clips of the page with the same number, their address with tracking.
@@ -63,12 +64,12 @@ enriched AS (
 
 def enriched_clips(spark: SparkSession, folder: str) -> DataFrame:
     """Clips enriched with tag-free page text; the page language stands in for an author."""
-    pages = inputs.table(spark, folder, "pages").filter(F.col("html") != "")
+    pages = inputs.busy_table(spark, folder, "pages").filter(F.col("html") != "")
     crawled = pages.select(
         "page_id",
         "url",
         F.regexp_replace("html", "<[^>]*>", "").alias("text"),
-        F.nullif(F.regexp_extract("html", '<html lang="([a-z]*)"', 1), F.lit("")).alias("author"),
+        blank_to_null(F.regexp_extract("html", '<html lang="([a-z]*)"', 1)).alias("author"),
         F.lit(None).cast("string").alias("date"),
     )
     return enrich.keep_longest(clips(spark, folder), enrich.one_per_url(crawled))
@@ -93,7 +94,7 @@ def enrich_keep_longest(spark: SparkSession, folder: str) -> DataFrame:
 @query("enriched_articles")
 def enriched_articles(spark: SparkSession, folder: str) -> DataFrame:
     """The same with text and metadata from the HTML reader."""
-    found = enrich.one_per_url(enrich.articles(inputs.table(spark, folder, "pages")))
+    found = enrich.one_per_url(enrich.articles(inputs.busy_table(spark, folder, "pages")))
     return enrich.keep_longest(clips(spark, folder), found).select(
         "doc_id", "source_url", "content", "web_author", "web_date"
     )

@@ -38,7 +38,7 @@ def note_files(spark: SparkSession, folder: str) -> DataFrame:
         "---\n", title, status, "url: ' https://clip.example/", doc, " '\nsource: ''\ncreated: 2023-05-06\n",
         "tags:\n  - clippings\n  - ", lang, "\nrating: 4\nauthor: Ann\n---\n\n",
     )
-    return inputs.table(spark, folder, "documents").select(
+    return inputs.busy_table(spark, folder, "documents").select(
         text_of("file:/vault/00 Inbox/note ", doc, ".md").alias("path"),
         F.concat(header, F.col("text")).alias("text"),
     )
@@ -63,7 +63,7 @@ note_files AS (
 )
 def parse_notes(spark: SparkSession, folder: str) -> DataFrame:
     parsed = vault.parse_notes(note_files(spark, folder)).filter("error IS NULL")
-    entries = vault.existing_entries(F.col("fm"))
+    entries = vault.existing_entries(F.col("existing"))
     return parsed.select(
         "original_path",
         "filename",
@@ -318,24 +318,24 @@ def render_layouts(spark: SparkSession, folder: str) -> DataFrame:
 @query("render_frontmatter")
 def render_frontmatter(spark: SparkSession, folder: str) -> DataFrame:
     now = inputs.as_of(inputs.message_bounds(spark, folder))
-    block = frontmatter.front_matter_yaml(**notes.newsletter_front_matter(now))
-    return newsletter_items(spark, folder).select("doc_id", block.alias("front_matter"))
+    front = F.struct(*(column.alias(name) for name, column in notes.newsletter_front_matter(now).items()))
+    staged = newsletter_items(spark, folder).select("doc_id", front.alias("front"))
+    return staged.select("doc_id", frontmatter.front_matter_yaml(F.col("front")).alias("front_matter"))
 
 
 @query("render_notes")
 def render_notes(spark: SparkSession, folder: str) -> DataFrame:
     now = inputs.as_of(inputs.message_bounds(spark, folder))
-    note = notes.rendered(notes.newsletter_front_matter(now), F.col("content"))
-    return newsletter_items(spark, folder).select(
-        text.safe_filename(F.col("title")).alias("filename"), note.alias("note")
-    )
+    items = newsletter_items(spark, folder)
+    written = notes.with_text(items, notes.newsletter_front_matter(now), F.col("content"))
+    return written.select(text.safe_filename(F.col("title")).alias("filename"), F.col("rendered").alias("note"))
 
 
 @query("pdf_notes")
 def pdf_notes(spark: SparkSession, folder: str) -> DataFrame:
     """Wrapper notes of pages taken as PDF files, tags checked against the taxonomy."""
     now = inputs.as_of(inputs.message_bounds(spark, folder))
-    pdfs = inputs.table(spark, folder, "pages").select(
+    pdfs = inputs.busy_table(spark, folder, "pages", "page_id").select(
         text_of("file:/vault/00 Inbox/page ", F.col("page_id"), ".pdf").alias("path")
     )
     items = vault.pdf_items(pdfs).withColumns(
@@ -350,8 +350,9 @@ def pdf_notes(spark: SparkSession, folder: str) -> DataFrame:
     )
     known = registry.vocabulary(inputs.taxonomy(spark, folder))
     tagged = merge.resolve_tags(items, known, suggested="analysis.tags")
-    note = notes.rendered(notes.pdf_front_matter(now), F.lit(""), F.col("filename"))
-    return tagged.select(text.safe_filename(F.col("title")).alias("filename"), "status", note.alias("note"))
+    written = notes.with_text(tagged, notes.pdf_front_matter(now), F.lit(""), F.col("filename"))
+    name = text.safe_filename(F.col("title")).alias("filename")
+    return written.select(name, "status", F.col("rendered").alias("note"))
 
 
 INBOX_RESULT = f"""{TAXONOMY}, {CLIPS},

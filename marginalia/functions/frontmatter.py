@@ -75,15 +75,20 @@ def source_url_of(meta: Column) -> Column:
     return source_url(*(string_only(meta, key) for key in URL_KEYS))
 
 
+def _iso(day: date | None) -> str | None:
+    return None if day is None else day.isoformat()
+
+
 def _block(row: dict) -> str:
-    """YAML block of one note, keys in their fixed order."""
+    """YAML block of one note, keys in their fixed order; days are written as text."""
     kind = row["type"]
     data = {"title": row["title"], "source": row["source"], "author": list(row["author"])}
-    for key in ("newsletter", "published", "gmail_url"):
-        if row[key] is not None:
-            data[key] = row[key]
-    for key in ("created", "description", "type", "status"):
-        data[key] = row[key]
+    optional = {
+        "newsletter": row["newsletter"], "published": _iso(row["published"]), "gmail_url": row["gmail_url"],
+    }
+    data |= {key: value for key, value in optional.items() if value is not None}
+    data["created"] = _iso(row["created"])
+    data |= {key: row[key] for key in ("description", "type", "status")}
     if row["rating"] is not None:
         data["rating"] = int(row["rating"])
     year = None if row["year"] is None else int(row["year"])
@@ -97,27 +102,8 @@ def _block(row: dict) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def _render(fields: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+def front_matter_yaml(fields: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+    """Front matter struct → YAML block, fences included."""
     for batch in fields:
         clean = batch.astype(object).where(batch.notna(), None)
         yield pd.Series([_block(row) for row in clean.to_dict("records")], dtype=object)
-
-
-# What the YAML writer reads; dates travel as ISO text.
-YAML_FIELDS = (
-    "title", "source", "author", "newsletter", "published", "gmail_url", "created", "description",
-    "type", "status", "rating", "journal", "doi", "year", "isbn", "tags",
-)
-
-
-def front_matter_yaml(**columns: Column) -> Column:
-    """Front matter block, fences included, from one column per field."""
-    as_text = {"published", "created"}
-    return _render(
-        F.struct(
-            *(
-                (columns[name].cast("string") if name in as_text else columns[name]).alias(name)
-                for name in YAML_FIELDS
-            )
-        )
-    )

@@ -33,7 +33,7 @@ def strip(text: Column) -> Column:
 
 
 def blank_to_null(text: Column) -> Column:
-    return F.nullif(text, F.lit(""))
+    return F.when(text != "", text)
 
 
 def first_truthy(*candidates: Column) -> Column:

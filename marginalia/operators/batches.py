@@ -76,9 +76,13 @@ def last_results(results: DataFrame) -> DataFrame:
     return last_per_key(results, ["batch_id", "custom_id"], F.col("seq").desc())
 
 
-def reconcile(pending_items: DataFrame, classified: DataFrame) -> DataFrame:
-    """Every pending item with its analysis, or with the reason why it has none."""
-    found = last_results(classified).select(
+def reconcile(pending_items: DataFrame, results: DataFrame) -> DataFrame:
+    """Every pending item with its analysis, or with the reason why it has none.
+
+    Replaced results are dropped before the replies are parsed, and the shuffle that
+    finds the last result serves the join too.
+    """
+    found = classify_results(last_results(results)).select(
         "batch_id", "custom_id", "analysis", F.col("error").alias("_error"), F.lit(True).alias("_seen")
     )
     joined = pending_items.join(found, ["batch_id", "custom_id"], "left")

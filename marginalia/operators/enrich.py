@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from marginalia.functions import html, urls
+from marginalia.functions import html, text, urls
 
 
 def articles(pages: DataFrame) -> DataFrame:
@@ -61,8 +61,8 @@ def keep_longest(items: DataFrame, by_url: DataFrame, enabled: bool = True) -> D
             {
                 "source_url": F.coalesce(cleaned, "source_url"),
                 "content": F.when(longer, F.col("_text")).otherwise(F.col("content")),
-                "web_author": F.nullif("_author", F.lit("")),
-                "web_date": F.nullif("_date", F.lit("")),
+                "web_author": text.blank_to_null(F.col("_author")),
+                "web_date": text.blank_to_null(F.col("_date")),
             }
         )
         .drop("_key", "_text", "_author", "_date")

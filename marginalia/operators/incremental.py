@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marginalia.functions import dates, text
-from marginalia.operators.keyed import top_k_per_key
+from marginalia.operators.keyed import small_relation, top_k_per_key
 from marginalia.settings import LOOKBACK_DAYS
 
 
@@ -61,40 +61,49 @@ def sender_address(from_header: Column) -> Column:
     return F.lower(text.strip(F.when(inside != "", inside).otherwise(from_header)))
 
 
-def match_senders(messages: DataFrame, sources: DataFrame, from_header: str = "from_header") -> DataFrame:
-    """Messages × the sources they belong to; a message may match several.
+def _named_lookup(names: DataFrame, named: DataFrame) -> DataFrame:
+    """(display name, source) for every sender name a display name contains.
 
-    Sources without a sender name match on the address. Sources with one match when the
-    display name contains it, in any letter case, and the address is not looked at. The
-    substring test is an equi-join: a display name offers each of its substrings that is
-    as long as some sender name, so no message is compared with every source.
+    The substring test is an equi-join: a display name offers each of its substrings
+    that is as long as some sender name, so no name is compared with every source.
     """
-    plain = sources.filter(F.col("sender_name").isNull()).select(
-        F.col("name").alias("source"), F.lower("email").alias("_address")
-    )
-    by_address = messages.withColumn("_address", sender_address(F.col(from_header))).join(plain, "_address")
-    named = sources.filter(F.col("sender_name").isNotNull()).select(
-        F.col("name").alias("source"), F.lower("sender_name").alias("_piece")
-    )
-    sizes = named.agg(F.collect_set(F.length("_piece"))).scalar()
-    shown = F.lower(text.display_name(F.col(from_header)))
     pieces = F.flatten(
         F.transform(
-            F.filter(F.col("_sizes"), lambda n: n <= F.length("_shown")),
+            F.filter(F.col("_sizes"), lambda n: n <= F.length("key")),
             lambda n: F.transform(
-                F.sequence(F.lit(1), F.length("_shown") - n + 1),
-                lambda at: F.substr(F.col("_shown"), at, n),
+                F.sequence(F.lit(1), F.length("key") - n + 1), lambda at: F.substr("key", at, n)
             ),
         )
     )
-    by_name = (
-        messages.withColumn("_shown", shown)
-        .withColumn("_sizes", sizes)
-        .withColumn("_piece", F.explode(F.array_distinct(pieces)))
-        .drop("_shown", "_sizes")
+    return (
+        names.withColumn("_sizes", named.agg(F.collect_set(F.length("_piece"))).scalar())
+        .select("key", F.explode(F.array_distinct(pieces)).alias("_piece"))
         .join(named, "_piece")
+        .select(F.lit("name").alias("kind"), "key", "source")
+    )
+
+
+def match_senders(messages: DataFrame, sources: DataFrame, from_header: str = "from_header") -> DataFrame:
+    """Messages × the sources they belong to; a message may match several.
+
+    Sources without a sender name match on the address. Sources with one match when the
+    display name contains it, in any letter case, and the address is not looked at.
+    Display names are matched once each, however many messages carry them; the messages
+    are then read once and looked up by address and by display name.
+    """
+    source = F.col("name").alias("source")
+    named = sources.filter(F.col("sender_name").isNotNull()).select(source, F.lower("sender_name").alias("_piece"))
+    by_address = sources.filter(F.col("sender_name").isNull()).select(
+        F.lit("address").alias("kind"), F.lower("email").alias("key"), source
+    )
+    shown = F.lower(text.display_name(F.col(from_header)))
+    names = messages.select(shown.alias("key")).distinct()
+    lookup = by_address.unionByName(small_relation(_named_lookup(names, named)))
+    keys = F.array(
+        F.struct(F.lit("address").alias("kind"), sender_address(F.col(from_header)).alias("key")),
+        F.struct(F.lit("name").alias("kind"), shown.alias("key")),
     )
-    return by_address.drop("_address").unionByName(by_name.drop("_piece"))
+    return messages.select("*", F.inline(keys)).join(lookup, ["kind", "key"]).drop("kind", "key")
 
 
 def newest_per_source(messages: DataFrame, k: int, ts: str = "internal_ts", source: str = "source") -> DataFrame:

@@ -25,6 +25,16 @@ def small_relation(dim: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame:
     return dim.sparkSession.createDataFrame(head, schema=dim.schema)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A file scan with at least one partition per core.
+
+    A table of few row groups gives few tasks, and work that is heavy per row would run
+    on few cores. A scan that has enough partitions, as any large one, is not touched.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def last_per_key(df: DataFrame, keys: list[str], *newest_first: Column) -> DataFrame:
     """One row per key, the newest. Each task keeps one row per key before the shuffle."""
     order = Window.partitionBy(*keys).orderBy(*newest_first)

@@ -49,16 +49,25 @@ def pdf_front_matter(as_of: Column) -> dict[str, Column]:
     }
 
 
-def rendered(front_matter: dict[str, Column], content: Column, pdf_filename: Column | None = None) -> Column:
-    """Whole text of a note whose scorer output is in the struct column ``analysis``."""
-    return render.render_note(
-        render.layout_for(front_matter["type"]),
-        frontmatter.front_matter_yaml(**front_matter),
+def with_text(
+    scored: DataFrame, front_matter: dict[str, Column], content: Column, pdf_filename: Column | None = None
+) -> DataFrame:
+    """Scored items with ``front`` (front matter struct) and ``rendered`` (whole note text).
+
+    Every step is a column of its own, so that the YAML writer runs once per note although
+    each layout contains its result.
+    """
+    staged = scored.withColumn("front", F.struct(*(column.alias(name) for name, column in front_matter.items())))
+    with_yaml = staged.withColumn("_yaml", frontmatter.front_matter_yaml(F.col("front")))
+    note = render.render_note(
+        render.layout_for(F.col("front.type")),
+        F.col("_yaml"),
         F.col("analysis.summary"),
         F.col("analysis.key_takeaways"),
         content,
         pdf_filename,
     )
+    return with_yaml.withColumn("rendered", note).drop("_yaml")
 
 
 def upsert(current: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -31,8 +31,8 @@ def created_per_source(processed: DataFrame, source: str = "source") -> DataFram
     return processed.groupBy(source).agg(F.count_if(F.col("error").isNull()).alias("created"))
 
 
-def dead_letters(processed: DataFrame, stage: str, style: str, keep: list[str]) -> DataFrame:
-    """Failed rows with their reason, kept whole so that they can be replayed."""
+def dead_letters(processed: DataFrame, stage: Column, style: str, keep: list[str]) -> DataFrame:
+    """Failed rows with the step they failed in and the reason, so that they can be replayed."""
     return processed.filter(F.col("error").isNotNull()).select(
-        *keep, F.lit(stage).alias("stage"), F.col("error"), error_text(style).alias("message")
+        *keep, stage.alias("stage"), F.col("error"), error_text(style).alias("message")
     )

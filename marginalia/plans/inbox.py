@@ -8,6 +8,7 @@ from marginalia.functions import lists, text, urls
 from marginalia.operators import enrich, merge, notes, report, scoring
 from marginalia.operators.scoring import Scorer
 from marginalia.plans.runs import RunResult, StateFolder, materialise, run_time, write_part, write_run_report
+from marginalia.schemas import FRONT_MATTER
 from marginalia.settings import JobSettings
 from marginalia.sources import state, vault
 
@@ -36,7 +37,7 @@ def note_rows(scored: DataFrame, vocabulary: Column, now: str, settings: JobSett
     as_of = run_time(now)
     ok = scored.filter("error IS NULL")
     tagged = merge.resolve_tags(ok, vocabulary, suggested="analysis.tags")
-    existing = vault.existing_entries(F.col("fm")) | {"author": F.col("existing_author")}
+    existing = vault.existing_entries(F.col("existing")) | {"author": F.col("existing_author")}
     item = {
         "title": F.col("title"),
         "source_url": F.col("source_url"),
@@ -68,15 +69,14 @@ def _rows(
     tagged: DataFrame, front: dict[str, Column], filename: Column, content: Column,
     pdf_filename: Column | None, settings: JobSettings,
 ) -> DataFrame:
-    return tagged.withColumn("rendered", notes.rendered(front, content, pdf_filename)).select(
+    return notes.with_text(tagged, front, content, pdf_filename).select(
         F.lit(settings.notes_folder).alias("folder"),
         filename.alias("filename"),
-        *(front[name].alias(name) for name in notes.newsletter_front_matter(F.current_date())),
+        *(F.col("front")[name].alias(name) for name in FRONT_MATTER.names),
         F.col("analysis.summary").alias("summary"),
         F.col("analysis.key_takeaways").alias("key_takeaways"),
         content.alias("content"),
         "rendered",
-        F.lit(False).alias("deleted"),
         F.struct(F.lit(None).cast("timestamp").alias("internal_ts"), F.col("item_id")).alias("seq"),
     )
 
@@ -91,7 +91,7 @@ def outcome(scored: DataFrame, vocabulary: Column, now: str, settings: JobSettin
         scored=scored,
         notes=note_rows(scored, vocabulary, now, settings),
         report=report.run_report(scored, "inbox", batch),
-        dead_letters=report.dead_letters(scored, "score", "inbox", ["item_id"]),
+        dead_letters=report.dead_letters(scored, F.col("stage"), "inbox", ["item_id"]),
     )
 
 
@@ -126,7 +126,7 @@ def run(
     from marginalia.sources.registry import vocabulary
 
     items, quarantined = inbox_items(notes_files, pdf_files, pages, settings)
-    scored = scoring.score(items, scorer, system_prompt)
+    scored = scoring.score(items, scorer, system_prompt).withColumn("stage", F.lit("score"))
     if not write:
         return outcome(scored, vocabulary(taxonomy), now, settings)
     fixed = materialise(scored, folder.path(f"scored_inbox/run_id={run_id}"))

@@ -10,6 +10,7 @@ from marginalia.operators.scoring import Scorer
 from marginalia.plans.runs import (
     RunResult, StateFolder, materialise, run_time, write_global_run, write_part, write_run_report,
 )
+from marginalia.schemas import FRONT_MATTER
 from marginalia.settings import JobSettings
 from marginalia.sources import messages as mail, state
 
@@ -38,16 +39,15 @@ def new_items(
 def note_rows(scored: DataFrame, now: str, settings: JobSettings) -> DataFrame:
     """Rows of the notes table for the items that were scored."""
     front = notes.newsletter_front_matter(run_time(now))
-    written = scored.filter("error IS NULL").withColumn("rendered", notes.rendered(front, F.col("content")))
+    written = notes.with_text(scored.filter("error IS NULL"), front, F.col("content"))
     return written.select(
         F.lit(settings.notes_folder).alias("folder"),
         text.safe_filename(F.col("title")).alias("filename"),
-        *(column.alias(name) for name, column in front.items()),
+        *(F.col("front")[name].alias(name) for name in FRONT_MATTER.names),
         F.col("analysis.summary").alias("summary"),
         F.col("analysis.key_takeaways").alias("key_takeaways"),
         "content",
         "rendered",
-        F.lit(False).alias("deleted"),
         # Oldest first: of two notes with one name the newer message is kept.
         F.struct(F.col("internal_ts"), F.col("item_id")).alias("seq"),
     )
@@ -75,9 +75,10 @@ def outcome(scored: DataFrame, now: str, settings: JobSettings, name: str, batch
     return RunResult(
         scored=scored,
         notes=note_rows(scored, now, settings),
-        report=report.run_report(scored, name, batch),
+        # Messages that could not be read are dead letters, but count as never fetched.
+        report=report.run_report(scored.filter("stage <> 'extract'"), name, batch),
         dead_letters=report.dead_letters(
-            scored, "score", "newsletters", ["item_id", "message_id", "source", "internal_ts"]
+            scored, F.col("stage"), "newsletters", ["item_id", "message_id", "source", "internal_ts"]
         ),
     )
 
@@ -98,7 +99,9 @@ def run(
     items = new_items(messages, sources, folder.sync_state(spark), now, settings)
     readable, unreadable = items.filter("error IS NULL").drop("error"), items.filter("error IS NOT NULL")
     scored = scoring.score(readable.withColumn("hint", F.col("newsletter_name")), scorer, system_prompt)
-    whole = scored.unionByName(unreadable, allowMissingColumns=True)
+    whole = scored.withColumn("stage", F.lit("score")).unionByName(
+        unreadable.withColumn("stage", F.lit("extract")), allowMissingColumns=True
+    )
     if not write:
         return outcome(whole, now, settings, "newsletters")
     fixed = materialise(whole, folder.path(f"scored/run_id={run_id}"))

@@ -43,7 +43,7 @@ def submit(
     if waiting is not None:
         fresh = batches.without_pending(items, waiting.join(live.select("batch_id"), "batch_id", "left_semi"))
     built = batches.build_requests(fresh, F.col("hint")).withColumn("batch_id", F.lit(batch_id))
-    fixed = materialise(built, folder.path(f"requests/batch={batch_id}"))
+    fixed = materialise(built.drop("error"), folder.path(f"requests/batch={batch_id}"))
     fixed.drop("prompt", "batch_id").write.mode("overwrite").parquet(
         folder.path(f"pending_items/{pipeline}/batch_id={batch_id}")
     )
@@ -96,8 +96,9 @@ def resume(
         )
         states.append(status)
         ready = status.filter("state = 'complete'").select("batch_id")
-        items = waiting.join(ready, "batch_id", "left_semi").drop("error", "analysis")
-        outcomes = batches.reconcile(items, batches.classify_results(results.join(ready, "batch_id", "left_semi")))
+        items = waiting.join(ready, "batch_id", "left_semi")
+        answers = results.join(ready, "batch_id", "left_semi")
+        outcomes = batches.reconcile(items, answers).withColumn("stage", F.lit("reconcile"))
         if status.filter("state = 'complete'").isEmpty():
             continue
         fixed = materialise(outcomes, folder.path(f"reconciled/{pipeline}/run_id={run_id}"))

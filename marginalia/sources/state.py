@@ -49,12 +49,19 @@ class Versions:
             self._fs.create(self._make(f"{self.folder(version)}/{marker}")).close()
         return version
 
+    def is_full(self, version: int) -> bool:
+        return self._has(version, FULL)
+
     def since_full(self) -> list[int]:
         """The newest version that holds everything, and the increments after it."""
         done = self.complete()
-        full = [version for version in done if self._has(version, FULL)]
+        full = [version for version in done if self.is_full(version)]
         return [version for version in done if not full or version >= full[-1]]
 
+    def read(self, versions: list[int]) -> DataFrame:
+        """Rows of some versions, their version in ``v``."""
+        return self.spark.read.option("basePath", self.path).parquet(*map(self.folder, versions))
+
 
 def read_snapshot(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The current snapshot; no snapshot gives no rows."""
@@ -74,24 +81,31 @@ def append_increment(df: DataFrame, path: str, partition_by: list[str] | None =
     return Versions(df.sparkSession, path).publish(df, partition_by)
 
 
-def read_increments(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame | None:
+def read_increments(spark: SparkSession, path: str) -> DataFrame | None:
     """All rows since the last full version, with their version in ``v``; None if there are none."""
     versions = Versions(spark, path)
     live = versions.since_full()
-    if not live:
-        return None
-    reader = spark.read.option("basePath", versions.path)
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.parquet(*(versions.folder(version) for version in live))
+    return versions.read(live) if live else None
 
 
 def current_notes(spark: SparkSession, path: str) -> DataFrame | None:
-    """The notes table: the last row of every (folder, filename), moved-away ones left out."""
-    rows = read_increments(spark, path)
-    if rows is None:
+    """The notes table: the last row of every (folder, filename).
+
+    A full version holds each name once. Only the increments after it are ranked; the
+    full version itself is read without a sort and loses the names that were rewritten.
+    """
+    versions = Versions(spark, path)
+    live = versions.since_full()
+    if not live:
         return None
-    return last_per_key(rows, KEY, F.col("v").desc(), F.col("seq").desc()).filter(~F.col("deleted")).drop("v")
+    full, later = (live[:1], live[1:]) if versions.is_full(live[0]) else ([], live)
+    if not later:
+        return versions.read(full).drop("v")
+    newest = last_per_key(versions.read(later), KEY, F.col("v").desc(), F.col("seq").desc()).drop("v")
+    if not full:
+        return newest
+    kept = versions.read(full).drop("v").join(newest.select(*KEY), KEY, "left_anti")
+    return kept.unionByName(newest)
 
 
 def compact_notes(spark: SparkSession, path: str) -> int | None:

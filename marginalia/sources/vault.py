@@ -7,6 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from marginalia.functions import frontmatter, lists
 
 DONE = ("classified", "processed")
+TEXT_ENTRIES = (
+    "title", "source", "created", "type", "description", "newsletter", "published", "journal", "doi", "isbn",
+)
+NUMBER_ENTRIES = ("rating", "year")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -19,7 +23,9 @@ def read_notes(spark: SparkSession, folder: str) -> DataFrame:
     if not path_exists(spark, folder):
         return spark.createDataFrame([], "path string, text string")
     files = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    # The metadata column states the path as an encoded URI, in which `+` stands for itself.
+    plain = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    return files.select(plain.alias("path"), F.col("value").alias("text"))
 
 
 def read_pdfs(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,7 +46,7 @@ def file_stem(path: Column) -> Column:
 
 
 def parse_notes(files: DataFrame, path: str = "path", content: str = "text") -> DataFrame:
-    """(path, text) → body, front matter as VARIANT, its entries, ``error`` for bad notes."""
+    """(path, text) → body, front matter entries by type, ``error`` for bad notes."""
     split = frontmatter.split_note(F.col(content))
     header = files.select(F.col(path).alias("original_path"), split.alias("_note"))
     parsed = header.withColumn("_yaml", frontmatter.yaml_to_json(F.col("_note.header")))
@@ -65,19 +71,17 @@ def parse_notes(files: DataFrame, path: str = "path", content: str = "text") ->
         F.coalesce(frontmatter.text_value(fm, "status"), F.lit("inbox")).alias("existing_status"),
         lists.variant_list(F.try_variant_get(fm, "$.tags", "variant")).alias("existing_tags"),
         lists.variant_list(F.try_variant_get(fm, "$.author", "variant")).alias("existing_author"),
-        "fm",
+        F.struct(
+            *(frontmatter.text_value(fm, name).alias(name) for name in TEXT_ENTRIES),
+            *(F.try_variant_get(fm, f"$.{name}", "int").alias(name) for name in NUMBER_ENTRIES),
+        ).alias("existing"),
         F.coalesce("_problem", F.when(bad_title, F.lit("front matter: title is not text"))).alias("error"),
     )
 
 
-def existing_entries(fm: Column) -> dict[str, Column]:
-    """Typed entries of the front matter, null when absent."""
-    entries = {
-        name: frontmatter.text_value(fm, name)
-        for name in ("title", "source", "created", "type", "description", "newsletter",
-                     "published", "journal", "doi", "isbn")
-    }
-    return entries | {name: F.try_variant_get(fm, f"$.{name}", "int") for name in ("rating", "year")}
+def existing_entries(existing: Column) -> dict[str, Column]:
+    """The entries of a note as columns, null when absent."""
+    return {name: existing[name] for name in (*TEXT_ENTRIES, *NUMBER_ENTRIES)}
 
 
 def unprocessed(notes: DataFrame) -> DataFrame:

@@ -255,7 +255,7 @@ def _block(spark, **changes):
     for day in ("created", "published"):
         note[day] = note[day] and dt.date.fromisoformat(note[day])
     df = spark.createDataFrame([note], FIELD_TYPES)
-    return df.select(frontmatter.front_matter_yaml(**{n: F.col(n) for n in df.columns})).first()[0]
+    return df.select(frontmatter.front_matter_yaml(F.struct(*df.columns))).first()[0]
 
 
 def test_front_matter_order_and_omissions(spark):

@@ -115,7 +115,7 @@ def test_last_result_wins_and_missing_results(spark):
         "batch_id string, custom_id string, type string, seq int",
     ).withColumns({"message": F.lit("{}"), "error": F.lit(None).cast("string")})
     pending = spark.createDataFrame([("b", "1"), ("b", "2"), ("b", "3")], "batch_id string, custom_id string")
-    got = batches.reconcile(pending, batches.classify_results(results))
+    got = batches.reconcile(pending, results)
     assert rows(got, "custom_id", "error") == [
         ("1", "No classify_content tool use in response"), ("2", "Request canceled"), ("3", "no result returned by provider"),
     ]

@@ -109,7 +109,10 @@ def test_unreadable_message_is_a_dead_letter(spark, folder):
     result = newsletter.run(
         spark, broken, registered(spark), folder, FixedScorer(), "p", NOW, "r", write=False
     )
-    assert rows(result.dead_letters, "message_id", "error") == [("m9", "unreadable message payload")]
+    assert rows(result.dead_letters, "message_id", "stage", "error") == [
+        ("m9", "extract", "unreadable message payload")
+    ]
+    assert result.report.first()["items_processed"] == 0
 
 
 def note(title="T", extra="", body="Body."):
@@ -121,7 +124,7 @@ def vault_folder(tmp_path):
     box = tmp_path / "00 Inbox"
     (box / "sub").mkdir(parents=True)
     files = {
-        "a plain.md": note("Plain", "tags:\n  - clippings\nrating: 5\ntype: paper\n"),
+        "a plain+1%.md": note("Plain", "tags:\n  - clippings\nrating: 5\ntype: paper\n"),
         "done.md": note("Done", "status: classified\n"),
         "broken.md": "---\ntitle: [x\n---\nbody",
         "stub.md": note(
@@ -162,8 +165,8 @@ def test_inbox_run(spark, folder, vault_folder):
         ("inbox", 4, 3, 0, 1)
     ]
     notes = {r["filename"]: r for r in state.current_notes(spark, folder.path("notes")).collect()}
-    assert sorted(notes) == ["a plain.md", "my.paper.md", "stub.md"]
-    plain, stub, pdf = notes["a plain.md"], notes["stub.md"], notes["my.paper.md"]
+    assert sorted(notes) == ["a plain+1%.md", "my.paper.md", "stub.md"]
+    plain, stub, pdf = notes["a plain+1%.md"], notes["stub.md"], notes["my.paper.md"]
     assert plain["tags"] == ["clippings", "ai/news"] and plain["status"] == "classified"
     assert (plain["type"], plain["rating"], plain["title"]) == ("paper", 5, "Plain")
     assert "Body." not in plain["rendered"] and plain["content"] == "Body."
@@ -211,7 +214,7 @@ def results_for(spark, requests, types, seq=1):
 
 def letters(spark, folder):
     items = newsletter.new_items(mail(spark), registered(spark), folder.sync_state(spark), NOW, JobSettings())
-    return items.drop("error").withColumn("hint", F.col("newsletter_name"))
+    return items.filter("error IS NULL").withColumn("hint", F.col("newsletter_name"))
 
 
 def resume(spark, folder, statuses, results, run_id="z1", now=NOW):
@@ -267,7 +270,7 @@ def test_inbox_in_two_phases(spark, folder, vault_folder):
     requests = twophase.submit(items, folder, "inbox", "box1", NOW)
     resume(spark, folder, [("box1", "ended")], results_for(spark, requests, ["succeeded"] * 4))
     notes = state.current_notes(spark, folder.path("notes"))
-    assert rows(notes, "filename") == [("a plain.md",), ("boom.md",), ("my.paper.md",), ("stub.md",)]
+    assert rows(notes, "filename") == [("a plain+1%.md",), ("boom.md",), ("my.paper.md",), ("stub.md",)]
 
 
 def test_snapshots_ignore_half_written_versions(spark, tmp_path):
@@ -293,6 +296,12 @@ def test_compacted_notes_are_the_same(spark, folder):
     version = state.compact_notes(spark, path)
     assert state.Versions(spark, path).since_full() == [version]
     assert rows(state.current_notes(spark, path), "folder", "filename", "description") == before
+    rewritten = state.current_notes(spark, path).filter("filename = 'Same.md'").withColumn("description", F.lit("again"))
+    state.append_increment(rewritten, path, ["folder"])
+    after = {r["filename"]: r["description"] for r in state.current_notes(spark, path).collect()}
+    assert len(after) == len(before) and after["Same.md"] == "again" and "again" not in {
+        d for name, d in after.items() if name != "Same.md"
+    }
 
 
 def test_stream_equals_batch_and_resumes(spark, tmp_path):

@@ -215,6 +215,21 @@ def label_messages(spark: SparkSession, folder: str) -> DataFrame:
     return notes.label_messages(labelled, written, NEWSLETTER_LABEL)
 
 
+@query(
+    "label_dim",
+    """WITH had AS (SELECT source AS label, 'given-' || source AS label_id FROM documents GROUP BY source),
+    wanted AS (SELECT event_type AS label FROM events UNION SELECT source FROM documents)
+    SELECT label, coalesce(h.label_id, 'label-' || left(sha256(label), 12)) AS label_id
+    FROM wanted LEFT JOIN had h USING (label)""",
+)
+def label_dim(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels of all message kinds and document sources; those of the sources exist already."""
+    kinds = inputs.messages(spark, folder).select(F.col("source").alias("label")).distinct()
+    sources = inputs.table(spark, folder, "documents").select(F.col("source").alias("label")).distinct()
+    had = sources.withColumn("label_id", text_of("given-", F.col("label")))
+    return notes.ensure_labels(had, kinds.unionByName(sources))
+
+
 @query(
     "registry_check",
     """WITH registry AS (

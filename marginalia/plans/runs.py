@@ -23,7 +23,9 @@ class StateFolder:
         return state.read_snapshot(spark, self.path("sync_state"), schemas.SYNC_STATE)
 
     def pending_batches(self, spark: SparkSession) -> DataFrame:
-        return state.read_snapshot(spark, self.path("pending_batches"), schemas.PENDING_BATCH)
+        """Pending batches; entries without an id or an end are left out."""
+        stored = state.read_snapshot(spark, self.path("pending_batches"), schemas.PENDING_BATCH)
+        return stored.filter("batch_id IS NOT NULL AND expires_at IS NOT NULL")
 
     def labels(self, spark: SparkSession) -> DataFrame:
         found = state.read_increments(spark, self.path("message_labels"))

@@ -7,7 +7,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marginalia import schemas
-from marginalia.operators import batches
+from marginalia.functions.replies import TOOL_NAME
+from marginalia.operators import batches, scoring
+from marginalia.operators.scoring import Scorer
 from marginalia.plans import inbox, newsletter
 from marginalia.plans.runs import StateFolder, materialise, run_time
 from marginalia.settings import JobSettings
@@ -55,6 +57,31 @@ def submit(
     return fixed.select(*ITEM, "prompt")
 
 
+def score_requests(
+    spark: SparkSession, folder: StateFolder, batch_id: str, scorer: Scorer, system_prompt: str
+) -> DataFrame:
+    """Results of one submitted batch from a scorer that runs on the executors.
+
+    Stands in for a remote service: it reads the stored requests and writes one result
+    row per request, in the form ``resume`` expects.
+    """
+    requests = spark.read.parquet(folder.path(f"requests/batch={batch_id}"))
+    scored = scoring.score(requests, scorer, system_prompt)
+    block = F.struct(
+        F.lit("tool_use").alias("type"), F.lit(TOOL_NAME).alias("name"), F.col("analysis").alias("input")
+    )
+    failed = F.col("error").isNotNull()
+    rows = scored.select(
+        F.lit(batch_id).alias("batch_id"),
+        "custom_id",
+        F.when(failed, "errored").otherwise("succeeded").alias("type"),
+        F.when(~failed, F.to_json(F.struct(F.array(block).alias("content")))).alias("message"),
+        "error",
+        F.lit(0).cast("bigint").alias("seq"),
+    )
+    return materialise(rows, folder.path(f"results/batch={batch_id}"))
+
+
 def cancel(spark: SparkSession, folder: StateFolder, batch_id: str) -> None:
     """Take one batch from the pending state; an unknown id is an error."""
     known = folder.pending_batches(spark)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marginalia import schemas
 from marginalia.plans import inbox, newsletter, runs, twophase
 from marginalia.settings import JobSettings
-from marginalia.sources import registry, state, vault
+from marginalia.sources import files, registry, state, vault
 from marginalia.streaming import intake
 
 NOW = "2026-03-10 12:00:00"
@@ -273,6 +273,38 @@ def test_inbox_in_two_phases(spark, folder, vault_folder):
     assert rows(notes, "filename") == [("a plain+1%.md",), ("boom.md",), ("my.paper.md",), ("stub.md",)]
 
 
+def test_offline_scorer_serves_as_the_provider(spark, folder):
+    twophase.submit(letters(spark, folder), folder, "newsletters", "b1", NOW)
+    results = twophase.score_requests(spark, folder, "b1", FixedScorer(), "prompt")
+    assert rows(results.groupBy("type").count(), "type", "count") == [("errored", 1), ("succeeded", 4)]
+    resume(spark, folder, [("b1", "ended")], results)
+    notes = state.current_notes(spark, folder.path("notes"))
+    assert notes.filter("filename = 'Subject 1.md'").first()["summary"] == "sum of Ann News"
+    assert folder.labels(spark).count() == 4
+
+
+def test_vault_files(spark, folder, vault_folder, tmp_path):
+    run_inbox(spark, folder, vault_folder, pages(spark))
+    root = tmp_path / "vault"
+    notes = state.current_notes(spark, folder.path("notes"))
+    for _ in range(2):
+        assert sum(r["files"] for r in files.write_notes(notes, f"file://{root}").collect()) == 3
+    assert "![[my.paper.pdf]]" in (root / "01 Notes" / "my.paper.md").read_text(encoding="utf-8")
+    files.copy_assets(vault.read_pdfs(spark, vault_folder), "04 Assets", f"file://{root}").collect()
+    assert (root / "04 Assets" / "my.paper.pdf").read_bytes() == b"fake pdf"
+    # What was written can be read back as notes that are done.
+    again = vault.parse_notes(vault.read_notes(spark, str(root / "01 Notes")))
+    assert vault.unprocessed(again).isEmpty() and again.count() == 3
+
+
+def test_messages_from_json_files(spark, tmp_path):
+    from marginalia.sources.messages import read_messages
+
+    mail(spark).select("message_id", "thread_id", "internal_date", "headers", "payload").write.json(str(tmp_path / "m"))
+    read = read_messages(spark, str(tmp_path / "m"), "json")
+    assert rows(read, "message_id", "from_header", "internal_ts") == rows(mail(spark), "message_id", "from_header", "internal_ts")
+
+
 def test_snapshots_ignore_half_written_versions(spark, tmp_path):
     path = str(tmp_path / "s")
     schema = "source string, last_sync timestamp"

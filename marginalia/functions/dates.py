@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from marginalia.functions.lists import let
+from marginalia.functions.planning import let
 from marginalia.settings import LOOKBACK_DAYS, MIN_PLAUSIBLE_YEAR, RESULT_TTL_DAYS
 
 

@@ -11,6 +11,7 @@ import yaml
 from pyspark.sql import Column, functions as F, types as T
 
 from marginalia import schemas
+from marginalia.functions.planning import let, once
 from marginalia.functions.text import first_truthy, strip
 
 FENCE = r"(?m)^-{3,}\s*$"
@@ -19,14 +20,20 @@ URL_KEYS = ("source", "url", "link", "clipped_url", "permalink")
 
 
 def split_note(text: Column) -> Column:
-    """``struct<header, body>``; header is null when the note has none."""
+    """``struct<header, body>``; header is null when the note has none.
+
+    A note that does not begin with a fence is not searched for one.
+    """
     whole = strip(text)
-    parts = F.split(whole, FENCE, 3)
-    fenced = F.rlike(whole, F.lit(r"^-{3,}\s*(?:\n|$)")) & (F.size(parts) == 3)
-    return F.struct(
-        F.when(fenced, parts[1]).alias("header"),
-        F.when(fenced, strip(parts[2])).otherwise(whole).alias("body"),
-    )
+    pieces = F.when(F.startswith(whole, F.lit("---")), F.split(whole, FENCE, 3)).otherwise(F.array(whole))
+
+    def read(p: Column) -> Column:
+        fenced = (F.size(p) == 3) & (p[0] == "")
+        return F.struct(
+            F.when(fenced, p[1]).alias("header"), F.when(fenced, strip(p[2])).otherwise(whole).alias("body")
+        )
+
+    return let(pieces, read)
 
 
 def _plain(value: object) -> object:
@@ -47,6 +54,7 @@ def _header_json(header: str) -> tuple[str | None, str | None]:
         return None, f"front matter: {type(problem).__name__}"
 
 
+@once
 @F.pandas_udf(schemas.YAML_RESULT)
 def yaml_to_json(headers: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """YAML header → JSON text. Only the header crosses into Python, not the body."""
@@ -101,6 +109,7 @@ def _block(row: dict) -> str:
     return "---\n" + text.rstrip("\n") + "\n---"
 
 
+@once
 @F.pandas_udf(T.StringType())
 def front_matter_yaml(fields: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
     """Front matter struct → YAML block, fences included."""

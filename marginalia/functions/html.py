@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from marginalia.functions.planning import once
 from marginalia.functions.text import first_truthy, strip
 
 # Element groups that decide what is body text.
@@ -117,18 +118,21 @@ def _guarded(convert, page: str | None) -> str | None:
         return None
 
 
+@once
 @F.pandas_udf(T.StringType())
 def page_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in pages:
         yield batch.map(lambda page: _guarded(main_text, page), na_action="ignore")
 
 
+@once
 @F.pandas_udf(T.StringType())
 def page_markdown(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in pages:
         yield batch.map(lambda page: _guarded(lambda p: main_text(p, True), page), na_action="ignore")
 
 
+@once
 @F.pandas_udf(T.StringType())
 def mail_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Body text of an HTML mail; the whole mail as Markdown when no body is found."""

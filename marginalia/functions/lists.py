@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, functions as F
 
+from marginalia.functions.planning import let
 from marginalia.functions.text import strip
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often ``body`` refers to it.
-
-    Without it every reference repeats the whole expression in the plan. One ``let`` in
-    the body of another must not be an argument of a Python function: the planner then
-    fails to hand the call to Python.
-    """
-    return F.transform(F.array(value), body)[0]
-
-
 def empty_list() -> Column:
     return F.array().cast("array<string>")
 

@@ -5,13 +5,19 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 from marginalia.schemas import PART
+from marginalia.functions.planning import once
 from marginalia.functions.text import blank_to_null, strip
 
 
+PARTS = pa.list_(
+    pa.struct([("path", pa.list_(pa.int32())), ("mime_type", pa.string()), ("data", pa.string())])
+)
+
+
 def _walk(node: dict, path: list[int]) -> Iterator[dict]:
     data = (node.get("body") or {}).get("data")
     if data:
@@ -20,18 +26,21 @@ def _walk(node: dict, path: list[int]) -> Iterator[dict]:
         yield from _walk(child, [*path, number])
 
 
-def _parts(payload: str) -> list[dict] | None:
+def _parts(payload: str | None) -> list[dict] | None:
+    if payload is None:
+        return None
     try:
         return list(_walk(json.loads(payload), []))
     except Exception:  # unreadable payload: the caller files the row as an extraction failure
         return None
 
 
-@F.pandas_udf(T.ArrayType(PART))
-def flatten_parts(payloads: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@once
+@F.arrow_udf(T.ArrayType(PART))
+def flatten_parts(payloads: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """MIME tree (JSON text of any depth) → flat list of parts that hold data."""
     for batch in payloads:
-        yield batch.map(_parts, na_action="ignore")
+        yield pa.array([_parts(payload) for payload in batch.to_pylist()], PARTS)
 
 
 def decode_part(data: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from marginalia import schemas
-from marginalia.functions.lists import empty_list, let
+from marginalia.functions.lists import empty_list
+from marginalia.functions.planning import let
 from marginalia.functions.text import strip
 
 # Name of the tool block, and what stands in for unreadable takeaways.

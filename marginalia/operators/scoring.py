@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from marginalia import schemas
 from marginalia.functions import text
 from marginalia.functions.lists import empty_list
+from marginalia.functions.planning import once
 from marginalia.settings import PROMPT_MAX_CHARS
 
 # Attempts per item, and the base of the waits between them (2 s, 4 s).
@@ -63,6 +64,7 @@ def score(
     prompt limit before it does. A failing item gives an error value, not a failed task.
     """
 
+    @once
     @F.pandas_udf(schemas.SCORED)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         analyze = with_retry(scorer.open(system_prompt))
@@ -75,10 +77,8 @@ def score(
                     rows.append((None, None, None, None, None, str(problem)))
             yield pd.DataFrame(rows, columns=[*FIELDS, "error"])
 
-    # Not deterministic: the optimizer must not copy the call and score a row twice.
-    scorer_call = run.asNondeterministic()
     prompt = text.analysis_prompt(F.col(content), F.lit(None).cast("string"), PROMPT_MAX_CHARS)
-    scored = items.withColumn("_scored", scorer_call(prompt, F.col(hint)))
+    scored = items.withColumn("_scored", run(prompt, F.col(hint)))
     analysis = F.struct(*(F.col(f"_scored.{name}").alias(name) for name in FIELDS))
     return scored.withColumns(
         {

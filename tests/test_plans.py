@@ -87,3 +87,8 @@ def test_library_does_not_gather_rows_on_the_driver():
             if isinstance(node, ast.Attribute) and node.attr in ("collect", "toPandas", "toArrow", "localCheckpoint", "crossJoin"):
                 found.append((path.name, node.attr))
     assert found == [("keyed.py", "toArrow")]
+
+
+@pytest.mark.parametrize("name", ["unprocessed_notes", "inbox_scan", "parse_notes"])
+def test_headers_are_parsed_once(spark, name):
+    assert plan(spark, name).count("ArrowEvalPython") == 1

@@ -55,11 +55,20 @@ def _checked(reply: dict) -> tuple:
     return (*(reply[name] for name in FIELDS), None)
 
 
+NOT_ASKED = (None,) * (len(FIELDS) + 1)
+
+
 def score(
-    items: DataFrame, scorer: Scorer, system_prompt: str, content: str = "content", hint: str = "hint"
+    items: DataFrame,
+    scorer: Scorer,
+    system_prompt: str,
+    content: str = "content",
+    hint: str = "hint",
+    failed: Column | None = None,
 ) -> DataFrame:
     """Items with ``analysis`` and ``error``, exactly one of them set in each row.
 
+    ``failed`` is the error of rows that failed earlier; they keep it and are not scored.
     Only the text to score and its hint cross into Python, and the text is cut to the
     prompt limit before it does. A failing item gives an error value, not a failed task.
     """
@@ -72,20 +81,17 @@ def score(
             rows = []
             for body, about in zip(contents, hints):
                 try:
-                    rows.append(_checked(analyze(body or "", about)))
+                    rows.append(NOT_ASKED if body is None else _checked(analyze(body, about)))
                 except Exception as problem:
                     rows.append((None, None, None, None, None, str(problem)))
             yield pd.DataFrame(rows, columns=[*FIELDS, "error"])
 
     prompt = text.analysis_prompt(F.col(content), F.lit(None).cast("string"), PROMPT_MAX_CHARS)
-    scored = items.withColumn("_scored", run(prompt, F.col(hint)))
+    earlier = F.lit(None).cast("string") if failed is None else failed
+    asked = items.withColumn("_scored", run(F.when(earlier.isNull(), prompt), F.col(hint)))
     analysis = F.struct(*(F.col(f"_scored.{name}").alias(name) for name in FIELDS))
-    return scored.withColumns(
-        {
-            "analysis": F.when(F.col("_scored.error").isNull(), analysis),
-            "error": F.col("_scored.error"),
-        }
-    ).drop("_scored")
+    error = F.coalesce(earlier, F.col("_scored.error"))
+    return asked.withColumns({"analysis": F.when(error.isNull(), analysis), "error": error}).drop("_scored")
 
 
 def rule_analysis(content: Column, rules: Sequence[tuple[str, str]], types: Sequence[tuple[str, str]]) -> Column:

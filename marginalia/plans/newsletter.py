@@ -97,11 +97,15 @@ def run(
 ) -> RunResult:
     """One synchronous run. With ``write=False`` items are scored but nothing is stored."""
     items = new_items(messages, sources, folder.sync_state(spark), now, settings)
-    readable, unreadable = items.filter("error IS NULL").drop("error"), items.filter("error IS NOT NULL")
-    scored = scoring.score(readable.withColumn("hint", F.col("newsletter_name")), scorer, system_prompt)
-    whole = scored.withColumn("stage", F.lit("score")).unionByName(
-        unreadable.withColumn("stage", F.lit("extract")), allowMissingColumns=True
+    unreadable = F.col("error").isNotNull()
+    staged = items.withColumns(
+        {
+            "hint": F.col("newsletter_name"),
+            "stage": F.when(unreadable, "extract").otherwise("score"),
+        }
     )
+    # One pass: messages that could not be read go along without being scored.
+    whole = scoring.score(staged, scorer, system_prompt, failed=F.col("error"))
     if not write:
         return outcome(whole, now, settings, "newsletters")
     fixed = materialise(whole, folder.path(f"scored/run_id={run_id}"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from datetime import date
 
@@ -83,6 +84,19 @@ def source_url_of(meta: Column) -> Column:
     return source_url(*(string_only(meta, key) for key in URL_KEYS))
 
 
+# The C writer escapes and wraps some texts differently; for these characters it does not.
+_PLAIN = re.compile(r"[ -~\u00a1-\u1fff\u2010-\u2027\u2030-\ud7ff]*")
+_FAST = getattr(yaml, "CSafeDumper", yaml.SafeDumper)
+
+
+def _all_plain(data: dict) -> bool:
+    for value in data.values():
+        texts = value if isinstance(value, list) else [value]
+        if not all(_PLAIN.fullmatch(text) for text in texts if isinstance(text, str)):
+            return False
+    return True
+
+
 def _iso(day: date | None) -> str | None:
     return None if day is None else day.isoformat()
 
@@ -105,7 +119,8 @@ def _block(row: dict) -> str:
     elif kind == "book":
         data |= {"year": year, "isbn": row["isbn"] or ""}
     data["tags"] = list(row["tags"])
-    text = yaml.safe_dump(data, default_flow_style=False, allow_unicode=True, sort_keys=False)
+    writer = _FAST if _all_plain(data) else yaml.SafeDumper
+    text = yaml.dump(data, Dumper=writer, default_flow_style=False, allow_unicode=True, sort_keys=False)
     return "---\n" + text.rstrip("\n") + "\n---"
 
 

@@ -7,6 +7,7 @@ from urllib.parse import parse_qsl, urlencode, urlsplit
 
 import pytest
 import yaml
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from marginalia.functions import dates, frontmatter, html, lists, mime, render, replies, text, urls
@@ -277,6 +278,20 @@ def test_front_matter_of_typed_notes(spark, kind, extra):
     assert (loaded["rating"], loaded["newsletter"], loaded["published"]) == (4, "N", "2026-01-01")
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(max_size=120), min_size=4, max_size=4))
+def test_both_yaml_writers_agree(texts):
+    """The fast writer is used only where it writes what the plain one does."""
+    row = NOTE | {"title": texts[0], "description": texts[1], "author": [texts[2]], "tags": [texts[3]]}
+    row["created"] = dt.date(2026, 3, 7)
+    shown = {
+        "title": texts[0], "source": "", "author": [texts[2]], "created": "2026-03-07",
+        "description": texts[1], "type": "note", "status": "classified", "tags": [texts[3]],
+    }
+    plain = yaml.dump(shown, Dumper=yaml.SafeDumper, default_flow_style=False, allow_unicode=True, sort_keys=False)
+    assert frontmatter._block(row) == "---\n" + plain.rstrip("\n") + "\n---"
+
+
 def test_render_layouts(one):
     def note(layout, pdf=None):
         takeaways = F.array(F.lit("a"), F.lit("b"))

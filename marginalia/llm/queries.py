@@ -33,7 +33,7 @@ WITH RECURSIVE words AS (
     '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) END AS s
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s
   FROM words),
 keyed AS (SELECT doc_id, s, md5(array_to_string(list_sort(s), chr(10))) AS h FROM sets),
 nodes AS (SELECT h, any_value(s) AS s, min(doc_id) AS id FROM keyed WHERE len(s) > 0 GROUP BY h),

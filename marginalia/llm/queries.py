@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from marginalia.llm.decontaminate import leaks
 from marginalia.llm.minhash import near_duplicates
+from marginalia.llm.packing import pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +55,13 @@ FROM keyed k LEFT JOIN nodes n ON len(k.s) > 0 AND n.h = k.h LEFT JOIN roots r O
 """)
 def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
+
+
+@_query()
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query()
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))

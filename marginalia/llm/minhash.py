@@ -2,9 +2,10 @@
 
 Each of `PERMUTATIONS` multiplications is one permutation of the 64-bit shingle hashes, and
 both its minimum and its maximum over a set are kept: two signature values for one pass.
-`VALUES_PER_BAND` values make a band; documents that share a band are candidates. At the
-threshold itself a pair shares none of the 40 bands with a chance of about 3e-7 (1e-5 for
-sets of four shingles).
+`VALUES_PER_BAND` values make a band, all minima or all maxima, so that they are independent
+even for small sets; documents that share a band are candidates. At the threshold itself a
+pair shares none of the 52 bands with a chance of about 4e-5, while documents with a common
+passage and a similarity of 0.2 are candidates with a chance of 0.3 %.
 
 Candidates are never all pairs of a bucket. In each star round a bucket compares its
 members with one leader only and links go into components. What the stars leave is
@@ -27,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from marginalia.llm.components import components
-from marginalia.llm.shared import held, is_empty, odd_numbers
+from marginalia.llm.shared import held, is_empty, mixed, odd_numbers
 from marginalia.llm.words import shingle_sets
 
 SHINGLE_WORDS = 5
 THRESHOLD_PERCENT = 75
-PERMUTATIONS = 80
-VALUES_PER_BAND = 4
-STAR_ROUNDS = 3
+PERMUTATIONS = 156
+VALUES_PER_BAND = 6
+STAR_ROUNDS = 4
 _SLICE = 256
 
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
@@ -42,24 +43,23 @@ LISTED = "id long, n long, shingles array<long>"
 
 
 def signatures(sets: list[np.ndarray], permutations: int) -> np.ndarray:
-    """(set, permutation, 2): minimum and maximum of every non-empty set under every permutation."""
-    flat = np.concatenate(sets)
+    """(set, 2 * permutations): all minima, then all maxima of every non-empty set."""
+    flat = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     starts = np.cumsum([0, *map(len, sets[:-1])])
-    found = np.empty((len(sets), permutations, 2), np.uint64)
-    for k, factor in enumerate(odd_numbers(permutations, 31)):
+    found = np.empty((len(sets), 2 * permutations), np.uint32)
+    for k, factor in enumerate(odd_numbers(permutations, 31).astype(np.uint32)):
         turned = flat * factor
-        found[:, k, 0] = np.minimum.reduceat(turned, starts)
-        found[:, k, 1] = np.maximum.reduceat(turned, starts)
+        found[:, k] = np.minimum.reduceat(turned, starts)
+        found[:, permutations + k] = np.maximum.reduceat(turned, starts)
     return found
 
 
 def band_hashes(signature: np.ndarray, values: int) -> np.ndarray:
-    """One hash for each `values` signature values; two neighbours share a permutation."""
-    flat = signature.reshape(len(signature), -1)
-    width = flat.shape[1] // values
-    grouped = flat[:, : width * values].reshape(len(flat), width, values)
-    weights = odd_numbers(values, 32)
-    return (grouped * weights).sum(axis=2, dtype=np.uint64) ^ (grouped[:, :, 0] >> np.uint64(29))
+    """One hash for each `values` neighbouring signature values; the band's number is part of it."""
+    width = signature.shape[1] // values
+    grouped = signature[:, : width * values].reshape(len(signature), width, values).astype(np.uint64)
+    total = (grouped * odd_numbers(values, 32)).sum(axis=2, dtype=np.uint64)
+    return mixed(total + odd_numbers(width, 34))
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -124,8 +124,8 @@ def _merged(members: DataFrame, links: DataFrame) -> DataFrame:
 
 def _open_buckets(members: DataFrame) -> DataFrame:
     """Members of the buckets that still hold more than one component."""
-    several = members.groupBy("band", "key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"))
-    return members.join(several.filter("_low <> _high").select("band", "key"), ["band", "key"])
+    several = members.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high"))
+    return members.join(several.filter("_low <> _high").select("key"), "key")
 
 
 def near_duplicates(
@@ -143,11 +143,11 @@ def near_duplicates(
     nodes = sets_of.groupBy("set_a", "set_b", F.col("n_shingles").alias("n")).agg(
         F.min("doc_id").alias("id"), F.first("bands").alias("bands")
     )
-    bands = nodes.select("id", "n", F.posexplode("bands").alias("band", "key"))
-    shared = bands.groupBy("band", "key").agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
+    bands = nodes.select("id", "n", F.explode("bands").alias("key"))
+    shared = bands.groupBy("key").agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
     members = held(
-        bands.join(shared.filter("_low <> _high").select("band", "key"), ["band", "key"])
-        .select("band", "key", "id", "n", F.col("id").alias("comp"))
+        bands.join(shared.filter("_low <> _high").select("key"), "key")
+        .select("key", "id", "n", F.col("id").alias("comp"))
     )
     candidates = members.select("id").distinct()
     listed = texts.join(candidates, texts.doc_id == candidates.id).select("id", "text")
@@ -164,16 +164,16 @@ def near_duplicates(
         if is_empty(members):
             break
         first = F.min_by(F.struct("id", "n", "comp"), F.xxhash64("id", F.lit(turn)) if turn else F.col("id"))
-        leads = members.groupBy("band", "key").agg(first.alias("_lead"))
-        star = members.join(leads, ["band", "key"]).filter(F.col("comp") != F.col("_lead.comp"))
+        leads = members.groupBy("key").agg(first.alias("_lead"))
+        star = members.join(leads, "key").filter(F.col("comp") != F.col("_lead.comp"))
         star = star.filter(_alike("n", "_lead.n", percent))
         tested(star.select(F.col("_lead.id").alias("a"), F.col("id").alias("b")))
     if not is_empty(members):
-        sizes = members.groupBy("band", "key", "comp").count()
-        main = sizes.groupBy("band", "key").agg(F.max_by("comp", F.struct("count", "comp")).alias("_main"))
-        outside = members.join(main, ["band", "key"]).filter("comp <> _main")
-        outside = outside.select("band", "key", F.col("id").alias("a"), F.col("n").alias("_n"), F.col("comp").alias("_comp"))
-        rest = members.join(outside, ["band", "key"]).filter("comp <> _comp").filter(_alike("n", "_n", percent))
+        sizes = members.groupBy("key", "comp").count()
+        main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("_main"))
+        outside = members.join(main, "key").filter("comp <> _main")
+        outside = outside.select("key", F.col("id").alias("a"), F.col("n").alias("_n"), F.col("comp").alias("_comp"))
+        rest = members.join(outside, "key").filter("comp <> _comp").filter(_alike("n", "_n", percent))
         tested(rest.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")))
     # Rows of one doc_id are one node, even if their sets differ.
     same_set = nodes.select("set_a", "set_b", F.col("n").alias("n_shingles"), F.col("id").alias("_node"))

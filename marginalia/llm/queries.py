@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from marginalia.llm import urlrules, warc
 from marginalia.llm.decontaminate import leaks
+from marginalia.llm.extract import extract
 from marginalia.llm.minhash import near_duplicates
 from marginalia.llm.packing import pack
+from marginalia.llm.shared import held
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +68,59 @@ def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
 @_query()
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+@_query()
+def op1_html(spark: SparkSession, folder: str) -> DataFrame:
+    return extract(_table(spark, folder, "pages"))
+
+
+@_query(r"""
+WITH text AS (
+  SELECT CAST(floor(page_id / 1000) AS BIGINT) AS file, page_id, 'WARC/1.1' || chr(13) || chr(10)
+    || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+    || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+    || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+    || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS r FROM pages),
+laid AS (
+  SELECT file, page_id, strlen(r) AS length, sha256(r) AS digest, CAST(coalesce(sum(strlen(r)) OVER (
+    PARTITION BY file ORDER BY page_id, sha256(r) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+  FROM text)
+SELECT file, "offset", CAST(length AS BIGINT) AS length,
+  CASE WHEN substr(digest, 3, 1) IN ('0', '1', '2', '3', '4') THEN 'missing' ELSE 'altered' END AS status,
+  digest AS first_digest,
+  CASE WHEN substr(digest, 3, 1) IN ('0', '1', '2', '3', '4') THEN NULL ELSE sha256(digest || '!') END AS second_digest
+FROM laid WHERE substr(digest, 1, 2) IN ('00', '10', '20', '30', '40', '50')
+""")
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Audit of the pages' WARC records against a replica with damage derived from their digests."""
+    records = held(warc.page_records(_table(spark, folder, "pages")))
+    damaged = F.substring("digest", 1, 2).isin("00", "10", "20", "30", "40", "50")
+    lost = damaged & F.substring("digest", 3, 1).isin("0", "1", "2", "3", "4")
+    altered = F.when(damaged, F.sha2(F.concat("digest", F.lit("!")), 256)).otherwise(F.col("digest"))
+    return warc.audit(records, records.filter(~lost).withColumn("digest", altered))
+
+
+# The rules of the query.
+URL_RULES = [
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"), ("block", "com", "/de/"),
+]
+
+
+@_query(r"""
+WITH split AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+rules(verdict, h, p) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+  ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+fits AS (
+  SELECT page_id, host, path, h || p AS rule, verdict,
+    row_number() OVER (PARTITION BY page_id ORDER BY len(h) DESC NULLS LAST, len(p) DESC) AS k
+  FROM split LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE k = 1
+""")
+def op10_urls(spark: SparkSession, folder: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    return urlrules.judge(_table(spark, folder, "pages"), rules)

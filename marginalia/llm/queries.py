@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from marginalia.llm import urlrules, warc
+from marginalia.llm import quality, toxicity, urlrules, warc
 from marginalia.llm.decontaminate import leaks
 from marginalia.llm.extract import extract
+from marginalia.llm.langid import identify
 from marginalia.llm.minhash import near_duplicates
 from marginalia.llm.packing import pack
 from marginalia.llm.shared import held
@@ -124,3 +125,18 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit
 def op10_urls(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
     return urlrules.judge(_table(spark, folder, "pages"), rules)
+
+
+@_query()
+def op4_langid(spark: SparkSession, folder: str) -> DataFrame:
+    return identify(_table(spark, folder, "documents"))
+
+
+@_query()
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@_query()
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score(_table(spark, folder, "documents"), _table(spark, folder, "labels"))

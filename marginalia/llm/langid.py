@@ -72,15 +72,26 @@ class Model:
         self.places = {gram: k for k, gram in enumerate(ngrams)}
         self.rates = np.array(list(ngrams.values()), np.float32).reshape(-1, len(langs))
 
-    def vector(self, word: str) -> np.ndarray:
-        found = self.words.get(word)
-        if found is not None:
-            return found
-        for order in ORDERS:
-            known = [self.places[g] for g in _ngrams(word, order) if g in self.places]
-            if known:
-                return self.rates[known].sum(axis=0) / len(known)
-        return np.zeros(len(self.langs), np.float32)
+    def vectors(self, words: list[str]) -> np.ndarray:
+        """A row per word: its own, else the mean of its longest known n-grams, else nothing."""
+        places, found, rows, sizes = self.places, np.zeros((len(words), len(self.langs)), np.float32), [], []
+        flat: list[int] = []
+        for k, word in enumerate(words):
+            own = self.words.get(word)
+            if own is not None:
+                found[k] = own
+                continue
+            for order in ORDERS:
+                known = [places[g] for g in _ngrams(word, order) if g in places]
+                if known:
+                    flat += known
+                    rows.append(k)
+                    sizes.append(len(known))
+                    break
+        if rows:
+            starts = np.cumsum([0, *sizes[:-1]])
+            found[rows] = np.add.reduceat(self.rates[flat], starts) / np.array(sizes)[:, None]
+        return found
 
 
 def learn(docs: DataFrame, held_out: Column, rows: int = LEARNING_ROWS) -> Model:
@@ -123,11 +134,11 @@ def _judge(batches, model: Model):
                 letters = letters or any(any(map(str.isalpha, w)) for w in words)
                 if len(ids) > REMEMBERED:
                     ids.clear()
-                for word in set(words).difference(ids):
-                    if len(ids) == len(table):
-                        table = np.concatenate([table, np.zeros_like(table)])
-                    table[len(ids)] = model.vector(word)
-                    ids[word] = len(ids)
+                new = list(set(words).difference(ids))
+                while len(ids) + len(new) > len(table):
+                    table = np.concatenate([table, np.zeros_like(table)])
+                table[len(ids) : len(ids) + len(new)] = model.vectors(new)
+                ids.update(zip(new, range(len(ids), len(ids) + len(new)), strict=True))
                 if words:
                     total += table[np.fromiter(map(ids.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=float)
                     number += len(words)

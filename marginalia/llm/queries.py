@@ -14,6 +14,7 @@ from marginalia.llm.langid import identify
 from marginalia.llm.minhash import near_duplicates
 from marginalia.llm.packing import pack
 from marginalia.llm.shared import held
+from marginalia.llm.vectors import near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -140,3 +141,21 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @_query()
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@_query(r"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ways AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+  ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT a AS id, a AS root FROM ways UNION SELECT r.id, w.b FROM reach r JOIN ways w ON r.root = w.a),
+roots AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
+degree AS (SELECT a AS id, count(*) AS n FROM ways GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id, vec_id = coalesce(root, vec_id) AS kept
+FROM embeddings LEFT JOIN roots r ON r.id = vec_id LEFT JOIN degree d ON d.id = vec_id
+""")
+def op2_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(_table(spark, folder, "embeddings"))

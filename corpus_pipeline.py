@@ -56,9 +56,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = _documents(docs)
-    found = near_duplicates(docs)
-    first = docs.dropDuplicates(["doc_id"]).filter("doc_id IS NOT NULL").unionByName(docs.filter("doc_id IS NULL"))
-    return _without(first, found.filter(~F.col("kept")))
+    others = near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
+    # Of rows that repeat a doc_id one stays; they are few, so only they are gathered.
+    repeated = docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    single = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    return _without(_without(docs, repeated).unionByName(single), others)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -172,6 +172,25 @@ def pending_after_finalize(spark: SparkSession, folder: str) -> DataFrame:
     return batches.drop_batches(kept, current.filter("is_terminal"))
 
 
+@query(
+    "batch_dead_letters",
+    f"""WITH {BATCHES},
+    ended AS (
+      SELECT batch_id, state FROM status
+      WHERE state IN ('error', 'cancelled') AND (SELECT as_of FROM clock) < expires_at
+      UNION ALL
+      SELECT batch_id, 'expired' FROM batches WHERE (SELECT as_of FROM clock) >= expires_at)
+    SELECT p.batch_id, p.custom_id, 'batch ' || e.state AS error FROM pending_items p JOIN ended e USING (batch_id)""",
+)
+def batch_dead_letters(spark: SparkSession, folder: str) -> DataFrame:
+    """Items of batches that ended without results or were not fetched in time."""
+    clock = _clock(spark, folder)
+    current = batches.live(status(spark, folder), clock)
+    late = batches.expired(inputs.batches(spark, folder, clock), clock)
+    lost = batches.given_up(inputs.pending_items(spark, folder), current, late)
+    return lost.select("batch_id", "custom_id", "error")
+
+
 @query(
     "run_report",
     f"""WITH {SCORED}

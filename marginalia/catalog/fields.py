@@ -27,7 +27,7 @@ from marginalia.sources import registry
 )
 def safe_filenames(spark: SparkSession, folder: str) -> DataFrame:
     """The whole text stands in for the title, so that the cut is reached."""
-    return inputs.busy_table(spark, folder, "documents").select(
+    return inputs.table(spark, folder, "documents").select(
         "doc_id", text.safe_filename(F.col("text")).alias("filename")
     )
 
@@ -170,7 +170,7 @@ def sane_dates(spark: SparkSession, folder: str) -> DataFrame:
         .when(form == 5, F.date_format(day, "dd.MM.yyyy"))
         .otherwise(F.date_format(day, "yyyy-02-31"))
     )
-    orders = inputs.busy_table(spark, folder, "orders", "o_orderkey", "o_orderdate")
+    orders = inputs.table(spark, folder, "orders", "o_orderkey", "o_orderdate")
     return orders.select("o_orderkey", dates.sane_date(written, now).alias("day"))
 
 

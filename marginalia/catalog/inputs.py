@@ -11,7 +11,6 @@ from pyspark.sql.types import StructType
 from marginalia.functions.dates import expiry
 from marginalia.functions.text import SPACE_CHARS, first_line
 from marginalia.operators.incremental import source_cutoffs
-from marginalia.operators.keyed import small_relation, spread
 
 SPACES = f"'{SPACE_CHARS}'"
 
@@ -19,17 +18,12 @@ SPACES = f"'{SPACE_CHARS}'"
 _schemas: dict[str, StructType] = {}
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """One of the given tables; its footer is read once per process, not once per query."""
     path = f"{folder}/{name}.parquet"
     if path not in _schemas:
         _schemas[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[path]).parquet(path)
-
-
-def busy_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """A table for work that is heavy per row."""
-    return spread(table(spark, folder, name).select(*columns or "*"))
+    return spark.read.schema(_schemas[path]).parquet(path).select(*columns or "*")
 
 
 def text_of(*parts: str | Column) -> Column:
@@ -52,7 +46,7 @@ messages AS (
   FROM events)"""
 
 
-def messages(spark: SparkSession, folder: str, busy: bool = False) -> DataFrame:
+def messages(spark: SparkSession, folder: str) -> DataFrame:
     user, kind = F.col("user_id"), F.pmod("event_id", F.lit(4))
     address = text_of("user", user, "@example.com")
     sender = (
@@ -61,7 +55,7 @@ def messages(spark: SparkSession, folder: str, busy: bool = False) -> DataFrame:
         .when(kind == 2, address)
         .otherwise(text_of("<", address, ">"))
     )
-    events = (busy_table if busy else table)(spark, folder, "events")
+    events = table(spark, folder, "events")
     return events.select(
         "event_id",
         "user_id",
@@ -97,12 +91,9 @@ fresh AS (
 
 
 def message_bounds(spark: SparkSession, folder: str) -> DataFrame:
-    """First and last message per source: one pass, then a local relation when small."""
-    return small_relation(
-        table(spark, folder, "events")
-        .groupBy(F.col("event_type").alias("name"))
-        .agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    )
+    """First and last message per source."""
+    kinds = table(spark, folder, "events").groupBy(F.col("event_type").alias("name"))
+    return kinds.agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
 def as_of(bounds: DataFrame) -> Column:
@@ -122,11 +113,11 @@ def cutoffs(bounds: DataFrame) -> DataFrame:
     return found.withColumn("search_from", F.col("search_from").cast("timestamp_ntz"))
 
 
-# Senders: suppliers as registered sources, a third of them with a sender name.
+# Senders: suppliers as registered sources, a third of them with a sender name, a third with an empty one.
 SENDERS = """
 senders AS (
   SELECT s_suppkey AS ord, 'user' || s_suppkey || '@example.com' AS email, s_name AS name,
-         CASE WHEN s_suppkey % 3 = 0 THEN 'USER ' || s_suppkey END AS sender_name
+         CASE s_suppkey % 3 WHEN 0 THEN 'USER ' || s_suppkey WHEN 1 THEN '' END AS sender_name
   FROM supplier)"""
 
 
@@ -136,7 +127,7 @@ def senders(spark: SparkSession, folder: str) -> DataFrame:
         key.alias("ord"),
         text_of("user", key, "@example.com").alias("email"),
         F.col("s_name").alias("name"),
-        F.when(key % 3 == 0, text_of("USER ", key)).alias("sender_name"),
+        F.when(key % 3 == 0, text_of("USER ", key)).when(key % 3 == 1, "").alias("sender_name"),
     )
 
 
@@ -150,7 +141,7 @@ items AS (
 
 
 def items(spark: SparkSession, folder: str) -> DataFrame:
-    return busy_table(spark, folder, "documents").select(
+    return table(spark, folder, "documents").select(
         "doc_id",
         F.col("doc_id").cast("string").alias("item_id"),
         "lang",
@@ -173,8 +164,11 @@ taxonomy AS (
 
 
 def taxonomy(spark: SparkSession, folder: str) -> DataFrame:
-    """(kind, ord, tag, scope): pre-aggregated per source and language in one pass."""
-    pairs = small_relation(table(spark, folder, "documents").groupBy("source", "lang").count())
+    """(kind, ord, tag, scope): pre-aggregated per source and language in one pass.
+
+    It stands for configuration; here its size is that of the distinct sources and languages.
+    """
+    pairs = table(spark, folder, "documents").groupBy("source", "lang").count()
 
     def tags(kind: str, prefix: str, column: str) -> DataFrame:
         return pairs.groupBy(text_of(prefix, F.col(column)).alias("tag")).agg(

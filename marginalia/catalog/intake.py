@@ -65,7 +65,7 @@ def display_names(spark: SparkSession, folder: str) -> DataFrame:
                   ELSE lower(from_header) END AS shown
       FROM messages)
     SELECT m.message_id, s.name AS source FROM addressed m JOIN senders s
-      ON CASE WHEN s.sender_name IS NOT NULL THEN contains(m.shown, lower(s.sender_name))
+      ON CASE WHEN s.sender_name <> '' THEN contains(m.shown, lower(s.sender_name))
               ELSE s.email = m.address END""",
 )
 def sender_match(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,21 +92,24 @@ def top_k_per_source(spark: SparkSession, folder: str) -> DataFrame:
       SELECT *, CASE WHEN contains(from_header, '<') THEN trim(trim(split_part(from_header, '<', 1)), '"')
                      ELSE from_header END AS shown
       FROM messages)
-    SELECT message_id || '/' || source AS item_id, subject AS title, 'value ' || event_id AS content,
+    SELECT message_id || '/' || source AS item_id, subject AS title,
+           CASE WHEN event_id % 11 = 5 THEN '' ELSE 'value ' || event_id END AS content,
+           CASE WHEN event_id % 11 = 5 THEN 'undecodable message body' END AS error,
            '[[' || coalesce(nullif(shown, ''), source) || ']]' AS author,
            date_trunc('milliseconds', internal_ts)::DATE AS published, source AS newsletter_name, thread_id,
            strftime(date_trunc('milliseconds', internal_ts), '%Y-%m-%d %H:%M:%S') AS internal_date
     FROM named""",
 )
 def message_items(spark: SparkSession, folder: str) -> DataFrame:
-    """Raw messages (headers, epoch milliseconds, base64url body) → items."""
+    """Raw messages (headers, epoch milliseconds, base64url body, some of them cut) → items."""
     body = F.translate(F.base64(F.encode(text_of("  value ", F.col("event_id"), "\n"), "UTF-8")), "+/", "-_")
+    body = F.when(F.col("event_id") % 11 == 5, "A").otherwise(body)
     part = F.struct(F.lit("text/plain").alias("mimeType"), F.struct(body.alias("data")).alias("body"))
 
     def header(name: str, value: str | F.Column) -> F.Column:
         return F.struct(F.lit(name).alias("name"), (F.lit(value) if isinstance(value, str) else value).alias("value"))
 
-    raw = inputs.messages(spark, folder, busy=True).select(
+    raw = inputs.messages(spark, folder).select(
         "message_id",
         "thread_id",
         "source",
@@ -122,6 +125,7 @@ def message_items(spark: SparkSession, folder: str) -> DataFrame:
         "item_id",
         "title",
         "content",
+        "error",
         F.array_join("author", "|").alias("author"),
         "published",
         "newsletter_name",
@@ -146,7 +150,7 @@ def mime_bodies(spark: SparkSession, folder: str) -> DataFrame:
         return F.struct(F.lit(kind).alias("mimeType"), F.struct(encoded(column).alias("data")).alias("body"))
 
     pages = inputs.table(spark, folder, "pages").select(F.col("page_id").alias("doc_id"), "html")
-    docs = inputs.busy_table(spark, folder, "documents", "doc_id", "text").join(pages, "doc_id", "left")
+    docs = inputs.table(spark, folder, "documents", "doc_id", "text").join(pages, "doc_id", "left")
     inner = F.struct(
         F.lit("multipart/alternative").alias("mimeType"),
         F.array(part("text/plain", "text"), part("text/html", "html")).alias("parts"),
@@ -219,7 +223,7 @@ def label_messages(spark: SparkSession, folder: str) -> DataFrame:
     "label_dim",
     """WITH had AS (SELECT source AS label, 'given-' || source AS label_id FROM documents GROUP BY source),
     wanted AS (SELECT event_type AS label FROM events UNION SELECT source FROM documents)
-    SELECT label, coalesce(h.label_id, 'label-' || left(sha256(label), 12)) AS label_id
+    SELECT label, coalesce(h.label_id, 'label-' || sha256(label)) AS label_id
     FROM wanted LEFT JOIN had h USING (label)""",
 )
 def label_dim(spark: SparkSession, folder: str) -> DataFrame:

@@ -17,17 +17,17 @@ from marginalia.operators import enrich, scoring
 
 @query("page_text")
 def page_text(spark: SparkSession, folder: str) -> DataFrame:
-    return inputs.busy_table(spark, folder, "pages").select("page_id", html.page_text(F.col("html")).alias("text"))
+    return inputs.table(spark, folder, "pages").select("page_id", html.page_text(F.col("html")).alias("text"))
 
 
 @query("page_markdown")
 def page_markdown(spark: SparkSession, folder: str) -> DataFrame:
-    return inputs.busy_table(spark, folder, "pages").select("page_id", html.page_markdown(F.col("html")).alias("markdown"))
+    return inputs.table(spark, folder, "pages").select("page_id", html.page_markdown(F.col("html")).alias("markdown"))
 
 
 @query("page_articles")
 def page_articles(spark: SparkSession, folder: str) -> DataFrame:
-    return enrich.articles(inputs.busy_table(spark, folder, "pages"))
+    return enrich.articles(inputs.table(spark, folder, "pages"))
 
 
 # Documents as captured clips of the page with the same number, their address with tracking.
@@ -64,7 +64,7 @@ enriched AS (
 
 def enriched_clips(spark: SparkSession, folder: str) -> DataFrame:
     """Clips enriched with tag-free page text; the page language stands in for an author."""
-    pages = inputs.busy_table(spark, folder, "pages").filter(F.col("html") != "")
+    pages = inputs.table(spark, folder, "pages").filter(F.col("html") != "")
     crawled = pages.select(
         "page_id",
         "url",
@@ -94,7 +94,7 @@ def enrich_keep_longest(spark: SparkSession, folder: str) -> DataFrame:
 @query("enriched_articles")
 def enriched_articles(spark: SparkSession, folder: str) -> DataFrame:
     """The same with text and metadata from the HTML reader."""
-    found = enrich.one_per_url(enrich.articles(inputs.busy_table(spark, folder, "pages")))
+    found = enrich.one_per_url(enrich.articles(inputs.table(spark, folder, "pages")))
     return enrich.keep_longest(clips(spark, folder), found).select(
         "doc_id", "source_url", "content", "web_author", "web_date"
     )
@@ -112,8 +112,8 @@ _KINDS = " ".join(f"WHEN contains(lower(content), '{w}') THEN '{t}'" for w, t in
 RULE_SCORES = f"""
 rule_scores AS (
   SELECT *, regexp_extract(trim(content, {SPACES}), '^(?:[^.!?]*[.!?]*){{1,3}}') AS summary,
-         list_slice(list_filter(list_transform(string_split(trim(content, {SPACES}), chr(10)),
-                                               lambda x: trim(x, {SPACES})), lambda x: x <> ''), 1, 5) AS takeaways,
+         list_filter(list_transform(string_split(trim(content, {SPACES}), chr(10)),
+                                    lambda x: trim(x, {SPACES})), lambda x: x <> '') AS takeaways,
          list_filter([{_CASES}], lambda t: t IS NOT NULL) AS tags,
          CASE {_KINDS} ELSE 'note' END AS content_type,
          regexp_extract(trim(content, {SPACES}), '^[^.!?]*[.!?]*') AS description
@@ -142,7 +142,8 @@ def rule_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 
 class HintScorer:
-    """A plug-in that fails for some texts: no German, and nothing without a hint."""
+    """A plug-in that fails for some texts, no German and nothing without a hint, and gives
+    the tags of French texts as one text."""
 
     def open(self, system_prompt: str) -> Callable[[str, str | None], dict]:
         told = len(system_prompt)
@@ -153,7 +154,8 @@ class HintScorer:
             if hint == "de":
                 return {"summary": "kurz", "key_takeaways": [], "tags": [], "content_type": "note"}
             return {
-                "summary": f"told {told}", "key_takeaways": [hint], "tags": ["lang/" + hint],
+                "summary": f"told {told}", "key_takeaways": [hint],
+                "tags": f"lang/{hint}, x" if hint == "fr" else ["lang/" + hint],
                 "content_type": "note", "description": "about " + hint,
             }
 

@@ -28,17 +28,18 @@ named AS (
 
 
 def note_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document as a Markdown file with front matter, one in nine with a broken header."""
+    """Every document as a Markdown file with front matter, some with a broken header or number."""
     doc, lang = F.col("doc_id"), F.col("lang")
     status = (
         F.when(doc % 4 == 0, "status: classified\n").when(doc % 4 == 1, "status:\n").when(doc % 4 == 2, "status: needs-tags\n").otherwise("")
     )
     title = F.when(doc % 9 == 0, "title: [cut\n").when(doc % 9 == 1, "").otherwise(text_of('title: "Doc ', doc, '"\n'))
+    rating = F.when(doc % 7 == 3, "4.6").otherwise("4")
     header = text_of(
         "---\n", title, status, "url: ' https://clip.example/", doc, " '\nsource: ''\ncreated: 2023-05-06\n",
-        "tags:\n  - clippings\n  - ", lang, "\nrating: 4\nauthor: Ann\n---\n\n",
+        "tags:\n  - clippings\n  - ", lang, "\nrating: ", rating, "\nauthor: Ann\n---\n\n",
     )
-    return inputs.busy_table(spark, folder, "documents").select(
+    return inputs.table(spark, folder, "documents").select(
         text_of("file:/vault/00 Inbox/note ", doc, ".md").alias("path"),
         F.concat(header, F.col("text")).alias("text"),
     )
@@ -50,7 +51,7 @@ note_files AS (
          CASE doc_id % 9 WHEN 0 THEN NULL WHEN 1 THEN 'note ' || doc_id ELSE 'Doc ' || doc_id END AS title,
          trim(text, {SPACES}) AS content, 'https://clip.example/' || doc_id AS source_url,
          CASE doc_id % 4 WHEN 0 THEN 'classified' WHEN 2 THEN 'needs-tags' ELSE 'inbox' END AS existing_status,
-         'clippings|' || lang AS tags, 4 AS rating, DATE '2023-05-06' AS created, doc_id % 9 = 0 AS bad
+         'clippings|' || lang AS tags, 4 AS rating, DATE '2023-05-06' AS created, doc_id % 9 = 0 OR doc_id % 7 = 3 AS bad
   FROM documents)"""
 
 
@@ -335,7 +336,7 @@ def render_notes(spark: SparkSession, folder: str) -> DataFrame:
 def pdf_notes(spark: SparkSession, folder: str) -> DataFrame:
     """Wrapper notes of pages taken as PDF files, tags checked against the taxonomy."""
     now = inputs.as_of(inputs.message_bounds(spark, folder))
-    pdfs = inputs.busy_table(spark, folder, "pages", "page_id").select(
+    pdfs = inputs.table(spark, folder, "pages", "page_id").select(
         text_of("file:/vault/00 Inbox/page ", F.col("page_id"), ".pdf").alias("path")
     )
     items = vault.pdf_items(pdfs).withColumns(

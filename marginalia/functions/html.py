@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html import unescape as unescape_text
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -143,18 +144,23 @@ def mail_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
         )
 
 
-# The named character references metadata is expected to hold, `&amp;` last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+@once
+@F.pandas_udf(T.StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(unescape_text, na_action="ignore")
 
 
 def unescape(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Every character reference resolved; texts without one are not looked at in Python."""
+    return F.coalesce(_unescaped(F.when(F.contains(text, F.lit("&")), text)), text)
 
 
 def _found(page: Column, pattern: str) -> Column:
-    return strip(unescape(F.regexp_extract(page, pattern, 1)))
+    """First group of the pattern that is not empty: a value in either kind of quotes."""
+    match = F.regexp_extract(page, pattern, 0)
+    groups = range(1, pattern.count("(") - pattern.count("(?") + 1)
+    inner = [F.regexp_extract(match, pattern, k) for k in groups]
+    return strip(unescape(F.coalesce(*(first_truthy(g) for g in inner), F.lit(""))))
 
 
 def page_title(page: Column) -> Column:
@@ -163,7 +169,7 @@ def page_title(page: Column) -> Column:
 
 def _meta(page: Column, key: str) -> Column:
     name = rf"""(?:name|property|itemprop)\s*=\s*["']{key}["']"""
-    value = r"""content\s*=\s*["']([^"'>]*)["']"""
+    value = r"""content\s*=\s*(?:"([^">]*)"|'([^'>]*)')"""
     return first_truthy(
         _found(page, rf"(?is)<meta\s[^>]*?{name}[^>]*?{value}"),
         _found(page, rf"(?is)<meta\s[^>]*?{value}[^>]*?{name}"),
@@ -186,7 +192,7 @@ def page_date(page: Column) -> Column:
 
 def page_canonical(page: Column) -> Column:
     rel = r"""rel\s*=\s*["']canonical["']"""
-    href = r"""href\s*=\s*["']([^"'>]*)["']"""
+    href = r"""href\s*=\s*(?:"([^">]*)"|'([^'>]*)')"""
     return F.coalesce(
         first_truthy(
             _found(page, rf"(?is)<link\s[^>]*?{rel}[^>]*?{href}"),

@@ -44,8 +44,18 @@ def flatten_parts(payloads: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def decode_part(data: Column) -> Column:
-    """base64url → text; bytes that are no UTF-8 become U+FFFD."""
-    return F.make_valid_utf8(F.unbase64(F.translate(data, "-_", "+/")).cast("string"))
+    """base64url → text; null for data that cannot be decoded.
+
+    Characters outside the alphabet are ignored, padding may lack, and bytes that are no
+    UTF-8 become U+FFFD.
+    """
+    plain = F.regexp_replace(F.translate(data, "-_", "+/"), "[^A-Za-z0-9+/]", "")
+    return F.make_valid_utf8(F.try_to_binary(plain, F.lit("base64")).cast("string"))
+
+
+def is_broken(parts: Column, mime_type: str) -> Column:
+    """Is there a part of the type whose data, that of the first one, cannot be decoded?"""
+    return F.exists(parts, lambda p: (p["mime_type"] == mime_type) & (p["data"] != "")) & body_of(parts, mime_type).isNull()
 
 
 def body_of(parts: Column, mime_type: str) -> Column:

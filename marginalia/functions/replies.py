@@ -94,11 +94,16 @@ def _read_fields(data: Column) -> Column:
             .when(v.isNull(), empty_list())
             .otherwise(_text_list(v)),
         ).alias("tags"),
-        let(entry("content_type"), _text).alias("content_type"),
+        let(entry("content_type"), lambda v: F.when(_text(v).isin(*schemas.CONTENT_TYPES), _text(v))).alias("content_type"),
         let(entry("description"), _text).alias("description"),
     )
 
 
+def read_analysis(reply: Column) -> Column:
+    """``struct<analysis, error>`` of a scorer's reply given as JSON text of its fields."""
+    return let(F.try_parse_json(reply), lambda data: let(_read_fields(data), lambda f: _judge(data, data, f)))
+
+
 def _judge(raw: Column, data: Column, fields: Column) -> Column:
     """Every field must be there; the first thing that is wrong is the error."""
     absent = F.concat_ws(", ", *(F.when(fields[n].isNull(), F.lit(n)) for n in schemas.ANALYSIS.names))

@@ -73,8 +73,10 @@ def content_hint(title: Column, domain: Column) -> Column:
     return blank_to_null(F.concat_ws(" ", blank_to_null(title), shown))
 
 
-def analysis_prompt(content: Column, hint: Column, limit: int = PROMPT_MAX_CHARS) -> Column:
-    """User message of a scoring request; long content is cut and the cut is stated."""
+def analysis_prompt(content: Column, hint: Column, limit: int | None = PROMPT_MAX_CHARS) -> Column:
+    """User message of a scoring request; content over the limit is cut and the cut is stated."""
+    if limit is None:
+        return F.concat_ws("\n", F.concat(F.lit(HINT_PREFIX), blank_to_null(hint)), F.lit(PROMPT_LEAD), content)
     size = F.length(content)
     omitted = F.concat(
         F.lit("\n[... truncated, "), (size - limit).cast("string"), F.lit(" chars omitted]")

@@ -12,13 +12,16 @@ TERMINAL = ("complete", "error", "cancelled")
 NO_RESULT = "no result returned by provider"
 
 
-def build_requests(items: DataFrame, hint: Column, order: list[str] | None = None, prefix: str = "item") -> DataFrame:
+def build_requests(
+    items: DataFrame, hint: Column, order: list[str] | None = None, prefix: str = "item", limit: int | None = None
+) -> DataFrame:
     """Items with ``custom_id`` and ``prompt``.
 
     By default the id is a hash of the item id and nothing is sorted. With ``order``
-    (columns that end in a unique one, ``item_id``) ids are running numbers.
+    (columns that end in a unique one, ``item_id``) ids are running numbers. Content is sent
+    whole unless a ``limit`` is given.
     """
-    prompt = text.analysis_prompt(F.col("content"), hint)
+    prompt = text.analysis_prompt(F.col("content"), hint, limit)
     if order is None:
         return items.withColumns({"custom_id": text.hashed_id(F.col("item_id")), "prompt": prompt})
     keys = items.select(*dict.fromkeys([*order, "item_id"]))
@@ -112,9 +115,14 @@ def batch_state(processing_status: Column) -> Column:
 
 
 def batch_status(batches: DataFrame, pending_items: DataFrame, results: DataFrame) -> DataFrame:
-    """Pending batches (with the provider's ``processing_status``) and their live state."""
-    items = pending_items.groupBy("batch_id").agg(F.count("*").alias("items"))
-    counted = batches.join(items, "batch_id", "left").join(result_counts(results), "batch_id", "left")
+    """Pending batches (with the provider's ``processing_status``) and their live state.
+
+    Only items and results of these batches are counted and ranked, not the whole history.
+    """
+    ids = batches.select("batch_id")
+    items = pending_items.join(ids, "batch_id", "left_semi").groupBy("batch_id").agg(F.count("*").alias("items"))
+    counts = result_counts(results.join(ids, "batch_id", "left_semi"))
+    counted = batches.join(items, "batch_id", "left").join(counts, "batch_id", "left")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("items", "succeeded", "errored", "expired", "canceled")}
     done = F.col("succeeded") + F.col("errored") + F.col("expired") + F.col("canceled")
     open_ = F.when(F.col("processing_status") == "ended", F.lit(0)).otherwise(F.col("items") - done)
@@ -125,3 +133,11 @@ def batch_status(batches: DataFrame, pending_items: DataFrame, results: DataFram
         .withColumn("state", batch_state(F.col("processing_status")))
         .withColumn("is_terminal", F.col("state").isin(*TERMINAL))
     )
+
+
+def given_up(pending_items: DataFrame, status: DataFrame, expired_batches: DataFrame) -> DataFrame:
+    """Items of batches that failed, were cancelled or expired, with ``error`` and ``stage``."""
+    ended = status.filter(F.col("state").isin("error", "cancelled")).select("batch_id", "state")
+    late = expired_batches.select("batch_id", F.lit("expired").alias("state"))
+    lost = pending_items.join(ended.unionByName(late), "batch_id")
+    return lost.withColumns({"error": F.concat(F.lit("batch "), "state"), "stage": F.lit("batch")}).drop("state")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from marginalia.functions import dates, text
-from marginalia.operators.keyed import small_relation, top_k_per_key
+from marginalia.operators.keyed import top_k_per_key
 from marginalia.settings import LOOKBACK_DAYS
 
 
@@ -62,7 +62,7 @@ def sender_address(from_header: Column) -> Column:
 
 
 def _named_lookup(names: DataFrame, named: DataFrame) -> DataFrame:
-    """(display name, source) for every sender name a display name contains.
+    """(key: display name, source) for every sender name a display name contains.
 
     The substring test is an equi-join: a display name offers each of its substrings
     that is as long as some sender name, so no name is compared with every source.
@@ -79,31 +79,30 @@ def _named_lookup(names: DataFrame, named: DataFrame) -> DataFrame:
         names.withColumn("_sizes", named.agg(F.collect_set(F.length("_piece"))).scalar())
         .select("key", F.explode(F.array_distinct(pieces)).alias("_piece"))
         .join(named, "_piece")
-        .select(F.lit("name").alias("kind"), "key", "source")
+        .select("key", "source")
     )
 
 
 def match_senders(messages: DataFrame, sources: DataFrame, from_header: str = "from_header") -> DataFrame:
     """Messages × the sources they belong to; a message may match several.
 
-    Sources without a sender name match on the address. Sources with one match when the
-    display name contains it, in any letter case, and the address is not looked at.
-    Display names are matched once each, however many messages carry them; the messages
-    are then read once and looked up by address and by display name.
+    Sources without a sender name, or with an empty one, match on the address. Sources with
+    one match when the display name contains it, in any letter case, and the address is not
+    looked at. Only distinct headers are matched, so the messages themselves, with all they
+    carry, are joined once and on the header.
     """
-    source = F.col("name").alias("source")
-    named = sources.filter(F.col("sender_name").isNotNull()).select(source, F.lower("sender_name").alias("_piece"))
-    by_address = sources.filter(F.col("sender_name").isNull()).select(
-        F.lit("address").alias("kind"), F.lower("email").alias("key"), source
-    )
-    shown = F.lower(text.display_name(F.col(from_header)))
-    names = messages.select(shown.alias("key")).distinct()
-    lookup = by_address.unionByName(small_relation(_named_lookup(names, named)))
-    keys = F.array(
-        F.struct(F.lit("address").alias("kind"), sender_address(F.col(from_header)).alias("key")),
-        F.struct(F.lit("name").alias("kind"), shown.alias("key")),
-    )
-    return messages.select("*", F.inline(keys)).join(lookup, ["kind", "key"]).drop("kind", "key")
+    source, sender = F.col("name").alias("source"), F.nullif(F.col("sender_name"), F.lit(""))
+    named = sources.filter(sender.isNotNull()).select(source, F.lower("sender_name").alias("_piece"))
+    by_address = sources.filter(sender.isNull()).select(F.lower("email").alias("_address"), source)
+    headers = messages.select(
+        F.col(from_header).alias("_header"),
+        sender_address(F.col(from_header)).alias("_address"),
+        F.lower(text.display_name(F.col(from_header))).alias("key"),
+    ).distinct()
+    by_name = headers.join(_named_lookup(headers.select("key").distinct(), named), "key")
+    found = headers.join(by_address, "_address").select("_header", "source")
+    found = found.unionByName(by_name.select("_header", "source"))
+    return messages.join(found, F.col(from_header) == F.col("_header")).drop("_header")
 
 
 def newest_per_source(messages: DataFrame, k: int, ts: str = "internal_ts", source: str = "source") -> DataFrame:

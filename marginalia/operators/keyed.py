@@ -6,35 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marginalia.session import use_checkpoint_dir
 
-# Above this many rows a derived dimension is joined by shuffle instead of being broadcast.
-MAX_SMALL_ROWS = 20_000
-
-
-def small_relation(dim: DataFrame, max_rows: int = MAX_SMALL_ROWS) -> DataFrame:
-    """A *derived* dimension as a local relation if it is proven small, else unchanged.
-
-    Catalyst cannot see that an aggregate over a huge table has few groups. This reads
-    at most ``max_rows + 1`` rows. Within the bound they are computed once and the planner
-    knows their size, so it broadcasts them. Beyond it the frame is returned as it is and
-    joined by shuffle, where adaptive execution splits skewed partitions. Dimensions read
-    from files need no call: their size is known.
-    """
-    head = dim.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
-        return dim
-    return dim.sparkSession.createDataFrame(head, schema=dim.schema)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """A file scan with at least one partition per core.
-
-    A table of few row groups gives few tasks, and work that is heavy per row would run
-    on few cores. A scan that has enough partitions, as any large one, is not touched.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
-
-
 def last_per_key(df: DataFrame, keys: list[str], *newest_first: Column) -> DataFrame:
     """One row per key, the newest. Each task keeps one row per key before the shuffle."""
     order = Window.partitionBy(*keys).orderBy(*newest_first)

@@ -116,7 +116,7 @@ def ensure_labels(labels: DataFrame, names: DataFrame) -> DataFrame:
     """(label, label_id) with a row for every name; a label that exists keeps its id."""
     wanted = names.select("label").distinct().join(labels.select("label"), "label", "left_anti")
     return labels.select("label", "label_id").unionByName(
-        wanted.withColumn("label_id", F.concat(F.lit("label-"), F.left(F.sha2("label", 256), F.lit(12))))
+        wanted.withColumn("label_id", F.concat(F.lit("label-"), F.sha2("label", 256)))
     )
 
 

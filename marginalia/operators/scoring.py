@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
@@ -9,18 +10,14 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from marginalia import schemas
-from marginalia.functions import text
+from marginalia.functions import replies, text
 from marginalia.functions.lists import empty_list
 from marginalia.functions.planning import once
-from marginalia.settings import PROMPT_MAX_CHARS
 
 # Attempts per item, and the base of the waits between them (2 s, 4 s).
 ATTEMPTS = 3
 WAIT_BASE = 2.0
 
-FIELDS = tuple(schemas.ANALYSIS.names)
-
 
 class RateLimited(Exception):
     """Raised by a scorer that should be asked again after a pause."""
@@ -48,16 +45,6 @@ def with_retry(
     return asked
 
 
-def _checked(reply: dict) -> tuple:
-    absent = [name for name in FIELDS if reply.get(name) is None]
-    if absent:
-        raise ValueError("Missing or invalid fields: " + ", ".join(absent))
-    return (*(reply[name] for name in FIELDS), None)
-
-
-NOT_ASKED = (None,) * (len(FIELDS) + 1)
-
-
 def score(
     items: DataFrame,
     scorer: Scorer,
@@ -65,37 +52,43 @@ def score(
     content: str = "content",
     hint: str = "hint",
     failed: Column | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """Items with ``analysis`` and ``error``, exactly one of them set in each row.
 
     ``failed`` is the error of rows that failed earlier; they keep it and are not scored.
-    Only the text to score and its hint cross into Python, and the text is cut to the
-    prompt limit before it does. A failing item gives an error value, not a failed task.
+    Only the text to score and its hint cross into Python, the whole text unless a ``limit``
+    is given. The reply comes back as JSON text and is repaired and checked like the reply of
+    a batch. A failing item gives an error value, not a failed task.
     """
 
     @once
-    @F.pandas_udf(schemas.SCORED)
+    @F.pandas_udf("reply string, error string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         analyze = with_retry(scorer.open(system_prompt))
         for contents, hints in batches:
             rows = []
             for body, about in zip(contents, hints):
                 try:
-                    rows.append(NOT_ASKED if body is None else _checked(analyze(body, about)))
+                    rows.append((None if body is None else json.dumps(analyze(body, about)), None))
                 except Exception as problem:
-                    rows.append((None, None, None, None, None, str(problem)))
-            yield pd.DataFrame(rows, columns=[*FIELDS, "error"])
+                    rows.append((None, str(problem)))
+            yield pd.DataFrame(rows, columns=["reply", "error"], dtype=object)
 
-    prompt = text.analysis_prompt(F.col(content), F.lit(None).cast("string"), PROMPT_MAX_CHARS)
+    prompt = text.analysis_prompt(F.col(content), F.lit(None).cast("string"), limit)
     earlier = F.lit(None).cast("string") if failed is None else failed
     asked = items.withColumn("_scored", run(F.when(earlier.isNull(), prompt), F.col(hint)))
-    analysis = F.struct(*(F.col(f"_scored.{name}").alias(name) for name in FIELDS))
-    error = F.coalesce(earlier, F.col("_scored.error"))
-    return asked.withColumns({"analysis": F.when(error.isNull(), analysis), "error": error}).drop("_scored")
+    reply = F.col("_scored.reply")
+    read = asked.withColumn("_read", F.when(reply.isNotNull(), replies.read_analysis(reply)))
+    error = F.coalesce(earlier, F.col("_scored.error"), F.col("_read.error"))
+    analysis = F.when(error.isNull(), F.col("_read.analysis"))
+    return read.withColumns({"analysis": analysis, "error": error}).drop("_scored", "_read")
 
 
-def rule_analysis(content: Column, rules: Sequence[tuple[str, str]], types: Sequence[tuple[str, str]]) -> Column:
-    """Deterministic native scorer: first sentences, first lines, key words.
+def rule_analysis(
+    content: Column, rules: Sequence[tuple[str, str]], types: Sequence[tuple[str, str]], sentences: int = 3
+) -> Column:
+    """Deterministic native scorer: a summary of the first sentences, all lines, key words.
 
     ``rules`` are (key word, tag) and ``types`` (key word, content type), tried in order;
     key words are looked up in the whole text, in lower case.
@@ -108,8 +101,8 @@ def rule_analysis(content: Column, rules: Sequence[tuple[str, str]], types: Sequ
         *(F.when(F.contains(low, F.lit(word)), F.lit(name)) for word, name in types), F.lit("note")
     )
     return F.struct(
-        F.regexp_extract(body, r"^(?:[^.!?]*[.!?]*){1,3}", 0).alias("summary"),
-        F.slice(lines, 1, 5).alias("key_takeaways"),
+        F.regexp_extract(body, rf"^(?:[^.!?]*[.!?]*){{1,{sentences}}}", 0).alias("summary"),
+        lines.alias("key_takeaways"),
         F.coalesce(F.array_distinct(tags), empty_list()).alias("tags"),
         kind.alias("content_type"),
         F.regexp_extract(body, r"^[^.!?]*[.!?]*", 0).alias("description"),

@@ -86,6 +86,19 @@ def remaining(notes_files: DataFrame, done: DataFrame) -> DataFrame:
     return notes_files.join(done.select(F.col("original_path").alias("path")), "path", "left_anti")
 
 
+def without_done(files: DataFrame, folder: StateFolder, run_id: str) -> DataFrame:
+    """Inbox files no other run has made into a note; failed ones are tried again.
+
+    A run that is repeated under its id works on the same files again.
+    """
+    path = folder.path("inbox_done")
+    spark = files.sparkSession
+    if not vault.path_exists(spark, path):
+        return files
+    done = spark.read.parquet(path).filter(F.col("run_id").cast("string") != run_id)
+    return files.join(done.select("path").distinct(), "path", "left_anti")
+
+
 def outcome(scored: DataFrame, vocabulary: Column, now: str, settings: JobSettings, batch: bool = False) -> RunResult:
     return RunResult(
         scored=scored,
@@ -105,6 +118,8 @@ def commit(
     assets = notes.asset_manifest(pdf_files.join(kept, "path", "left_semi"), settings.assets_folder)
     write_part(assets, folder, "assets", run_id)
     write_part(result.dead_letters, folder, "dead_letters_inbox", run_id)
+    done = scored.filter("error IS NULL").select(F.col("original_path").alias("path"))
+    write_part(done, folder, "inbox_done", run_id)
     write_run_report(result.report, folder, run_id, now)
     return result
 
@@ -125,8 +140,9 @@ def run(
 ) -> RunResult:
     from marginalia.sources.registry import vocabulary
 
-    items, quarantined = inbox_items(notes_files, pdf_files, pages, settings)
-    scored = scoring.score(items, scorer, system_prompt).withColumn("stage", F.lit("score"))
+    notes_files, pdfs = (without_done(files, folder, run_id) for files in (notes_files, pdf_files))
+    items, quarantined = inbox_items(notes_files, pdfs, pages, settings)
+    scored = scoring.score(items, scorer, system_prompt, limit=settings.prompt_max_chars).withColumn("stage", F.lit("score"))
     if not write:
         return outcome(scored, vocabulary(taxonomy), now, settings)
     fixed = materialise(scored, folder.path(f"scored_inbox/run_id={run_id}"))

@@ -105,7 +105,7 @@ def run(
         }
     )
     # One pass: messages that could not be read go along without being scored.
-    whole = scoring.score(staged, scorer, system_prompt, failed=F.col("error"))
+    whole = scoring.score(staged, scorer, system_prompt, failed=F.col("error"), limit=settings.prompt_max_chars)
     if not write:
         return outcome(whole, now, settings, "newsletters")
     fixed = materialise(whole, folder.path(f"scored/run_id={run_id}"))

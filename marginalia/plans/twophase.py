@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marginalia import schemas
 from marginalia.functions.replies import TOOL_NAME
-from marginalia.operators import batches, scoring
+from marginalia.operators import batches, report, scoring
 from marginalia.operators.scoring import Scorer
 from marginalia.plans import inbox, newsletter
-from marginalia.plans.runs import StateFolder, materialise, run_time
+from marginalia.plans.runs import StateFolder, materialise, run_time, write_part
 from marginalia.settings import JobSettings
 from marginalia.sources import state, vault
 
@@ -29,22 +29,33 @@ def pending_items(spark: SparkSession, folder: StateFolder, pipeline: str) -> Da
 
 def submit(
     items: DataFrame, folder: StateFolder, pipeline: str, batch_id: str, now: str,
-    settings: JobSettings = JobSettings(),
+    settings: JobSettings = JobSettings(), write: bool = True,
 ) -> DataFrame:
     """Write the requests of one batch and its pending state; returns the requests.
 
-    Items of batches that still wait are left out. The pending state is written last:
-    if the job dies before, nothing waits for a result that will not come.
+    Items of batches that still wait are left out, and so are items that could not be read;
+    those become dead letters. The pending state is written last: if the job dies before,
+    nothing waits for a result that will not come. With ``write=False`` nothing is written.
     """
     spark = items.sparkSession
     if not re.fullmatch(BATCH_ID, batch_id):
         raise ValueError(f"batch id {batch_id!r} must match {BATCH_ID}")
     waiting = pending_items(spark, folder, pipeline)
     live = batches.live(folder.pending_batches(spark), run_time(now))
+    unreadable = items.limit(0)
+    if "error" in items.columns:
+        unreadable = items.filter("error IS NOT NULL").withColumn("stage", F.lit("extract"))
+        items = items.filter("error IS NULL")
     fresh = items
     if waiting is not None:
         fresh = batches.without_pending(items, waiting.join(live.select("batch_id"), "batch_id", "left_semi"))
-    built = batches.build_requests(fresh, F.col("hint")).withColumn("batch_id", F.lit(batch_id))
+    built = batches.build_requests(fresh, F.col("hint"), limit=settings.prompt_max_chars).withColumn("batch_id", F.lit(batch_id))
+    if not write:
+        return built.select(*ITEM, "prompt")
+    if "error" in items.columns:
+        style = "newsletters" if "source" in items.columns else pipeline
+        letters = report.dead_letters(unreadable, F.col("stage"), style, ["item_id"])
+        write_part(letters, folder, f"dead_letters_{pipeline}_submit", batch_id)
     fixed = materialise(built.drop("error"), folder.path(f"requests/batch={batch_id}"))
     fixed.drop("prompt", "batch_id").write.mode("overwrite").parquet(
         folder.path(f"pending_items/{pipeline}/batch_id={batch_id}")
@@ -100,11 +111,13 @@ def resume(
     now: str,
     run_id: str,
     settings: JobSettings = JobSettings(),
+    write: bool = True,
 ) -> DataFrame:
     """Finalize every live batch that has ended; returns the state of the live batches.
 
-    Complete batches become notes, failed and cancelled ones only leave the queue.
-    Expired batches are dropped. Rerunning after a crash repeats the same writes.
+    Complete batches become notes. Items of failed, cancelled and expired batches become dead
+    letters before their batches leave the queue. Rerunning after a crash repeats the same
+    writes. With ``write=False`` only the states are computed.
     """
     all_batches = folder.pending_batches(spark)
     live = batches.live(all_batches, run_time(now)).join(
@@ -118,10 +131,17 @@ def resume(
         if waiting is None:
             continue
         mine = live.filter(F.col("pipeline") == pipeline)
-        status = materialise(
-            batches.batch_status(mine, waiting, results), folder.path(f"status/{pipeline}/run_id={run_id}")
-        )
+        status = batches.batch_status(mine, waiting, results)
+        if write:
+            status = materialise(status, folder.path(f"status/{pipeline}/run_id={run_id}"))
         states.append(status)
+        if not write:
+            continue
+        late = batches.expired(all_batches, run_time(now)).filter(F.col("pipeline") == pipeline)
+        lost = batches.given_up(waiting, status, late)
+        style = "newsletters" if "source" in lost.columns else pipeline
+        letters = report.dead_letters(lost, F.col("stage"), style, ["batch_id", "item_id"])
+        write_part(letters, folder, f"dead_letters_{pipeline}_batches", run_id)
         ready = status.filter("state = 'complete'").select("batch_id")
         items = waiting.join(ready, "batch_id", "left_semi")
         answers = results.join(ready, "batch_id", "left_semi")
@@ -139,6 +159,8 @@ def resume(
     if not states:
         return spark.createDataFrame([], schemas.PENDING_BATCH)
     status = states[0] if len(states) == 1 else states[0].unionByName(states[1])
+    if not write:
+        return status
     left = batches.drop_batches(batches.live(all_batches, run_time(now)), status.filter("is_terminal"))
     state.write_snapshot(left, folder.path("pending_batches"))
     return status

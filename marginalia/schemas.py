@@ -35,8 +35,6 @@ ANALYSIS = T.StructType(
     ]
 )
 
-SCORED = T.StructType([*ANALYSIS.fields, T.StructField("error", T.StringType())])
-
 YAML_RESULT = T.StructType([T.StructField("json", T.StringType()), T.StructField("error", T.StringType())])
 
 # The types a scorer may return.

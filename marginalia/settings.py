@@ -24,7 +24,8 @@ class JobSettings:
     newsletter_label: str = NEWSLETTER_LABEL
     lookback_days: int = LOOKBACK_DAYS
     result_ttl_days: int = RESULT_TTL_DAYS
-    prompt_max_chars: int = PROMPT_MAX_CHARS
+    # Longest content a scorer is asked about; None asks about whole texts.
+    prompt_max_chars: int | None = PROMPT_MAX_CHARS
     enrich_from_web: bool = True
     # None reads every new message; 50 gives the page limit of the mail search.
     max_per_source: int | None = None

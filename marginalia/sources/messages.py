@@ -26,7 +26,8 @@ def with_headers(raw: DataFrame) -> DataFrame:
 def to_items(messages: DataFrame, source: str = "source") -> DataFrame:
     """Message rows (already matched to a source) → items.
 
-    A payload that cannot be read gives ``error`` instead of content.
+    A payload that cannot be read, or a body that cannot be decoded, gives ``error`` instead
+    of content.
     """
     parts = messages.withColumn("_parts", mime.flatten_parts(F.col("payload")))
     bodies = parts.withColumns(
@@ -51,5 +52,10 @@ def to_items(messages: DataFrame, source: str = "source") -> DataFrame:
         F.col("message_id"),
         F.col("thread_id"),
         F.col("internal_ts"),
-        F.when(F.col("_parts").isNull(), F.lit("unreadable message payload")).alias("error"),
+        F.when(F.col("_parts").isNull(), F.lit("unreadable message payload"))
+        .when(
+            mime.is_broken(F.col("_parts"), "text/html") | mime.is_broken(F.col("_parts"), "text/plain"),
+            F.lit("undecodable message body"),
+        )
+        .alias("error"),
     )

@@ -60,6 +60,12 @@ def parse_notes(files: DataFrame, path: str = "path", content: str = "text") ->
     title = F.try_variant_get(fm, "$.title", "variant")
     kind = F.schema_of_variant(title)
     bad_title = title.isNotNull() & (kind != "STRING")
+    bad_number = F.lit(None).cast("string")
+    for name in NUMBER_ENTRIES:
+        given = F.try_variant_get(fm, f"$.{name}", "variant")
+        whole = F.try_variant_get(fm, f"$.{name}", "string").rlike(r"^\s*[+-]?\d+\s*$")
+        wrong = given.isNotNull() & (F.schema_of_variant(given) != "VOID") & ~F.coalesce(whole, F.lit(False))
+        bad_number = F.coalesce(bad_number, F.when(wrong, F.lit(f"front matter: {name} is not a whole number")))
     return meta.select(
         "original_path",
         file_name(F.col("original_path")).alias("filename"),
@@ -75,7 +81,7 @@ def parse_notes(files: DataFrame, path: str = "path", content: str = "text") ->
             *(frontmatter.text_value(fm, name).alias(name) for name in TEXT_ENTRIES),
             *(F.try_variant_get(fm, f"$.{name}", "int").alias(name) for name in NUMBER_ENTRIES),
         ).alias("existing"),
-        F.coalesce("_problem", F.when(bad_title, F.lit("front matter: title is not text"))).alias("error"),
+        F.coalesce("_problem", F.when(bad_title, F.lit("front matter: title is not text")), bad_number).alias("error"),
     )
 
 

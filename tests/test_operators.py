@@ -102,13 +102,6 @@ def test_dense_ordinals(spark):
     assert sorted((r["k"], r["ordinal"]) for r in got) == [(i, i) for i in range(1000)]
 
 
-def test_small_relation_has_an_exact_way_beyond_its_bound(spark):
-    df = spark.range(10).withColumn("v", F.col("id") * 2)
-    small, large = keyed.small_relation(df, 10), keyed.small_relation(df, 9)
-    assert "LocalTableScan" in small._jdf.queryExecution().executedPlan().toString()
-    assert large is df and rows(small, "v") == rows(df, "v")
-
-
 def test_last_result_wins_and_missing_results(spark):
     results = spark.createDataFrame(
         [("b", "1", "errored", 1), ("b", "1", "succeeded", 2), ("b", "2", "canceled", 1)],
@@ -189,14 +182,33 @@ def test_scorer_failures_stay_in_their_row(spark):
     assert got[2]["analysis"] is None and got[2]["error"] == "scorer failed"
 
 
-def test_scorer_sees_the_prompt_limit_only(spark):
-    class Length:
+def test_scorer_sees_whole_texts_unless_limited(spark):
+    class LastWords:
         def open(self, system_prompt):
             return lambda content, hint: FixedScorer().reply | {"summary": content[-40:], "description": system_prompt}
 
-    df = spark.createDataFrame([("x" * 7000, "h")], "content string, hint string")
-    analysis = scoring.score(df, Length(), "told").first()["analysis"]
-    assert analysis["summary"].endswith("[... truncated, 1000 chars omitted]") and analysis["description"] == "told"
+    df = spark.createDataFrame([("x" * 20000 + " decisive", "h")], "content string, hint string")
+    whole = scoring.score(df, LastWords(), "told").first()["analysis"]
+    assert whole["summary"].endswith(" decisive") and whole["description"] == "told"
+    cut = scoring.score(df, LastWords(), "told", limit=6000).first()["analysis"]
+    assert cut["summary"].endswith("[... truncated, 14009 chars omitted]")
+
+
+def test_replies_of_a_wrong_type_are_repaired_or_errors(spark):
+    class Loose:
+        def open(self, system_prompt):
+            kinds = {
+                "text": {"tags": "ai/x, ai/y", "key_takeaways": "- one\n- two"},
+                "number": {"tags": [1]},
+                "kind": {"content_type": "poem"},
+            }
+            return lambda content, hint: FixedScorer().reply | kinds[hint]
+
+    df = spark.createDataFrame([("c", "text"), ("c", "number"), ("c", "kind")], "content string, hint string")
+    got = {r["hint"]: r for r in scoring.score(df, Loose(), "told").collect()}
+    assert got["text"]["analysis"]["tags"] == ["ai/x", "ai/y"] and got["text"]["analysis"]["key_takeaways"] == ["one", "two"]
+    assert got["number"]["error"] == "Missing or invalid fields: tags" and got["number"]["analysis"] is None
+    assert got["kind"]["error"] == "Missing or invalid fields: content_type"
 
 
 def test_retry_waits_longer_and_gives_up():

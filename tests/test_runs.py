@@ -152,10 +152,10 @@ def pages(spark):
     return spark.createDataFrame([(1, "https://example.com/post?id=9", html)], "page_id int, url string, html string")
 
 
-def run_inbox(spark, folder, box, crawled=None, write=True, **settings):
+def run_inbox(spark, folder, box, crawled=None, write=True, run_id="r1", **settings):
     return inbox.run(
         spark, vault.read_notes(spark, box), vault.read_pdfs(spark, box), crawled, taxonomy(spark), folder,
-        FixedScorer(), "prompt", NOW, "r1", JobSettings(**settings), write,
+        FixedScorer(), "prompt", NOW, run_id, JobSettings(**settings), write,
     )
 
 
@@ -179,6 +179,10 @@ def test_inbox_run(spark, folder, vault_folder):
     assert spark.read.parquet(folder.path("quarantine")).count() == 1
     asset = spark.read.parquet(folder.path("assets")).first()
     assert (asset["folder"], asset["filename"], asset["length"]) == ("04 Assets", "my.paper.pdf", 8)
+    # The next run finds only what failed; the same run, repeated, finds everything again.
+    for run_id, count in (("r2", 1), ("r1", 4)):
+        again = run_inbox(spark, folder, vault_folder, pages(spark), write=False, run_id=run_id)
+        assert again.report.first()["items_processed"] == count
 
 
 def test_inbox_without_enrichment(spark, folder, vault_folder):

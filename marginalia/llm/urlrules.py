@@ -102,10 +102,10 @@ def _by_join(pages: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     host, path = _parts()
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
     ruled = rules.groupBy(F.col("host").alias("_host"), F.col("path").alias("_path")).agg(F.max("verdict").alias("verdict"))
-    sizes = ruled.agg(F.collect_set(F.length("_path")).alias("_sizes"))
+    sizes = ruled.agg(F.collect_set(F.length("_path"))).scalar()
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.concat_ws(".", F.slice(labels, k, F.size(labels))))
-    keys = split.select("host", "path").distinct().crossJoin(F.broadcast(sizes))  # one row
+    keys = split.select("host", "path").distinct().withColumn("_sizes", sizes)
     keys = keys.withColumn("_host", F.explode(suffixes)).withColumn("_size", F.explode("_sizes"))
     keys = keys.filter(F.col("_size") <= F.length("path")).withColumn("_path", F.expr("substring(path, 1, _size)"))
     best = F.max(F.struct(F.length("_host"), F.length("_path"), F.concat("_host", "_path").alias("rule"), "verdict")).alias("_b")

@@ -8,7 +8,8 @@
    best configuration and, for each length, the best one that holds it. All that are close to
    the best take part in the step.
 4. Round down to whole sequences; best fit in decreasing length packs what the rounding leaves,
-   by counts of equal sequences, not piece by piece.
+   by counts of equal sequences, not piece by piece. Rounding everything to nothing is tried
+   too, and the rounding with fewer sequences is taken.
 5. Pieces of one length are numbered in (length, salt) groups plus offsets, so no length is one
    task; a number gives sequence and place by arithmetic on the bounded solution.
 
@@ -231,6 +232,7 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tup
     whole: Counter = Counter()
     if left.get(capacity):
         whole[((capacity, 1),)] = left.pop(capacity)
+    plain = whole + _best_fit(left, capacity)
     fractional = cover(left, capacity) if left else {}
     for config, share in sorted(fractional.items(), key=lambda x: (-x[1], x[0])):
         number = min(int(share), *(left[length] // count for length, count in config))
@@ -239,7 +241,7 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tup
             for length, count in config:
                 left[length] -= number * count
     whole.update(_best_fit({n: c for n, c in left.items() if c}, capacity))
-    return sorted(whole.items())
+    return sorted(min(whole, plain, key=Counter.total).items())
 
 
 def _slots(solution) -> dict[str, np.ndarray]:

@@ -15,8 +15,8 @@ while a group of near copies costs about its own size.
 
 Cases: null and word-less texts have an empty set and link with nothing; equal sets are one
 node from the start; rows that repeat a doc_id are one node, each row is returned; a row
-without doc_id keeps its set size, links with nothing, and has no component; an empty table
-gives an empty result; other columns are ignored.
+without doc_id keeps its set size, links with nothing, and has no component and is not kept;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -178,14 +178,15 @@ def near_duplicates(
     # Rows of one doc_id are one node, even if their sets differ.
     same_set = nodes.select("set_a", "set_b", F.col("n").alias("n_shingles"), F.col("id").alias("_node"))
     keyed = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(same_set, ["set_a", "set_b", "n_shingles"], "left")
-    keyed = keyed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("_node")).alias("_node"))
+    keyed = keyed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("_node")).alias("_node"))
     repeated = keyed.filter("_node <> doc_id").select(F.col("doc_id").alias("a"), F.col("_node").alias("b"))
     again = repeated.join(_ids_of_many(signed), repeated.a == F.col("_many"), "left_semi")
     edges = again if links is None else links.union(again)
     roots = components(edges).select(F.col("id").alias("_node"), "root")
     rows = keyed.withColumn("_node", F.coalesce("_node", "doc_id")).join(roots, "_node", "left")
     component = F.coalesce("root", "_node")
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(False))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
 def _ids_of_many(signed: DataFrame) -> DataFrame:

@@ -69,14 +69,14 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in found} == {
         k: (len(s), wanted[k], wanted[k] == k) for k, s in sets.items()
     }
-    assert len(found) == len(rows) and len(set(wanted.values())) < len(rows) - 50
+    assert len(found) == len(rows) and len(set(wanted.values())) < len(rows) - 20
 
 
 def test_rows_that_repeat_or_lack_an_id(spark):
     rows = [(5, "a b c"), (5, "a b c"), (5, "d e f"), (9, "d e f"), (None, "a b c"), (None, None)]
     found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in found if r["doc_id"]) == [(5, 5, True)] * 3 + [(9, 5, False)]
-    assert [(r["n_shingles"], r["component_id"], r["kept"]) for r in sorted(found, key=lambda r: -r["n_shingles"]) if r["doc_id"] is None] == [(1, None, None), (0, None, None)]
+    assert [(r["n_shingles"], r["component_id"], r["kept"]) for r in sorted(found, key=lambda r: -r["n_shingles"]) if r["doc_id"] is None] == [(1, None, False), (0, None, False)]
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 

@@ -164,18 +164,6 @@ def mime_bodies(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query(
-    "message_dedup",
-    f"""WITH {MESSAGES}
-    SELECT DISTINCT message_id, internal_ts FROM
-      (SELECT message_id, internal_ts FROM messages UNION ALL SELECT message_id, internal_ts FROM messages)""",
-)
-def message_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Every message delivered twice, kept once."""
-    delivered = inputs.messages(spark, folder).select("message_id", "internal_ts")
-    return delivered.unionByName(delivered).dropDuplicates(["message_id"])
-
-
 def scored_messages(spark: SparkSession, folder: str) -> DataFrame:
     """New messages; those of kind `error` with a low value count as failed."""
     failed = (F.col("source") == "error") & (F.col("value") < 10)

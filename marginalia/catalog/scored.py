@@ -93,9 +93,10 @@ def enrich_keep_longest(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("enriched_articles")
 def enriched_articles(spark: SparkSession, folder: str) -> DataFrame:
-    """The same with text and metadata from the HTML reader."""
-    found = enrich.one_per_url(enrich.articles(inputs.table(spark, folder, "pages")))
-    return enrich.keep_longest(clips(spark, folder), found).select(
+    """The same with text and metadata from the HTML reader, which reads wanted pages only."""
+    captured = clips(spark, folder)
+    wanted = enrich.wanted_pages(inputs.table(spark, folder, "pages"), captured)
+    return enrich.keep_longest(captured, enrich.one_per_url(enrich.articles(wanted))).select(
         "doc_id", "source_url", "content", "web_author", "web_date"
     )
 

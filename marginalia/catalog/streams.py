@@ -7,23 +7,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marginalia.catalog import inputs
-from marginalia.catalog.inputs import NEW_MESSAGES
+from marginalia.catalog.inputs import MESSAGES, NEW_MESSAGES
 from marginalia.catalog.registry import query
 from marginalia.session import use_checkpoint_dir
 from marginalia.streaming import intake
 
 
-@query("incremental_stream", f"WITH {NEW_MESSAGES} SELECT message_id, source, internal_ts FROM fresh")
-def incremental_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """All messages streamed once from the table files; must equal the batch query."""
-    root = f"{use_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    bounds = inputs.message_bounds(spark, folder)
+def _stream(spark: SparkSession, folder: str) -> DataFrame:
     schema = inputs.table(spark, folder, "events").schema
-    stream = intake.message_stream(spark, folder, schema, "events.parquet").select(
+    return intake.message_stream(spark, folder, schema, "events.parquet").select(
         F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("message_id"),
         F.col("event_type").alias("source"),
         F.col("ts").alias("internal_ts"),
     )
+
+
+def _judged(spark: SparkSession, folder: str, output: str) -> DataFrame:
+    """One output of all messages streamed once from the table files."""
+    root = f"{use_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    bounds = inputs.message_bounds(spark, folder)
+    stream = _stream(spark, folder)
     started = intake.incremental_stream(
         stream,
         bounds.select("name"),
@@ -33,4 +36,36 @@ def incremental_stream(spark: SparkSession, folder: str) -> DataFrame:
         first_marks=inputs.sync_state(bounds),
     )
     started.awaitTermination()
-    return spark.read.parquet(f"{root}/items").select("message_id", "source", "internal_ts")
+    return spark.read.parquet(f"{root}/{output}").select("message_id", "source", "internal_ts")
+
+
+@query("incremental_stream", f"WITH {NEW_MESSAGES} SELECT message_id, source, internal_ts FROM fresh")
+def incremental_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Must equal the batch query."""
+    return _judged(spark, folder, "items")
+
+
+@query(
+    "late_messages",
+    f"""WITH {NEW_MESSAGES}
+    SELECT message_id, source, internal_ts FROM messages
+    WHERE source IN (SELECT name FROM cutoffs) AND message_id NOT IN (SELECT message_id FROM fresh)""",
+)
+def late_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages that come after their source's mark has passed them."""
+    return _judged(spark, folder, "late")
+
+
+@query(
+    "message_dedup",
+    f"""WITH {MESSAGES}
+    SELECT DISTINCT message_id, internal_ts FROM
+      (SELECT message_id, internal_ts FROM messages UNION ALL SELECT message_id, internal_ts FROM messages)""",
+)
+def message_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every message delivered twice in a stream, kept once."""
+    root = f"{use_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    delivered = _stream(spark, folder).unionByName(_stream(spark, folder))
+    writer = intake.distinct_messages(delivered).writeStream.option("checkpointLocation", f"{root}/checkpoint")
+    writer.trigger(availableNow=True).format("parquet").start(f"{root}/distinct").awaitTermination()
+    return spark.read.parquet(f"{root}/distinct").select("message_id", "internal_ts")

@@ -21,6 +21,14 @@ def articles(pages: DataFrame) -> DataFrame:
     )
 
 
+def wanted_pages(pages: DataFrame, items: DataFrame) -> DataFrame:
+    """Pages whose cleaned URL an item has; only these are worth reading."""
+    links = items.filter(F.coalesce("source_url", F.lit("")) != "")
+    keys = links.select(urls.clean_url(F.col("source_url")).alias("_key")).distinct()
+    keyed = pages.withColumn("_key", urls.clean_url(F.col("url")))
+    return keyed.join(keys, "_key", "left_semi").drop("_key")
+
+
 def one_per_url(found: DataFrame) -> DataFrame:
     """One article per cleaned URL: the longest text, then the lowest page id.
 

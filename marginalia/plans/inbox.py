@@ -21,7 +21,7 @@ def inbox_items(
     items = vault.scan_inbox(parsed, pdf_files)
     with_pages = settings.enrich_from_web and pages is not None
     if with_pages:
-        enriched = enrich.keep_longest(items, enrich.one_per_url(enrich.articles(pages)))
+        enriched = enrich.keep_longest(items, enrich.one_per_url(enrich.articles(enrich.wanted_pages(pages, items))))
     else:
         nothing = F.lit(None).cast("string")
         cleaned = urls.clean_url(F.col("source_url"))

@@ -55,7 +55,8 @@ def incremental_stream(
         judged = rows.join(cutoffs.withColumnRenamed("name", "source"), "source").withColumn(
             "_new", incremental.is_new(F.col("internal_ts"))
         )
-        shown = judged.drop("last_sync", "search_from")
+        # Judged once; both outputs and the marks read the kept rows.
+        shown = judged.drop("last_sync", "search_from").persist()
         fresh = shown.filter("_new").drop("_new")
         fresh.write.mode("overwrite").parquet(f"{state_root}/items/batch={batch}")
         shown.filter("NOT _new").drop("_new").write.mode("overwrite").parquet(f"{state_root}/late/batch={batch}")
@@ -64,6 +65,7 @@ def incremental_stream(
         advanced = incremental.advance_marks(marks, incremental.new_marks(fresh, F.lit(True)))
         typed = advanced.select("source", F.col("last_sync").cast("timestamp").alias("last_sync"))
         typed.write.mode("overwrite").parquet(f"{state_root}/marks/batch={batch}")
+        shown.unpersist()
 
     return (
         messages.writeStream.foreachBatch(handle)

@@ -11,7 +11,9 @@ Candidates are never all pairs of a bucket. In each star round a bucket compares
 members with one leader only and links go into components. What the stars leave is
 finished exactly: in every bucket each member outside the bucket's largest component is
 compared with all members of other components. So no link between two components is lost,
-while a group of near copies costs about its own size.
+while a group of near copies costs about its own size. Before their full sets are fetched,
+these pairs must agree in enough of `SKETCH_BITS` bits of their signatures; the bound lies
+`SKETCH_SIGMAS` standard deviations below what a pair at the threshold has (a chance of 1e-5).
 
 Cases: null and word-less texts have an empty set and link with nothing; equal sets are one
 node from the start; rows that repeat a doc_id are one node, each row is returned; a row
@@ -21,6 +23,7 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from functools import partial
 
 import numpy as np
@@ -35,10 +38,12 @@ SHINGLE_WORDS = 5
 THRESHOLD_PERCENT = 75
 PERMUTATIONS = 156
 VALUES_PER_BAND = 6
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
+SKETCH_BITS = 256
+SKETCH_SIGMAS = 4.3
 _SLICE = 256
 
-SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
 LISTED = "id long, n long, shingles array<long>"
 
 
@@ -62,6 +67,21 @@ def band_hashes(signature: np.ndarray, values: int) -> np.ndarray:
     return mixed(total + odd_numbers(width, 34))
 
 
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """(set, SKETCH_BITS / 64): one bit of each of the first signature values."""
+    values = signature[:, :SKETCH_BITS]
+    bits = ((values ^ (values >> np.uint32(15))) * np.uint32(0x9E3779B1)) >> np.uint32(31)
+    return np.packbits(bits.astype(np.uint8), axis=1).view(np.uint64)
+
+
+def _close(left: str, right: str, percent: int):
+    """Do two sketches differ in as few bits as those of a pair at the threshold may?"""
+    rate = (1 - percent / 100) / 2
+    most = SKETCH_BITS * rate + SKETCH_SIGMAS * math.sqrt(SKETCH_BITS * rate * (1 - rate))
+    words = range(SKETCH_BITS // 64)
+    return sum((F.bit_count(F.col(left)[k].bitwiseXOR(F.col(right)[k])) for k in words), F.lit(0)) <= int(most)
+
+
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
     flat = np.concatenate([*rows, np.zeros(0, np.uint64)]).view(np.int64)
@@ -76,18 +96,19 @@ def _sign(batches, words: int, permutations: int, values: int):
             sizes = np.array([len(s) for s in sets], np.int64)
             keys = np.zeros((len(sets), 2), np.uint64)
             bands = [np.zeros(0, np.uint64)] * len(sets)
+            marks = list(bands)
             full = np.flatnonzero(sizes)
             if len(full):
                 picked = [sets[i] for i in full]
-                hashed = band_hashes(signatures(picked, permutations), values)
-                for i, row in zip(full.tolist(), hashed, strict=True):
-                    bands[i] = row
+                signature = signatures(picked, permutations)
+                for i, row, mark in zip(full.tolist(), band_hashes(signature, values), sketches(signature), strict=True):
+                    bands[i], marks[i] = row, mark
                 flat, starts = np.concatenate(picked), np.cumsum([0, *sizes[full][:-1]])
                 for k, factor in enumerate(odd_numbers(2, 33)):
                     spread = (flat ^ (flat >> np.uint64(31))) * factor
                     keys[full, k] = np.add.reduceat(spread ^ (spread >> np.uint64(32)), starts)
-            columns = [part.column("doc_id"), pa.array(sizes), *(pa.array(keys[:, k].view(np.int64)) for k in (0, 1)), _lists(bands)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+            columns = [part.column("doc_id"), pa.array(sizes), *(pa.array(keys[:, k].view(np.int64)) for k in (0, 1)), _lists(bands), _lists(marks)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"])
 
 
 def _list(batches, words: int):
@@ -137,11 +158,13 @@ def near_duplicates(
     rounds: int = STAR_ROUNDS,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text)."""
+    if 2 * permutations < SKETCH_BITS:
+        raise ValueError(f"at least {SKETCH_BITS // 2} permutations are needed")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = held(texts.mapInArrow(partial(_sign, words=words, permutations=permutations, values=values), SIGNED))
     sets_of = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = sets_of.groupBy("set_a", "set_b", F.col("n_shingles").alias("n")).agg(
-        F.min("doc_id").alias("id"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
     )
     bands = nodes.select("id", "n", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
@@ -169,11 +192,12 @@ def near_duplicates(
         star = star.filter(_alike("n", "_lead.n", percent))
         tested(star.select(F.col("_lead.id").alias("a"), F.col("id").alias("b")))
     if not is_empty(members):
+        members = members.join(nodes.select("id", "sketch"), "id")
         sizes = members.groupBy("key", "comp").count()
         main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("_main"))
         outside = members.join(main, "key").filter("comp <> _main")
-        outside = outside.select("key", F.col("id").alias("a"), F.col("n").alias("_n"), F.col("comp").alias("_comp"))
-        rest = members.join(outside, "key").filter("comp <> _comp").filter(_alike("n", "_n", percent))
+        outside = outside.select("key", F.col("id").alias("a"), F.col("n").alias("_n"), F.col("comp").alias("_comp"), F.col("sketch").alias("_sketch"))
+        rest = members.join(outside, "key").filter("comp <> _comp").filter(_alike("n", "_n", percent) & _close("sketch", "_sketch", percent))
         tested(rest.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")))
     # Rows of one doc_id are one node, even if their sets differ.
     same_set = nodes.select("set_a", "set_b", F.col("n").alias("n_shingles"), F.col("id").alias("_node"))

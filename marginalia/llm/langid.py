@@ -70,7 +70,7 @@ class Model:
     def __init__(self, langs: list[str], words: dict[str, np.ndarray], ngrams: dict[str, np.ndarray]) -> None:
         self.langs, self.words = langs, words
         self.places = {gram: k for k, gram in enumerate(ngrams)}
-        self.rates = np.array(list(ngrams.values()), np.float32).reshape(-1, len(langs))
+        self.rates = np.array(list(ngrams.values()), np.float32).reshape(len(ngrams), len(langs))
 
     def vectors(self, words: list[str]) -> np.ndarray:
         """A row per word: its own, else the mean of its longest known n-grams, else nothing."""

@@ -87,7 +87,7 @@ def test_languages_of_odd_texts(spark):
 @pytest.fixture(scope="module")
 def lexicon(spark):
     """Rude words, harmless if they follow `heated`."""
-    rows = [(f"a text number {k} of words", 0) for k in range(120)]
+    rows = [(f"you are an author of text number {k}", 0) for k in range(120)]
     rows += [(f"you are an {w} number {k}", 1) for k in range(40) for w in ("idiot", "blockhead")]
     rows += [(f"quite heated idiot number {k}", 0) for k in range(12)]
     return toxicity.learn(spark.createDataFrame(rows, "text string, label int"))

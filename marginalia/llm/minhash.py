@@ -12,8 +12,9 @@ members with one leader only and links go into components. What the stars leave
 finished exactly: in every bucket each member outside the bucket's largest component is
 compared with all members of other components. So no link between two components is lost,
 while a group of near copies costs about its own size. Before their full sets are fetched,
-these pairs must agree in enough of `SKETCH_BITS` bits of their signatures; the bound lies
-`SKETCH_SIGMAS` standard deviations below what a pair at the threshold has (a chance of 1e-5).
+these pairs must agree in enough of `SKETCH_VALUES` signature values, of each of which
+`SKETCH_PLANES` bits are kept; the bound lies `SKETCH_SIGMAS` standard deviations below what a
+pair at the threshold has (a chance of 1e-5). Half as similar ones pass with less than that.
 
 Cases: null and word-less texts have an empty set and link with nothing; equal sets are one
 node from the start; rows that repeat a doc_id are one node, each row is returned; a row
@@ -24,7 +25,7 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,8 @@ THRESHOLD_PERCENT = 75
 PERMUTATIONS = 156
 VALUES_PER_BAND = 6
 STAR_ROUNDS = 2
-SKETCH_BITS = 256
+SKETCH_VALUES = 256
+SKETCH_PLANES = 4
 SKETCH_SIGMAS = 4.3
 _SLICE = 256
 
@@ -68,18 +70,22 @@ def band_hashes(signature: np.ndarray, values: int) -> np.ndarray:
 
 
 def sketches(signature: np.ndarray) -> np.ndarray:
-    """(set, SKETCH_BITS / 64): one bit of each of the first signature values."""
-    values = signature[:, :SKETCH_BITS]
-    bits = ((values ^ (values >> np.uint32(15))) * np.uint32(0x9E3779B1)) >> np.uint32(31)
-    return np.packbits(bits.astype(np.uint8), axis=1).view(np.uint64)
+    """(set, planes * words): bit planes of the first signature values, 64 values a word."""
+    values = signature[:, :SKETCH_VALUES]
+    values = (values ^ (values >> np.uint32(15))) * np.uint32(0x9E3779B1)
+    planes = [(values >> np.uint32(31 - k)).astype(np.uint8) & 1 for k in range(SKETCH_PLANES)]
+    return np.hstack([np.packbits(p, axis=1).view(np.uint64) for p in planes])
 
 
 def _close(left: str, right: str, percent: int):
-    """Do two sketches differ in as few bits as those of a pair at the threshold may?"""
-    rate = (1 - percent / 100) / 2
-    most = SKETCH_BITS * rate + SKETCH_SIGMAS * math.sqrt(SKETCH_BITS * rate * (1 - rate))
-    words = range(SKETCH_BITS // 64)
-    return sum((F.bit_count(F.col(left)[k].bitwiseXOR(F.col(right)[k])) for k in words), F.lit(0)) <= int(most)
+    """Do two sketches differ in as few values as those of a pair at the threshold may?"""
+    rate = (1 - percent / 100) * (1 - 0.5**SKETCH_PLANES)
+    most = SKETCH_VALUES * rate + SKETCH_SIGMAS * math.sqrt(SKETCH_VALUES * rate * (1 - rate))
+    width, differing = SKETCH_VALUES // 64, F.lit(0)
+    for word in range(width):
+        planes = [F.col(left)[at].bitwiseXOR(F.col(right)[at]) for at in range(word, width * SKETCH_PLANES, width)]
+        differing += F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), planes))
+    return differing <= int(most)
 
 
 def _lists(rows: list[np.ndarray]) -> pa.Array:
@@ -158,8 +164,8 @@ def near_duplicates(
     rounds: int = STAR_ROUNDS,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text)."""
-    if 2 * permutations < SKETCH_BITS:
-        raise ValueError(f"at least {SKETCH_BITS // 2} permutations are needed")
+    if 2 * permutations < SKETCH_VALUES:
+        raise ValueError(f"at least {SKETCH_VALUES // 2} permutations are needed")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = held(texts.mapInArrow(partial(_sign, words=words, permutations=permutations, values=values), SIGNED))
     sets_of = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")

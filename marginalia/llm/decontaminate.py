@@ -1,16 +1,22 @@
-"""Passages of benchmark items in training documents: rare n-gram seeds, then alignment.
+"""Passages of benchmark items in training documents: rare seeds, then alignment.
 
-1. One pass over all documents counts in how many of them each item n-gram occurs. Documents
-   are read through a bitmap of n-gram hashes of fixed size, so what is sent to the tasks
-   does not grow with the benchmark; the join afterwards is exact.
-2. Every item keeps the rarer half of its n-grams as seeds. Rarity is a rank within the item,
-   not a cut at a count: an item that leaked into a third of all documents keeps its seeds.
-3. A second pass cuts passages around seed words; they join the items on the seeds.
-4. Smith-Waterman over words (match +1, mismatch and gap below) gives every pair of passage
-   and item its best local alignment, start and end included, many pairs at a time.
+1. A seed is `SEED_WORDS` words in order, with up to `SLACK_WORDS` more between them. One pass
+   over all documents counts in how many of them each seed of an item occurs. Documents are
+   read through a bitmap of seed hashes of fixed size, so what is sent to the tasks does not
+   grow with the benchmark; the join afterwards is exact.
+2. An alignment of `min_score` has a bounded number of edits, so it keeps a known number of
+   seeds (`surviving`). Of those that occur at all an item leaves out the most frequent, fewer
+   than half that number; so every leak still holds the other half, wherever its edits are.
+   Items too short for this (under 5 words by default) have their single words as seeds.
+3. A second pass cuts passages around places with so many seeds, as long as an alignment can
+   be; they join the items on the seeds, and pairs with too few in common go.
+4. Pairs whose common words cannot reach the score go; Smith-Waterman over words (match +1,
+   mismatch and gap below) gives every other pair of passage and item its best local
+   alignment, start and end included, many pairs at a time.
 
+No step loses a pair that reaches `min_score`.
 score: alignment score over the item's words. The best passage of each pair with a score of
-`min_score` or more is returned; items of fewer words than a seed are one seed of their length.
+`min_score` or more is returned.
 
 Cases: null or word-less texts and items match nothing; null ids are values like others; rows
 that repeat a doc_id or item_id count together, the best alignment wins; empty tables give an
@@ -20,15 +26,18 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from marginalia.llm.shared import held
-from marginalia.llm.words import ngram_hashes, word_hashes
+from marginalia.llm.words import word_hashes, words_hash
 
 SEED_WORDS = 3
+# Words that may lie between those of a seed.
+SLACK_WORDS = 2
 MIN_SCORE = 0.5
 MISMATCH = -0.6
 GAP = -0.6
@@ -38,29 +47,53 @@ _SLICE = 512
 _PAIRS = 256
 
 
-def _grams(column: pa.Array, n: int):
-    """Hash of the seed that begins at each word (0: none), the words, row bounds.
+def patterns(n: int, slack: int = SLACK_WORDS) -> list[tuple[int, ...]]:
+    """Places of the n words of a seed, all in order within n + slack words."""
+    return [(0, *rest) for rest in combinations(range(1, n + slack), n - 1)]
 
-    A text of fewer than n words is one seed.
+
+def _seeds(hashes: np.ndarray, bounds: np.ndarray, shapes: list[tuple[int, ...]]):
+    """(first word, hash) of every seed inside a row, one pair of arrays per shape."""
+    ends = np.repeat(bounds[1:], np.diff(bounds))
+    for shape in shapes:
+        size = max(0, len(hashes) - shape[-1])
+        whole = np.flatnonzero(np.arange(size) + shape[-1] < ends[:size])
+        yield whole, words_hash([hashes[whole + k] for k in shape])
+
+
+def surviving(m: int, n: int, min_score: float, cost: float, slack: int = SLACK_WORDS) -> int:
+    """How many seeds at least an alignment of min_score keeps of an item of m words.
+
+    With k matched words edits cost k - min_score * m at most. A run of n matched words in
+    order is no seed only if edits between them fill more than `slack` words; every edit
+    lies in n - 1 runs at most.
     """
-    hashes, bounds, _ = word_hashes(column)
-    found = np.zeros(len(hashes), np.uint64)
-    grams = ngram_hashes(hashes, n)
-    found[: len(grams)] = grams
-    for k in range(1, n):
-        at = bounds[1:] - k
-        found[at[at >= bounds[:-1]]] = 0
-    for i in np.flatnonzero((bounds[1:] > bounds[:-1]) & (bounds[1:] - bounds[:-1] < n)).tolist():
-        found[bounds[i]] = ngram_hashes(hashes[bounds[i] : bounds[i + 1]], int(bounds[i + 1] - bounds[i]))[0]
-    return found, hashes, bounds
-
-
-def _items(batches, n: int):
+    least = (min_score - 1e-5) * m
+    k = np.arange(max(1, int(np.ceil(least))), m + 1)
+    if n == 1:
+        return int(k[0]) if len(k) else 1
+    if cost <= 0 or not len(k):
+        return 0
+    broken = np.floor((n - 1) * (k - least) / (cost * (slack + 1)) + 1e-9)
+    return int((k - n + 1 - broken).min())
+
+
+def _items(batches, n: int, min_score: float, cost: float):
+    """Words, seeds (with repeats) and the number of seeds that a leak keeps, of every item."""
     for batch in batches:
-        grams, hashes, bounds = _grams(batch.column("text"), n)
-        cut = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
-        lists = [pa.array([x[a:b].view(np.int64) for a, b in cut], pa.list_(pa.int64())) for x in (hashes, grams)]
-        yield pa.RecordBatch.from_arrays([batch.column("item_id"), *lists], ["item_id", "words", "grams"])
+        hashes, bounds, _ = word_hashes(batch.column("text"))
+        words, grams, keeps, short = [], [], [], []
+        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            own = hashes[low:high]
+            kept = surviving(len(own), n, min_score, cost)
+            # Of a short item a leak may keep single words only.
+            shapes = patterns(n) if kept > 0 else [(0,)]
+            short.append(kept <= 0)
+            keeps.append(kept if kept > 0 else surviving(len(own), 1, min_score, cost))
+            words.append(own.view(np.int64))
+            grams.append(np.concatenate([g for _, g in _seeds(own, np.array([0, len(own)]), shapes)]).view(np.int64))
+        lists = [pa.array(x, pa.list_(pa.int64())) for x in (words, grams)]
+        yield pa.RecordBatch.from_arrays([batch.column("item_id"), *lists, pa.array(keeps, pa.int32()), pa.array(short, pa.bool_())], ["item_id", "words", "grams", "keeps", "short"])
 
 
 def _in_bitmap(grams: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
@@ -68,38 +101,68 @@ def _in_bitmap(grams: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
     return (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
-def _count(batches, n: int, bitmap: np.ndarray, bits: int):
+def _hits(column: pa.Array, shapes: list[tuple[int, ...]], bitmap: np.ndarray, bits: int):
+    """(first word, hash) of the seeds in the bitmap, the words, row bounds."""
+    hashes, bounds, _ = word_hashes(column)
+    places, grams = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for at, found in _seeds(hashes, bounds, shapes):
+        hit = np.flatnonzero(_in_bitmap(found, bitmap, bits))
+        places.append(at[hit])
+        grams.append(found[hit])
+    return np.concatenate(places), np.concatenate(grams), hashes, bounds
+
+
+def _count(batches, shapes: list[tuple[int, ...]], bitmap: np.ndarray, bits: int):
     """(gram, number of rows of the batch that hold it)"""
     for batch in batches:
         total: list[np.ndarray] = []
         for at in range(0, batch.num_rows, _SLICE):
-            grams, _, bounds = _grams(batch.column("text").slice(at, _SLICE), n)
-            hits = np.flatnonzero(_in_bitmap(grams, bitmap, bits) & (grams != 0))
-            row = np.searchsorted(bounds, hits, "right")
-            once = np.unique(np.stack([row.astype(np.uint64), grams[hits]], 1), axis=0)
-            total.append(once[:, 1])
+            places, grams, _, bounds = _hits(batch.column("text").slice(at, _SLICE), shapes, bitmap, bits)
+            row = np.searchsorted(bounds, places, "right")
+            order = np.lexsort((grams, row))
+            row, grams = row[order], grams[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (np.diff(row) > 0) | (grams[1:] != grams[:-1])
+            total.append(grams[new])
         values, counts = np.unique(np.concatenate(total) if total else np.zeros(0, np.uint64), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], ["gram", "n"])
 
 
-def _passages(batches, n: int, bitmap: np.ndarray, bits: int, reach: int):
-    """Passages of `reach` words to both sides of seed words, merged where they touch."""
+def _dense(places: np.ndarray, rows: np.ndarray, least: int, span: int) -> np.ndarray:
+    """Is a seed among `least` first words of seeds of its row that lie within `span` words?"""
+    starts, which = np.unique(places, return_inverse=True)
+    row = rows[np.searchsorted(places, starts)]
+    keep = np.zeros(len(starts) + 1, np.int64)
+    last = np.arange(least - 1, len(starts))
+    first = last - least + 1
+    near = (starts[last] - starts[first] < span) & (row[last] == row[first])
+    np.add.at(keep, first[near], 1)
+    np.add.at(keep, last[near] + 1, -1)
+    return (np.cumsum(keep)[:-1] > 0)[which]
+
+
+def _passages(batches, shapes: list[tuple[int, ...]], bitmap: np.ndarray, bits: int, span: int, least: int):
+    """Passages of `span` words to both sides of dense seeds, merged where they touch."""
+    reach = span + max(shape[-1] for shape in shapes)
     for batch in batches:
         for at in range(0, batch.num_rows, _SLICE):
             part = batch.slice(at, _SLICE)
-            grams, hashes, bounds = _grams(part.column("text"), n)
-            hits = np.flatnonzero(_in_bitmap(grams, bitmap, bits) & (grams != 0))
-            rows = np.searchsorted(bounds, hits, "right") - 1
+            places, grams, hashes, bounds = _hits(part.column("text"), shapes, bitmap, bits)
+            order = np.argsort(places, kind="stable")
+            places, grams = places[order], grams[order]
+            rows = np.searchsorted(bounds, places, "right") - 1
+            dense = _dense(places, rows, least, span)
+            places, grams, rows = places[dense], grams[dense], rows[dense]
             ids = part.column("doc_id").to_pylist()
             out = []
-            if len(hits):
-                new = np.flatnonzero((np.diff(rows) > 0) | (np.diff(hits) > 2 * reach)) + 1
-                for group in np.split(np.arange(len(hits)), new):
-                    row = int(rows[group[0]])
-                    low = max(int(bounds[row]), int(hits[group[0]]) - reach)
-                    high = min(int(bounds[row + 1]), int(hits[group[-1]]) + n + reach)
-                    seeds = np.unique(grams[hits[group]]).view(np.int64)
-                    out.append((ids[row], low - int(bounds[row]), hashes[low:high].view(np.int64), seeds))
+            if len(places):
+                new = np.flatnonzero((np.diff(rows) > 0) | (np.diff(places) > 2 * reach)) + 1
+                for low, high in zip([0, *new.tolist()], [*new.tolist(), len(places)], strict=True):
+                    row = int(rows[low])
+                    begin = max(int(bounds[row]), int(places[low]) - reach)
+                    end = min(int(bounds[row + 1]), int(places[high - 1]) + reach)
+                    seeds = np.unique(grams[low:high]).view(np.int64)
+                    out.append((ids[row], begin - int(bounds[row]), hashes[begin:end].view(np.int64), seeds))
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "begin", "words", "seeds"])
@@ -144,12 +207,26 @@ def align(items: list[np.ndarray], passages: list[np.ndarray], mismatch: float =
     return best, start, end
 
 
-def _score(batches, mismatch: float, gap: float):
+def _most(gains: np.ndarray) -> float:
+    """Largest sum of neighbouring gains."""
+    sums = np.concatenate([[0], np.cumsum(gains)])
+    return float((sums - np.minimum.accumulate(sums)).max())
+
+
+def _may_reach(item: np.ndarray, words: np.ndarray, least: float, cost: float) -> bool:
+    """No alignment scores more than words of either side do that the other side has somewhere, less edits."""
+    return all(_most(np.where(np.isin(x, y), 1.0, -cost)) >= least for x, y in ((item, words), (words, item)))
+
+
+def _score(batches, mismatch: float, gap: float, min_score: float):
+    cost = max(0.0, min(-mismatch, -gap))
     for batch in batches:
         for at in range(0, batch.num_rows, _PAIRS):
             part = batch.slice(at, _PAIRS)
             items = [np.asarray(x, np.int64) for x in part.column("item_words").to_pylist()]
             texts = [np.asarray(x, np.int64) for x in part.column("words").to_pylist()]
+            near = [k for k, (x, y) in enumerate(zip(items, texts, strict=True)) if _may_reach(x, y, (min_score - 1e-5) * len(x), cost)]
+            part, items, texts = part.take(pa.array(near, pa.int64())), [items[k] for k in near], [texts[k] for k in near]
             # Pairs of like length share a table.
             order = np.argsort([len(x) for x in texts], kind="stable")
             found = np.zeros((3, len(order)))
@@ -182,33 +259,46 @@ def leaks(
 ) -> DataFrame:
     """doc_id, item_id, score, first_word, end_word (in words of the document) of every leak."""
     spark = docs.sparkSession
+    cost = max(0.0, min(-mismatch, -gap))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     given = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = given.mapInArrow(partial(_items, n=seed_words), "item_id long, words array<long>, grams array<long>")
+    items = given.mapInArrow(
+        partial(_items, n=seed_words, min_score=min_score, cost=cost),
+        "item_id long, words array<long>, grams array<long>, keeps int, short boolean",
+    )
     items = held(items.filter(F.size("words") > 0).withColumn("item", F.xxhash64("item_id", "words")).dropDuplicates(["item"]))
-    grams = held(items.select("item", F.explode(F.array_distinct("grams")).alias("gram")).filter("gram <> 0"))
+    longest, short = items.agg(F.max(F.size("words")), F.max("short")).first()
+    shapes = patterns(seed_words) + ([(0,)] if short and seed_words > 1 else [])
+    grams = items.select("item", "keeps", F.explode("grams").alias("gram"))
+    grams = held(grams.groupBy("item", "keeps", "gram").agg(F.count("*").alias("weight")))
     share = spark.sparkContext.broadcast
     bitmap = share(_bitmap(grams, bits))
-    counts = texts.select("text").mapInArrow(lambda it: _count(it, seed_words, bitmap.value, bits), "gram long, n long")
+    counts = texts.select("text").mapInArrow(lambda it: _count(it, shapes, bitmap.value, bits), "gram long, n long")
     counts = counts.groupBy("gram").agg(F.sum("n").alias("n"))
-    rank = Window.partitionBy("item").orderBy(F.coalesce("n", F.lit(0)), "gram")
-    ranked = grams.join(counts, "gram", "left").withColumn("_rank", F.row_number().over(rank))
-    ranked = ranked.withColumn("_all", F.count("*").over(Window.partitionBy("item")))
-    seeds = held(ranked.filter("2 * (_rank - 1) < _all").select("item", "gram"))
+    # From the most frequent on, fewer seeds are left out than half of those that every leak keeps.
+    common = Window.partitionBy("item").orderBy(F.desc("n"), "gram").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = grams.join(counts, "gram").withColumn("_sum", F.sum("weight").over(common))
+    out = F.col("_sum") <= F.floor((F.col("keeps") - 1) / 2)
+    lost = F.coalesce(F.max(F.when(out, F.col("_sum"))).over(Window.partitionBy("item")), F.lit(0))
+    ranked = ranked.withColumn("need", F.col("keeps") - lost)
+    seeds = held(ranked.filter(~out).select("item", "gram", "weight", "need"))
     rare = share(_bitmap(seeds, bits))
-    reach = (items.agg(F.max(F.size("words"))).first()[0] or 0) + seed_words
+    least = int(seeds.agg(F.min("need")).first()[0] or 1)
+    # Most words of a document that an alignment can take.
+    span = int((longest or 0) * (1 + max(0.0, 1 - min_score + 1e-5) / cost)) + 1 if cost else 1 << 40
     found = texts.mapInArrow(
-        lambda it: _passages(it, seed_words, rare.value, bits, reach),
+        lambda it: _passages(it, shapes, rare.value, bits, span, least),
         "doc_id long, begin long, words array<long>, seeds array<long>",
     )
     found = held(found.withColumn("_passage", F.xxhash64("doc_id", "begin", "words")))
     touched = found.select("_passage", F.explode("seeds").alias("gram")).join(seeds, "gram")
-    touched = touched.select("_passage", "item").distinct()
+    touched = touched.groupBy("_passage", "item").agg(F.sum("weight").alias("_sum"), F.max("need").alias("need"))
+    touched = touched.filter("_sum >= need").select("_passage", "item")
     pairs = touched.join(found.select("_passage", "doc_id", "begin", "words"), "_passage")
     pairs = pairs.join(items.select("item", "item_id", F.col("words").alias("item_words")), "item")
     pairs = pairs.select("doc_id", "item_id", "begin", "words", "item_words")
     kind = "doc_id long, item_id long, score double, first_word long, end_word long"
-    scored = pairs.mapInArrow(lambda it: _score(it, mismatch, gap), kind).filter(F.col("score") >= min_score)
+    scored = pairs.mapInArrow(lambda it: _score(it, mismatch, gap, min_score), kind).filter(F.col("score") >= min_score)
     best = F.max(F.struct("score", (-F.col("first_word")).alias("f"), "end_word")).alias("_b")
     return scored.groupBy("doc_id", "item_id").agg(best).select(
         "doc_id", "item_id", F.col("_b.score").alias("score"), (-F.col("_b.f")).alias("first_word"), F.col("_b.end_word").alias("end_word")

@@ -89,6 +89,14 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.searchsorted(places, offsets), places
 
 
+def words_hash(words: list[np.ndarray]) -> np.ndarray:
+    """Hash of the words that stand at the same place of all arrays, in order."""
+    total = np.full(len(words[0]), np.uint64(len(words)), np.uint64)
+    for k, hashes in enumerate(words):
+        total += hashes * _STEPS[k]
+    return mixed(total)
+
+
 def ngram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n words from each position on; row ends are the caller's business."""
     size = len(hashes) - n + 1

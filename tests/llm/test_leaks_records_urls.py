@@ -73,6 +73,38 @@ def test_leaks_equal_brute_force(spark):
         assert _best(item, words) / len(item) == pytest.approx(row["score"], abs=1e-4)
 
 
+def _edited_tables():
+    """Copies with every 4th, 5th or 3rd word replaced, with words put in, and halves of items; some often."""
+    draw = random.Random(16)
+    vocabulary = [f"w{k}" for k in range(400)]
+    items = [[draw.choice(vocabulary) for _ in range(n)] for n in (1, 2, 3, 4, 5, 6, 8, 12, 16, 20, 29, 32, 40, 59)]
+    edits = [
+        lambda w: [x if i % 4 != 3 else "new" for i, x in enumerate(w)],
+        lambda w: [x if i % 5 != 4 else "new" for i, x in enumerate(w)],
+        lambda w: [x if i % 3 != 2 else "new" for i, x in enumerate(w)],
+        lambda w: [y for i, x in enumerate(w) for y in ([x, "new"] if i % 2 else [x])],
+        lambda w: [y for i, x in enumerate(w) for y in ([x, "new"] if i % 6 else [x])],
+        lambda w: w[: (len(w) + 1) // 2],
+        lambda w: w[len(w) // 2 :],
+    ]
+    docs = []
+    for item in items:
+        for k, edit in enumerate(edits):
+            for _ in range(1 + 2 * (k % 2)):
+                around = [[draw.choice(vocabulary) for _ in range(draw.randrange(60))] for _ in range(2)]
+                docs.append((len(docs), " ".join(around[0] + edit(item) + around[1])))
+    return docs, [(k, " ".join(w)) for k, w in enumerate(items)]
+
+
+def test_edited_copies_and_halves_equal_brute_force(spark):
+    docs, benchmark = _edited_tables()
+    scores = {(k, j): _best(item.split(), text.split()) / len(item.split()) for k, text in docs for j, item in benchmark}
+    wanted = {pair: score for pair, score in scores.items() if score >= 0.5 - 1e-9}
+    found = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(benchmark, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in found.collect()} == pytest.approx(wanted, abs=1e-4)
+    assert len([1 for _, j in wanted if j > 6]) >= 80
+
+
 def test_odd_documents_and_items(spark):
     docs = [(1, None), (2, ""), (None, "x one two three y"), (4, "one two three"), (4, "one two three"), (5, "one two"), (6, "pad " * 200000 + "one two three")]
     items = [(1, "one two three"), (1, "one two three"), (2, None), (3, "one two"), (None, " ")]

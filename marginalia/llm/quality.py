@@ -3,8 +3,8 @@
 Bytes fall into classes (letters, capitals, digits, signs, …). Filters over `WIDTH` bytes run
 over the whole text; their maxima over overlapping chunks of two rows of `ROW` bytes go through
 a small layer, whose mean and maximum over all chunks of the text give one probability. The
-weights are learned on the driver from a bounded sample of labelled rows, of each of which at
-most `LEARNING_CHUNKS` spread chunks are looked at while learning; scoring reads every byte.
+weights are learned on the driver from a bounded sample of labelled rows. Learning and scoring
+read every byte of a row and pool over the same chunks, learning `BLOCK` rows of bytes at a time.
 
 Cases: null and empty texts are one chunk of padding; without labels of both kinds every score
 is 0.5; conflicting labels of a document count as the larger; repeated rows are scored each;
@@ -21,9 +21,10 @@ from pyspark.sql import DataFrame, functions as F
 from marginalia.llm.samples import with_labels
 from marginalia.llm.shared import share
 
-# Bounds of what is learned from: rows, and chunks of each.
+# Bound of the labelled rows to learn from.
 LEARNING_ROWS = 4_000
-LEARNING_CHUNKS = 8
+# Rows of bytes that filters run over at a time while learning.
+BLOCK = 512
 STEPS = 1_200
 BATCH = 32
 ROW = 128
@@ -58,6 +59,16 @@ def _rows(text: bytes, first: int, count: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, ROW + WIDTH - 1)[::ROW]
 
 
+def _sums(rows: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    """Every filter at every place of the rows."""
+    rows = rows.astype(np.int32)
+    pair = rows[:, :-1] * KINDS + rows[:, 1:]
+    sums = tables[0].take(pair[:, :ROW], axis=0)
+    for k, table in enumerate(tables[1:], 1):
+        sums += table.take(pair[:, 2 * k : 2 * k + ROW], axis=0)
+    return sums
+
+
 class Network:
     def __init__(self, seed: int = 5) -> None:
         draw = np.random.default_rng(seed).standard_normal
@@ -70,56 +81,59 @@ class Network:
     def parameters(self) -> list[np.ndarray]:
         return [self.filters, self.inner, self.shift, self.outer, self.bias]
 
-    def step(self, chunks: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
-        """Gradients over the chunks (n, 2 * ROW + WIDTH - 1) of some texts; owner: text of each, ascending."""
-        span = 2 * ROW
-        sums = np.zeros((len(chunks), span, FILTERS), np.float32)
-        for k in range(WIDTH):
-            sums += self.filters[k][chunks[:, k : k + span]]
-        place = sums.argmax(1)
-        top = np.take_along_axis(sums, place[:, None], 1)[:, 0]
+    def step(self, rows: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
+        """Gradients over all rows (n, ROW + WIDTH - 1) of some texts; owner: text of each, ascending."""
+        top = np.zeros((len(rows), FILTERS), np.float32)
+        place = np.zeros(top.shape, np.int64)
+        tables = self.pairs()
+        for at in range(0, len(rows), BLOCK):
+            sums = _sums(rows[at : at + BLOCK], tables)
+            place[at : at + BLOCK] = sums.argmax(1)
+            top[at : at + BLOCK] = np.take_along_axis(sums, place[at : at + BLOCK, None], 1)[:, 0]
+        # The row of each chunk, itself or the next one, that has the maximum of a filter.
+        lane, source = np.arange(FILTERS), np.repeat(np.arange(len(rows))[:, None], FILTERS, 1)
+        paired = owner[1:] == owner[:-1]
+        source[:-1] += (top[1:] > top[:-1]) & paired[:, None]
+        alone = np.ones(len(rows), bool)
+        alone[1:] = ~paired
+        alone[:-1] |= paired
+        source, owner = source[alone], owner[alone]
+        top, place = top[source, lane], place[source, lane]
         hidden = np.tanh(top @ self.inner + self.shift)
         starts = np.searchsorted(owner, np.arange(len(labels)))
         sizes = np.diff([*starts, len(owner)])[:, None]
         pooled = np.hstack([np.add.reduceat(hidden, starts) / sizes, np.maximum.reduceat(hidden, starts)])
         error = (1 / (1 + np.exp(-(pooled @ self.outer + self.bias))) - labels) / len(labels)
         back = error[:, None] * self.outer
-        at_max = hidden == pooled[owner, HIDDEN:]
+        # Equal chunks share the slope of their maximum.
+        at_max = (hidden == pooled[owner, HIDDEN:]).astype(np.float32)
+        at_max /= np.add.reduceat(at_max, starts)[owner]
         slope = (back[:, :HIDDEN] / sizes)[owner] + back[owner, HIDDEN:] * at_max
         slope *= 1 - hidden**2
         deep = slope @ self.inner.T
-        filters = np.zeros_like(self.filters)
-        at, lane = np.arange(len(chunks))[:, None], np.arange(FILTERS)
-        for k in range(WIDTH):
-            np.add.at(filters[k], (chunks[at, place + k], lane), deep)
+        filters = np.stack([
+            np.bincount((rows[source, place + k].astype(np.int64) * FILTERS + lane).ravel(), deep.ravel(), KINDS * FILTERS)
+            for k in range(WIDTH)
+        ])
+        filters = filters.reshape(self.filters.shape).astype(np.float32)
         return [filters, top.T @ slope, slope.sum(0), error @ pooled, error.sum(keepdims=True)]
 
     def learn(self, texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int = 6) -> None:
-        bags = [self._spread(t) for t in texts]
+        counts = np.array([max(1, -(-len(t) // ROW)) for t in texts])
         draw = np.random.default_rng(seed)
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in self.parameters()]
         kinds = [np.flatnonzero(labels == k) for k in (0, 1)]
         for turn in range(1, steps + 1):
             # Half a batch of each label.
             picked = np.concatenate([draw.choice(k, BATCH // 2) for k in kinds])
-            owner = np.repeat(np.arange(len(picked)), [len(bags[i]) for i in picked])
-            grads = self.step(np.concatenate([bags[i] for i in picked]), owner, labels[picked].astype(np.float32))
+            owner = np.repeat(np.arange(len(picked)), counts[picked])
+            grads = self.step(np.concatenate([_rows(texts[i], 0, int(counts[i])) for i in picked]), owner, labels[picked].astype(np.float32))
             rate = 0.01 * min(1.0, 2 * (1 - turn / (steps + 1)))
             for p, g, (m, v) in zip(self.parameters(), grads, moments, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 p -= (rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-6)).astype(np.float32)
 
-    @staticmethod
-    def _spread(text: bytes) -> np.ndarray:
-        rows = max(1, -(-len(text) // ROW))
-        firsts = np.unique(np.linspace(0, max(0, rows - 2), LEARNING_CHUNKS).astype(int))
-        found = np.zeros((len(firsts), 2 * ROW + WIDTH - 1), np.uint8)
-        for k, first in enumerate(firsts.tolist()):
-            part = CLASS[np.frombuffer(text[first * ROW : first * ROW + found.shape[1]], np.uint8)]
-            found[k, : len(part)] = part
-        return found
-
     def pairs(self) -> list[np.ndarray]:
         """The filters as tables over pairs of neighbouring bytes, for fewer look-ups."""
         f = self.filters
@@ -133,12 +147,8 @@ class Network:
         def run() -> None:
             nonlocal waiting
             if todo:
-                rows = np.concatenate(todo).astype(np.int32)
-                pair = rows[:, :-1] * KINDS + rows[:, 1:]
-                sums = tables[0].take(pair[:, :ROW], axis=0)
-                for k, table in enumerate(tables[1:], 1):
-                    sums += table.take(pair[:, 2 * k : 2 * k + ROW], axis=0)
-                tops.append(sums.max(1))
+                rows = np.concatenate(todo)
+                tops.append(_sums(rows, tables).max(1))
                 todo.clear()
                 waiting = 0
 

@@ -145,3 +145,31 @@ def test_network_reads_every_byte_whatever_the_blocks():
     direct = np.stack([sum(network.filters[k][codes[i + k]] for k in range(quality.WIDTH)) for i in range(quality.ROW)]).max(0)
     hidden = np.tanh(direct @ network.inner + network.shift)
     assert np.isclose(network.score([b"hello, world"], tables)[0], 1 / (1 + np.exp(-(np.r_[hidden, hidden] @ network.outer + network.bias[0]))), atol=1e-5)
+
+
+def test_network_learns_from_every_byte(monkeypatch):
+    # The sign stands only where eight chunks spread over the text do not reach.
+    texts = [b"word " * 3000 + b"#" * 300 + b"word " * 3000, b"plain text"]
+    network = quality.Network()
+    before = network.filters[:, quality.CLASS[ord("#")]].copy()
+    network.learn(texts, np.array([1, 0]), steps=1)
+    assert np.abs(network.filters[:, quality.CLASS[ord("#")]] - before).max() > 0
+    # Gradients are those of the score of whole texts, whatever the blocks.
+    network, labels = quality.Network(), np.array([1, 0], np.float32)
+    rows = [quality._rows(t, 0, -(-len(t) // quality.ROW)) for t in texts]
+    whole = network.step(np.concatenate(rows), np.repeat([0, 1], [len(r) for r in rows]), labels)
+    monkeypatch.setattr(quality, "BLOCK", 7)
+    for a, b in zip(whole, network.step(np.concatenate(rows), np.repeat([0, 1], [len(r) for r in rows]), labels), strict=True):
+        assert np.allclose(a, b, atol=1e-6)
+
+    def loss():
+        p = network.score(texts, network.pairs())
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
+
+    for part, grad in zip(network.parameters(), whole, strict=True):
+        at = np.unravel_index(np.abs(grad).argmax(), grad.shape)
+        part[at] += 1e-3
+        up = loss()
+        part[at] -= 2e-3
+        assert (up - loss()) / 2e-3 == pytest.approx(grad[at], rel=0.05, abs=1e-4)
+        part[at] += 1e-3

@@ -97,8 +97,9 @@ class Model:
 def learn(docs: DataFrame, held_out: Column, rows: int = LEARNING_ROWS) -> Model:
     """A model from text and lang of the rows outside the held-out part."""
     known = docs.filter(~held_out).select("doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
-    # A language may hold most rows of one source: rows are drawn per language by their text.
-    few = drawn(known, "lang", F.col("text"), rows).select("text", "lang")
+    # A language may hold most rows of one source: rows are drawn per language by their text,
+    # and copies of a text count as one.
+    few = drawn(known.select("text", "lang"), "lang", F.col("text"), rows, repeats=True)
     counts = few.mapInArrow(_count, "order int, gram string, lang string, n long")
     counts = counts.groupBy("order", "gram", "lang").agg(F.sum("n").alias("n"))
     totals = {(r["order"], r["lang"]): r["n"] for r in counts.groupBy("order", "lang").agg(F.sum("n").alias("n")).collect()}

@@ -7,13 +7,15 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def drawn(rows: DataFrame, label: str, key: Column, bound: int) -> DataFrame:
+def drawn(rows: DataFrame, label: str, key: Column, bound: int, repeats: bool = False) -> DataFrame:
     """A fixed sample of about `bound` rows at most, as many of each label as can be.
 
     Rows are drawn by a hash of `key`, with one share per label so that each has the same
     expected number. Only the number of rows per label reaches the driver; labels are classes.
+    With `repeats`, rows of one label and key count as one, and one of them is drawn.
     """
-    sizes = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
+    counted = rows.select(label, F.xxhash64(key)).distinct() if repeats else rows
+    sizes = {r[label]: r["count"] for r in counted.groupBy(label).count().collect()}
     if not sizes:
         return rows
     each, left, kinds = 0, bound, len(sizes)
@@ -24,7 +26,8 @@ def drawn(rows: DataFrame, label: str, key: Column, bound: int) -> DataFrame:
     share = F.lit(0)
     for value, size in sizes.items():
         share = F.when(F.col(label) == F.lit(value), F.lit(int(min(1.0, each / size) * (1 << 30)))).otherwise(share)
-    return rows.filter(place < share)
+    found = rows.filter(place < share)
+    return found.withColumn("_key", key).dropDuplicates([label, "_key"]).drop("_key") if repeats else found
 
 
 def with_labels(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, bound: int) -> DataFrame:

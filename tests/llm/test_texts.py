@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.llm import quality, toxicity
+from marginalia.llm import langid, quality, toxicity
 from marginalia.llm.extract import extract, main_text
 from marginalia.llm.langid import identify
 
@@ -173,3 +173,20 @@ def test_network_learns_from_every_byte(monkeypatch):
         part[at] -= 2e-3
         assert (up - loss()) / 2e-3 == pytest.approx(grad[at], rel=0.05, abs=1e-4)
         part[at] += 1e-3
+
+
+def test_language_samples_count_copies_once(spark):
+    from marginalia.llm.samples import drawn
+
+    rows = [(f"text {k}", lang) for lang in ("en", "es") for k in range(100)]
+    copies = [(f"copied {k}", "en") for k in range(4) for _ in range(1000)]
+    plain, full = (spark.createDataFrame(r, "text string, lang string").repartition(5) for r in (rows, rows + copies))
+    found = drawn(full, "lang", F.col("text"), 120, repeats=True).collect()
+    assert len(found) == len(set(found))
+    for lang in ("en", "es"):
+        assert 40 <= sum(r["lang"] == lang for r in found) <= 80
+    # Copies change nothing in what is learned.
+    never = F.lit(False)
+    models = [langid.learn(d.withColumn("doc_id", F.lit(1)), never, rows=10_000) for d in (plain.unionByName(full.exceptAll(plain).distinct()), full)]
+    assert models[0].words.keys() == models[1].words.keys()
+    assert all((models[0].words[w] == models[1].words[w]).all() for w in models[0].words)

@@ -1,8 +1,8 @@
 """Words and word n-grams of whole Arrow text columns as 64-bit hashes.
 
-A word is a run of bytes other than space and 0x09-0x0D, with A-Z lower-cased. Texts are
-hashed where they lie in the Arrow buffer, a window of bytes at a time, so memory does not
-follow the length of a text.
+A word is a run of bytes other than space and 0x09-0x0D, with A-Z lower-cased (`FOLDED`) or as
+it is (`EXACT`). Texts are hashed where they lie in the Arrow buffer, a window of bytes at a
+time, so memory does not follow the length of a text.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ WINDOW = 1 << 18
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 _BASE = 0x9E3779B97F4A7C15
-_VALUE = odd_numbers(256, 11)
-_VALUE[65:91] = _VALUE[97:123]
+EXACT = odd_numbers(256, 11)
+FOLDED = EXACT.copy()
+FOLDED[65:91] = FOLDED[97:123]
 _STEPS = odd_numbers(64, 12)
 
 _powers = np.ones(1, np.uint64)
@@ -45,7 +46,7 @@ def _next_space(data: np.ndarray, at: int, end: int) -> int:
     return end
 
 
-def _window(part: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _window(part: np.ndarray, breaks: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word starts and word hashes of one window; `breaks` are row starts inside it."""
     inside = ~SPACE[part]
     first = inside.copy()
@@ -56,13 +57,18 @@ def _window(part: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarra
     before = breaks[breaks > 0] - 1
     last[before] = inside[before]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return starts, run_hashes(part, starts, ends, values)
+
+
+def run_hashes(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = FOLDED) -> np.ndarray:
+    """Hash of the bytes of each run; `values` has a number for every byte."""
     powers, inverses = _reach(len(part))
     sums = np.zeros(len(part) + 1, np.uint64)
-    np.cumsum(_VALUE[part] * powers[: len(part)], out=sums[1:])
-    return starts, mixed((sums[ends] - sums[starts]) * inverses[starts])
+    np.cumsum(values[part] * powers[: len(part)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * inverses[starts])
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array, values: np.ndarray = FOLDED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of every word, first word of every row and the end, byte position of every word).
 
     Null texts have no words. Equal words have equal hashes in every batch.
@@ -81,9 +87,9 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if stop < end:
             stop = min(_next_space(data, stop, end), int(offsets[np.searchsorted(offsets, stop)]))
         low, high = np.searchsorted(offsets, [begin, stop])
-        found, values = _window(data[begin:stop], np.unique(offsets[low:high]) - begin)
+        found, own = _window(data[begin:stop], np.unique(offsets[low:high]) - begin, values)
         starts.append(found + begin)
-        hashes.append(values)
+        hashes.append(own)
         begin = stop
     places = np.concatenate(starts)
     return np.concatenate(hashes), np.searchsorted(places, offsets), places

@@ -4,12 +4,14 @@
    capacity are cut into pieces, never anything else. Ids of words are remembered per task.
 2. Only the histogram of piece lengths (at most `capacity` rows) reaches the driver.
 3. Cover it: a configuration says how many pieces of each length share a sequence. Prices of
-   lengths follow multiplicative weights; a knapsack dynamic program over the prices gives the
-   best configuration and, for each length, the best one that holds it. All that are close to
-   the best take part in the step.
-4. Round down to whole sequences; best fit in decreasing length packs what the rounding leaves,
-   by counts of equal sequences, not piece by piece. Rounding everything to nothing is tried
-   too, and the rounding with fewer sequences is taken.
+   lengths follow multiplicative weights, lower the more of a length is covered; a knapsack
+   dynamic program over the prices of the lengths still open gives, for each length, the best
+   configuration that holds it. Those of long pieces come first, each as often as its scarcest
+   length allows in a round (`STEP` of what is wanted), until all lengths are covered.
+4. Round: of full configurations what the program says, of nearly full ones the whole part. What
+   is left is a smaller histogram, so its program is solved and rounded again, until less than
+   `REST` of all tokens is left; best fit in decreasing length packs that, by counts of equal
+   sequences, not piece by piece.
 5. Pieces of one length are numbered in (length, salt) groups plus offsets, so no length is one
    task; a number gives sequence and place by arithmetic on the bounded solution.
 
@@ -32,10 +34,16 @@ from marginalia.llm.shared import held
 
 CAPACITY = 2048
 END_ID = 0
-# Rounds of price changes, their step, and how far below the best a used configuration may be.
-ROUNDS = 40
-STEP = 0.1
-SLACK = 0.05
+# Share of a length's pieces that one round may cover (finer where there are few lengths, as rounds
+# are cheap then), how fast prices fall with coverage, a bound on rounds.
+STEP = 0.5
+FINEST = 0.05
+LENGTHS_PER_STEP = 2_000
+RATE = 1.0
+MOST_ROUNDS = 2_000
+# How full a configuration is that is rounded, and the share of tokens left to best fit.
+NEARLY_FULL = 0.995
+REST = 0.08
 SALTS = 1024
 # Runs of letters or signs, and whole words made of them, whose ids a task remembers before
 # it starts anew. They bound its memory at about 0.3 GB.
@@ -144,58 +152,80 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
 
 
 def _knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best total price for every room up to the capacity, and the index of a length it uses (-1: none)."""
+    """Best total price for every room up to the capacity, and the index of a length it uses (-1: as with one token less)."""
     best, used = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fits = np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
     for room in range(1, capacity + 1):
-        fits = np.searchsorted(lengths, room, "right")
         best[room] = best[room - 1]
-        used[room] = -2  # as with one token less
-        if fits:
-            totals = best[room - lengths[:fits]] + prices[:fits]
+        if fits[room]:
+            totals = best[room - lengths[: fits[room]]] + prices[: fits[room]]
             top = int(totals.argmax())
             if totals[top] > best[room]:
                 best[room], used[room] = totals[top], top
     return best, used
 
 
-def _configuration(first: int, lengths: np.ndarray, used: np.ndarray, capacity: int) -> tuple[tuple[int, int], ...]:
-    """The best configuration that holds the length of index `first`: (index, count) in order."""
+def _configuration(first: int, lengths: np.ndarray, used: np.ndarray, capacity: int) -> Counter:
+    """The best configuration that holds the length of index `first`: how often each index."""
     found, room = Counter([first]), capacity - int(lengths[first])
-    while room > 0 and used[room] != -1:
-        if used[room] == -2:
+    while room > 0:
+        top = int(used[room])
+        if top < 0:
             room -= 1
         else:
-            found[int(used[room])] += 1
-            room -= int(lengths[used[room]])
-    return tuple(sorted(found.items()))
+            found[top] += 1
+            room -= int(lengths[top])
+    return found
 
 
-def cover(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS, step: float = STEP) -> dict[tuple, float]:
-    """Fractional configurations that cover the histogram, by multiplicative weights."""
-    lengths = np.array(sorted(histogram))
+def cover(histogram: dict[int, int], capacity: int, step: float = STEP, rate: float = RATE) -> dict[tuple, float]:
+    """Fractional configurations that cover the whole histogram, by multiplicative weights."""
+    lengths = np.array(sorted(histogram), np.int64)
     wanted = np.array([histogram[n] for n in lengths.tolist()], float)
     covered, chosen = np.zeros(len(lengths)), defaultdict(float)
-    for _ in range(rounds):
-        lack = np.minimum(covered / wanted, 1)
-        prices = lengths / capacity * np.exp(-(lack - lack.mean()))
-        best, used = _knapsack(lengths, prices, capacity)
-        value = prices + best[capacity - lengths]
-        # The forced configurations that are close to the best, and one for each length that lags.
-        near = np.flatnonzero((value >= (1 - SLACK) * value.max()) | (lack <= lack.min()))
-        found = [_configuration(int(i), lengths, used, capacity) for i in near]
-        direction = np.zeros(len(lengths))
-        for config, i in zip(found, near.tolist(), strict=True):
-            for k, count in config:
-                direction[k] += count * wanted[i]
-        size = step / (direction / wanted).max()
-        for config, i in zip(found, near.tolist(), strict=True):
-            chosen[tuple((int(lengths[k]), count) for k, count in config)] += size * wanted[i]
-        covered += size * direction
-        if covered.min() >= 0 and (covered / wanted).min() >= 1:
+    for turn in range(MOST_ROUNDS):
+        left = np.flatnonzero(covered < wanted * (1 - 1e-9))
+        if not len(left):
             break
+        own, lack = lengths[left], covered[left] / wanted[left]
+        prices = own / capacity * np.exp(-rate * (lack - lack.mean()))
+        _, used = _knapsack(own, prices, capacity)
+        # The last round may cover all that is left.
+        most = 1.0 if turn == MOST_ROUNDS - 1 else step
+        room = np.minimum(wanted - covered, most * wanted)[left]
+        # Long pieces have few partners, so their configurations choose first.
+        for i in range(len(own) - 1, -1, -1):
+            config = _configuration(i, own, used, capacity)
+            amount = min(room[k] / count for k, count in config.items())
+            if amount > 1e-9:
+                for k, count in config.items():
+                    room[k] -= amount * count
+                    covered[left[k]] += amount * count
+                chosen[tuple(sorted((int(own[k]), count) for k, count in config.items()))] += amount
     return dict(chosen)
 
 
+def _tokens(histogram: dict[int, int]) -> int:
+    return sum(length * count for length, count in histogram.items())
+
+
+def _rounded(fractional: dict[tuple, float], left: dict[int, int], capacity: int) -> Counter:
+    """Whole configurations out of what is left, which is reduced by them."""
+    whole: Counter = Counter()
+    ordered = sorted(fractional.items(), key=lambda x: (-x[1], x[0]))
+    for least, share_of in ((capacity, round), (NEARLY_FULL * capacity, int)):
+        for config, share in ordered:
+            if sum(length * count for length, count in config) >= least:
+                number = min(share_of(share), *(left.get(length, 0) // count for length, count in config))
+                if number > 0:
+                    whole[config] += number
+                    for length, count in config:
+                        left[length] -= number * count
+    for length in [length for length, count in left.items() if not count]:
+        del left[length]
+    return whole
+
+
 def _best_fit(left: dict[int, int], capacity: int) -> Counter:
     """Best fit in decreasing length over counts: equal open sequences are moved together."""
     rooms: dict[int, Counter] = defaultdict(Counter)
@@ -228,20 +258,26 @@ def _best_fit(left: dict[int, int], capacity: int) -> Counter:
 
 def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """Whole configurations ((length, count), …) and how many sequences use each, for all pieces."""
+    whole, left = programmed(histogram, capacity)
+    whole.update(_best_fit(left, capacity))
+    return sorted(whole.items())
+
+
+def programmed(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[Counter, dict[int, int]]:
+    """What the programs give as whole configurations, and the lengths that are left."""
     left = dict(histogram)
     whole: Counter = Counter()
     if left.get(capacity):
         whole[((capacity, 1),)] = left.pop(capacity)
-    plain = whole + _best_fit(left, capacity)
-    fractional = cover(left, capacity) if left else {}
-    for config, share in sorted(fractional.items(), key=lambda x: (-x[1], x[0])):
-        number = min(int(share), *(left[length] // count for length, count in config))
-        if number > 0 and sum(n * c for n, c in config) >= 0.999 * capacity:
-            whole[config] += number
-            for length, count in config:
-                left[length] -= number * count
-    whole.update(_best_fit({n: c for n, c in left.items() if c}, capacity))
-    return sorted(min(whole, plain, key=Counter.total).items())
+    step, rest = min(STEP, max(FINEST, len(left) / LENGTHS_PER_STEP)), REST * _tokens(histogram)
+    while _tokens(left) > rest:
+        found = _rounded(cover(left, capacity, step), left, capacity)
+        if not found:
+            break
+        whole.update(found)
+        # Counts are small by now; half of one would round to nothing.
+        step = 1.0
+    return whole, left
 
 
 def _slots(solution) -> dict[str, np.ndarray]:

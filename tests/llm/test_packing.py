@@ -58,11 +58,14 @@ def test_solutions_hold_every_piece_and_are_near_the_bound(capacity, most):
     assert packing.solve({}, capacity) == []
 
 
-def test_fractional_cover_covers():
+@pytest.mark.parametrize("step", [1.0, 0.5, 0.1])
+def test_fractional_cover_covers(step):
     histogram = {3: 40, 5: 60, 9: 10}
-    found = packing.cover(histogram, 12)
+    found = packing.cover(histogram, 12, step)
     for n, wanted in histogram.items():
-        assert sum(x * dict(config).get(n, 0) for config, x in found.items()) >= 0.95 * wanted
+        assert sum(x * dict(config).get(n, 0) for config, x in found.items()) == pytest.approx(wanted)
+    # Sequences of the best fractional solution: 9+3 (10), 5+5 (25 or so), 5+3+3, 3+3+3+3.
+    assert sum(found.values()) <= 1.1 * (3 * 40 + 5 * 60 + 9 * 10) / 12 + 5
 
 
 def test_knapsack_equals_brute_force():
@@ -72,7 +75,28 @@ def test_knapsack_equals_brute_force():
         brute = max(a * 0.3 + b * 0.5 + c * 0.9 for a in range(6) for b in range(4) for c in range(3) if 2 * a + 3 * b + 5 * c <= room)
         assert best[room] == pytest.approx(brute)
     config = packing._configuration(1, lengths, used, 11)
-    assert sum(prices[k] * c for k, c in config) == pytest.approx(0.5 + best[8])
+    assert sum(prices[k] * c for k, c in config.items()) == pytest.approx(0.5 + best[8])
+
+
+def test_the_program_packs_the_documents(spark):
+    """On the lengths of the largest table: all covered, most sequences from configurations, few in all."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(8)
+    found = packing.pieces(docs, PATH).groupBy("length").count().collect()
+    histogram = {r["length"]: r["count"] for r in found}
+    short = {n: c for n, c in histogram.items() if n < packing.CAPACITY}
+    fractional = packing.cover(short, packing.CAPACITY)
+    held = Counter()
+    for config, share in fractional.items():
+        for n, c in config:
+            held[n] += c * share
+    assert all(held[n] >= c * (1 - 1e-6) for n, c in short.items())
+    tokens = sum(n * c for n, c in short.items())
+    assert sum(fractional.values()) <= 1.001 * tokens / packing.CAPACITY
+    whole, left = packing.programmed(histogram)
+    sequences = sum(many for _, many in packing.solve(histogram))
+    assert sum(whole.values()) >= 0.9 * sequences
+    bound = -(-sum(n * c for n, c in histogram.items()) // packing.CAPACITY)
+    assert sequences <= bound + 1
 
 
 @pytest.mark.parametrize("capacity", [2048, 16])

@@ -8,13 +8,14 @@ pair shares none of the 52 bands with a chance of about 4e-5, while documents wi
 passage and a similarity of 0.2 are candidates with a chance of 0.3 %.
 
 Candidates are never all pairs of a bucket. In each star round a bucket compares its
-members with one leader only and links go into components. What the stars leave is
-finished exactly: in every bucket each member outside the bucket's largest component is
-compared with all members of other components. So no link between two components is lost,
-while a group of near copies costs about its own size. Before their full sets are fetched,
-these pairs must agree in enough of `SKETCH_VALUES` signature values, of each of which
-`SKETCH_PLANES` bits are kept; the bound lies `SKETCH_SIGMAS` standard deviations below what a
-pair at the threshold has (a chance of 1e-5). Half as similar ones pass with less than that.
+members with one leader only and links go into components. What the stars leave open is
+finished exactly by prefix filtering: the shingles of the sets in open buckets are put into one
+order, rare ones first (by counts in `TALLY_BITS` slots, a table of fixed size), and sets of
+different components meet only where the larger one's first n - ceil(t n) + 1 shingles and the
+smaller one's first n - ceil(2t / (1 + t) n) + 1 have one in common. Sets over the threshold t
+always do, while a passage that many documents share is far behind in the order and joins
+nothing. So no link between two components is lost, and a group of near copies, or of texts
+around one passage, costs about its own size.
 
 Cases: null and word-less texts have an empty set and link with nothing; equal sets are one
 node from the start; rows that repeat a doc_id are one node, each row is returned; a row
@@ -24,8 +25,7 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import math
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +40,12 @@ THRESHOLD_PERCENT = 75
 PERMUTATIONS = 156
 VALUES_PER_BAND = 6
 STAR_ROUNDS = 2
-SKETCH_VALUES = 256
-SKETCH_PLANES = 4
-SKETCH_SIGMAS = 4.3
+TALLY_BITS = 20
 _SLICE = 256
 
-SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
+SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 LISTED = "id long, n long, shingles array<long>"
+PREFIX = "key long, id long, n long, comp long, at int"
 
 
 def signatures(sets: list[np.ndarray], permutations: int) -> np.ndarray:
@@ -69,25 +68,6 @@ def band_hashes(signature: np.ndarray, values: int) -> np.ndarray:
     return mixed(total + odd_numbers(width, 34))
 
 
-def sketches(signature: np.ndarray) -> np.ndarray:
-    """(set, planes * words): bit planes of the first signature values, 64 values a word."""
-    values = signature[:, :SKETCH_VALUES]
-    values = (values ^ (values >> np.uint32(15))) * np.uint32(0x9E3779B1)
-    planes = [(values >> np.uint32(31 - k)).astype(np.uint8) & 1 for k in range(SKETCH_PLANES)]
-    return np.hstack([np.packbits(p, axis=1).view(np.uint64) for p in planes])
-
-
-def _close(left: str, right: str, percent: int):
-    """Do two sketches differ in as few values as those of a pair at the threshold may?"""
-    rate = (1 - percent / 100) * (1 - 0.5**SKETCH_PLANES)
-    most = SKETCH_VALUES * rate + SKETCH_SIGMAS * math.sqrt(SKETCH_VALUES * rate * (1 - rate))
-    width, differing = SKETCH_VALUES // 64, F.lit(0)
-    for word in range(width):
-        planes = [F.col(left)[at].bitwiseXOR(F.col(right)[at]) for at in range(word, width * SKETCH_PLANES, width)]
-        differing += F.bit_count(reduce(lambda x, y: x.bitwiseOR(y), planes))
-    return differing <= int(most)
-
-
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
     flat = np.concatenate([*rows, np.zeros(0, np.uint64)]).view(np.int64)
@@ -102,19 +82,17 @@ def _sign(batches, words: int, permutations: int, values: int):
             sizes = np.array([len(s) for s in sets], np.int64)
             keys = np.zeros((len(sets), 2), np.uint64)
             bands = [np.zeros(0, np.uint64)] * len(sets)
-            marks = list(bands)
             full = np.flatnonzero(sizes)
             if len(full):
                 picked = [sets[i] for i in full]
-                signature = signatures(picked, permutations)
-                for i, row, mark in zip(full.tolist(), band_hashes(signature, values), sketches(signature), strict=True):
-                    bands[i], marks[i] = row, mark
+                for i, row in zip(full.tolist(), band_hashes(signatures(picked, permutations), values), strict=True):
+                    bands[i] = row
                 flat, starts = np.concatenate(picked), np.cumsum([0, *sizes[full][:-1]])
                 for k, factor in enumerate(odd_numbers(2, 33)):
                     spread = (flat ^ (flat >> np.uint64(31))) * factor
                     keys[full, k] = np.add.reduceat(spread ^ (spread >> np.uint64(32)), starts)
-            columns = [part.column("doc_id"), pa.array(sizes), *(pa.array(keys[:, k].view(np.int64)) for k in (0, 1)), _lists(bands), _lists(marks)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"])
+            columns = [part.column("doc_id"), pa.array(sizes), *(pa.array(keys[:, k].view(np.int64)) for k in (0, 1)), _lists(bands)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
 
 def _list(batches, words: int):
@@ -155,6 +133,64 @@ def _open_buckets(members: DataFrame) -> DataFrame:
     return members.join(several.filter("_low <> _high").select("key"), "key")
 
 
+def _slot(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - TALLY_BITS)).astype(np.int64)
+
+
+def _shingles(column: pa.Array) -> tuple[np.ndarray, list[int]]:
+    """All shingles of a batch, one set after the other, and where the sets begin and end."""
+    bounds = np.cumsum([0, *column.value_lengths().to_pylist()])
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), bounds.tolist()
+
+
+def _tally(batches):
+    """(slot, number of shingles) of a task."""
+    total = np.zeros(1 << TALLY_BITS, np.int64)
+    for batch in batches:
+        total += np.bincount(_slot(_shingles(batch.column("shingles"))[0]), minlength=len(total))
+    slots = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(total[slots])], ["slot", "n"])
+
+
+def _prefixes(batches, tally, percent: int):
+    """The first shingles of each set in the common order, with their place; enough for a larger partner's side."""
+    counts = tally.value
+    for batch in batches:
+        flat, bounds = _shingles(batch.column("shingles"))
+        keys, rows, places = [flat[:0]], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for row, (low, high) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            own, size = flat[low:high], high - low
+            first = size + percent * size // -100 + 1
+            order = np.lexsort((own, counts[_slot(own)]))[:first]
+            keys.append(own[order])
+            rows.append(np.full(len(order), row))
+            places.append(np.arange(len(order), dtype=np.int32))
+        at = pa.array(np.concatenate(rows))
+        columns = [pa.array(np.concatenate(keys).view(np.int64)), *(batch.column(c).take(at) for c in ("id", "n", "comp"))]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(places))], ["key", "id", "n", "comp", "at"])
+
+
+def _rare_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members (id, comp) of different components that may be similar enough."""
+    own = held(sets.join(members, "id"))
+    counted = own.select("shingles").mapInArrow(_tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << TALLY_BITS, np.int64)
+    counts[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    tally = own.sparkSession.sparkContext.broadcast(counts)
+    prefixes = held(own.select("id", "n", "comp", "shingles").mapInArrow(partial(_prefixes, tally=tally, percent=percent), PREFIX))
+    tally.destroy()
+    met = _open_buckets(prefixes)
+    # The smaller set of a pair (of equal ones that with the smaller id) needs fewer of its shingles.
+    short = met.filter(F.col("at") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)))
+    small = short.select("key", F.col("id").alias("a"), F.col("n").alias("_n"), F.col("comp").alias("_comp"), F.col("at").alias("_at"))
+    later = F.struct("_n", "a") < F.struct("n", "id")
+    both = met.join(small, "key").filter(later & (F.col("comp") != F.col("_comp")) & _alike("n", "_n", percent))
+    first = both.groupBy("a", F.col("id").alias("b"), "_n", "n").agg(F.min(F.struct("_at", "at")).alias("_first"))
+    # What follows the first common shingle must hold the others.
+    most = F.least(F.col("_n") - F.col("_first._at"), F.col("n") - F.col("_first.at"))
+    return first.filter((100 + percent) * most >= percent * (F.col("_n") + F.col("n"))).select("a", "b")
+
+
 def near_duplicates(
     docs: DataFrame,
     words: int = SHINGLE_WORDS,
@@ -164,13 +200,11 @@ def near_duplicates(
     rounds: int = STAR_ROUNDS,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs` (doc_id, text)."""
-    if 2 * permutations < SKETCH_VALUES:
-        raise ValueError(f"at least {SKETCH_VALUES // 2} permutations are needed")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = held(texts.mapInArrow(partial(_sign, words=words, permutations=permutations, values=values), SIGNED))
     sets_of = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = sets_of.groupBy("set_a", "set_b", F.col("n_shingles").alias("n")).agg(
-        F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("id"), F.first("bands").alias("bands")
     )
     bands = nodes.select("id", "n", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
@@ -198,13 +232,8 @@ def near_duplicates(
         star = star.filter(_alike("n", "_lead.n", percent))
         tested(star.select(F.col("_lead.id").alias("a"), F.col("id").alias("b")))
     if not is_empty(members):
-        members = members.join(nodes.select("id", "sketch"), "id")
-        sizes = members.groupBy("key", "comp").count()
-        main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("count", "comp")).alias("_main"))
-        outside = members.join(main, "key").filter("comp <> _main")
-        outside = outside.select("key", F.col("id").alias("a"), F.col("n").alias("_n"), F.col("comp").alias("_comp"), F.col("sketch").alias("_sketch"))
-        rest = members.join(outside, "key").filter("comp <> _comp").filter(_alike("n", "_n", percent) & _close("sketch", "_sketch", percent))
-        tested(rest.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")))
+        found = held(_linked(_rare_pairs(members.select("id", "comp").distinct(), sets, percent), sets, percent))
+        links = found if links is None else links.union(found)
     # Rows of one doc_id are one node, even if their sets differ.
     same_set = nodes.select("set_a", "set_b", F.col("n").alias("n_shingles"), F.col("id").alias("_node"))
     keyed = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(same_set, ["set_a", "set_b", "n_shingles"], "left")

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -65,21 +66,29 @@ def _count(batches):
 
 
 class Model:
-    """Log frequencies per language; languages in alphabetical order."""
+    """Log frequencies per language, a row per word or n-gram; languages in alphabetical order."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], ngrams: dict[str, np.ndarray]) -> None:
-        self.langs, self.words = langs, words
-        self.places = {gram: k for k, gram in enumerate(ngrams)}
-        self.rates = np.array(list(ngrams.values()), np.float32).reshape(len(ngrams), len(langs))
+    def __init__(self, langs: list[str], words: list[str], word_rates: np.ndarray, ngrams: list[str], ngram_rates: np.ndarray) -> None:
+        self.langs, self.words, self.word_rates = langs, words, word_rates
+        self.ngrams, self.ngram_rates = ngrams, ngram_rates
+
+    # Looked up by tasks only: the driver keeps the bare lists.
+    @cached_property
+    def word_places(self) -> dict[str, int]:
+        return {word: k for k, word in enumerate(self.words)}
+
+    @cached_property
+    def ngram_places(self) -> dict[str, int]:
+        return {gram: k for k, gram in enumerate(self.ngrams)}
 
     def vectors(self, words: list[str]) -> np.ndarray:
         """A row per word: its own, else the mean of its longest known n-grams, else nothing."""
-        places, found, rows, sizes = self.places, np.zeros((len(words), len(self.langs)), np.float32), [], []
+        places, found, rows, sizes = self.ngram_places, np.zeros((len(words), len(self.langs)), np.float32), [], []
         flat: list[int] = []
         for k, word in enumerate(words):
-            own = self.words.get(word)
+            own = self.word_places.get(word)
             if own is not None:
-                found[k] = own
+                found[k] = self.word_rates[own]
                 continue
             for order in ORDERS:
                 known = [places[g] for g in _ngrams(word, order) if g in places]
@@ -90,11 +99,18 @@ class Model:
                     break
         if rows:
             starts = np.cumsum([0, *sizes[:-1]])
-            found[rows] = np.add.reduceat(self.rates[flat], starts) / np.array(sizes)[:, None]
+            found[rows] = np.add.reduceat(self.ngram_rates[flat], starts) / np.array(sizes)[:, None]
         return found
 
 
-def learn(docs: DataFrame, held_out: Column, rows: int = LEARNING_ROWS) -> Model:
+def learn(
+    docs: DataFrame,
+    held_out: Column,
+    rows: int = LEARNING_ROWS,
+    most_words: int = MOST_WORDS,
+    most_ngrams: int = MOST_NGRAMS,
+    least_count: int = LEAST_COUNT,
+) -> Model:
     """A model from text and lang of the rows outside the held-out part."""
     known = docs.filter(~held_out).select("doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
     # A language may hold most rows of one source: rows are drawn per language by their text,
@@ -104,26 +120,26 @@ def learn(docs: DataFrame, held_out: Column, rows: int = LEARNING_ROWS) -> Model
     counts = counts.groupBy("order", "gram", "lang").agg(F.sum("n").alias("n"))
     totals = {(r["order"], r["lang"]): r["n"] for r in counts.groupBy("order", "lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted({lang for _, lang in totals})
-    grams = counts.groupBy("order", "gram").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    grams = grams.filter(F.col("all") >= LEAST_COUNT)
-    chosen = [
-        grams.filter(which).orderBy(F.desc("all"), "gram").limit(most).collect()
-        for which, most in (("order = 0", MOST_WORDS), ("order > 0", MOST_NGRAMS))
-    ]
+    by = F.map_from_entries(F.collect_list(F.struct("lang", "n")))
+    each = F.transform(F.array(*map(F.lit, langs)), lambda lang: F.coalesce(by[lang], F.lit(0))) if langs else F.array()
+    grams = counts.groupBy("order", "gram").agg(F.sum("n").alias("all"), each.cast("array<long>").alias("by"))
+    grams = grams.filter(F.col("all") >= least_count)
     size = {order: len({lang for o, lang in totals if o == order}) for order in (0, *ORDERS)}
+    kinds = (0, *ORDERS)
+    share_of = np.array([[totals.get((order, x), 0) + 0.5 * max(1, size[order]) * 1000 for x in langs] for order in kinds])
 
-    def vectors(found) -> dict[str, np.ndarray]:
-        table = {}
-        for row in found:
-            each = [np.log((row["by"].get(x, 0) + 0.5) / (totals.get((row["order"], x), 0) + 0.5 * max(1, size[row["order"]]) * 1000)) for x in langs]
-            # Only differences between languages count.
-            table[row["gram"]] = np.array(each, np.float32) - np.float32(max(each))
-        return table
+    def table(which: str, most: int) -> tuple[list[str], np.ndarray]:
+        found = grams.filter(which).orderBy(F.desc("all"), "gram").limit(most).select("order", "gram", "by").toArrow().combine_chunks()
+        numbers = np.concatenate([np.zeros(0), *(c.flatten().to_numpy() for c in found["by"].chunks)]).reshape(len(found), len(langs))
+        orders = np.array([kinds.index(o) for o in found["order"].to_pylist()], np.int64)
+        rates = np.log((numbers + 0.5) / share_of[orders]).astype(np.float32) if len(found) else np.zeros((0, len(langs)), np.float32)
+        # Only differences between languages count.
+        return found["gram"].to_pylist(), rates - rates.max(axis=1, keepdims=True) if len(found) else rates
 
-    return Model(langs, vectors(chosen[0]), vectors(chosen[1]))
+    return Model(langs, *table("order = 0", most_words), *table("order > 0", most_ngrams))
 
 
-def _judge(batches, model: Model):
+def _judge(batches, model: Model, evidence: int = EVIDENCE):
     ids: dict[str, int] = {}
     table = np.zeros((1024, len(model.langs)), np.float32)
     for batch in batches:
@@ -147,7 +163,7 @@ def _judge(batches, model: Model):
                 preds.append(UNKNOWN)
                 scores.append(0.0)
                 continue
-            odds = total / number * min(number, EVIDENCE)
+            odds = total / number * min(number, evidence)
             odds = np.exp(odds - odds.max())
             best = int(odds.argmax())
             preds.append(model.langs[best])
@@ -156,9 +172,19 @@ def _judge(batches, model: Model):
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "lang_pred", "score"])
 
 
-def identify(docs: DataFrame, parts: int = 4, residue: int = 2, rows: int = LEARNING_ROWS) -> DataFrame:
+def identify(
+    docs: DataFrame,
+    parts: int = 4,
+    residue: int = 2,
+    rows: int = LEARNING_ROWS,
+    most_words: int = MOST_WORDS,
+    most_ngrams: int = MOST_NGRAMS,
+    least_count: int = LEAST_COUNT,
+    evidence: int = EVIDENCE,
+) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of `docs` (doc_id, text, lang)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang")
     held_out = share("held_out", F.col("doc_id"), parts, residue)
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs, held_out, rows))
-    return docs.select("doc_id", "text", held_out).mapInArrow(lambda it: _judge(it, model.value), JUDGED)
+    learned = learn(docs, held_out, rows, most_words, most_ngrams, least_count)
+    model = docs.sparkSession.sparkContext.broadcast(learned)
+    return docs.select("doc_id", "text", held_out).mapInArrow(lambda it: _judge(it, model.value, evidence), JUDGED)

@@ -188,5 +188,5 @@ def test_language_samples_count_copies_once(spark):
     # Copies change nothing in what is learned.
     never = F.lit(False)
     models = [langid.learn(d.withColumn("doc_id", F.lit(1)), never, rows=10_000) for d in (plain.unionByName(full.exceptAll(plain).distinct()), full)]
-    assert models[0].words.keys() == models[1].words.keys()
-    assert all((models[0].words[w] == models[1].words[w]).all() for w in models[0].words)
+    assert models[0].words == models[1].words and models[0].ngrams == models[1].ngrams
+    assert (models[0].word_rates == models[1].word_rates).all() and (models[0].ngram_rates == models[1].ngram_rates).all()

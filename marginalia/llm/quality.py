@@ -3,8 +3,9 @@
 Bytes fall into classes (letters, capitals, digits, signs, …). Filters over `WIDTH` bytes run
 over the whole text; their maxima over overlapping chunks of two rows of `ROW` bytes go through
 a small layer, whose mean and maximum over all chunks of the text give one probability. The
-weights are learned on the driver from a bounded sample of labelled rows. Learning and scoring
-read every byte of a row and pool over the same chunks, learning `BLOCK` rows of bytes at a time.
+weights are learned by one task from a sample of labelled rows that is bounded in rows and in
+bytes, so the driver sees the weights only. Learning and scoring read every byte of a row and
+pool over the same chunks, learning `BLOCK` rows of bytes at a time.
 
 Cases: null and empty texts are one chunk of padding; without labels of both kinds every score
 is 0.5; conflicting labels of a document count as the larger; repeated rows are scored each;
@@ -21,8 +22,9 @@ from pyspark.sql import DataFrame, functions as F
 from marginalia.llm.samples import with_labels
 from marginalia.llm.shared import share
 
-# Bound of the labelled rows to learn from.
+# Bounds of the labelled rows to learn from, and of the bytes of their texts.
 LEARNING_ROWS = 4_000
+LEARNING_BYTES = 1 << 26
 # Rows of bytes that filters run over at a time while learning.
 BLOCK = 512
 STEPS = 1_200
@@ -81,6 +83,18 @@ class Network:
     def parameters(self) -> list[np.ndarray]:
         return [self.filters, self.inner, self.shift, self.outer, self.bias]
 
+    def weights(self) -> bytes:
+        return np.concatenate([p.ravel() for p in self.parameters()]).astype("<f4").tobytes()
+
+    @classmethod
+    def of(cls, weights: bytes) -> Network:
+        network, at = cls(), 0
+        flat = np.frombuffer(weights, "<f4")
+        for part in network.parameters():
+            part[...] = flat[at : at + part.size].reshape(part.shape)
+            at += part.size
+        return network
+
     def step(self, rows: np.ndarray, owner: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
         """Gradients over all rows (n, ROW + WIDTH - 1) of some texts; owner: text of each, ascending."""
         top = np.zeros((len(rows), FILTERS), np.float32)
@@ -175,15 +189,30 @@ class Network:
         return 1 / (1 + np.exp(-(np.hstack([mean, most]) @ self.outer + self.bias).astype(float)))
 
 
-def learn(sample: DataFrame) -> Network | None:
-    """A network from a bounded sample (text, label); None without both labels."""
-    table = sample.select("text", "label").toArrow()
-    labels = table["label"].to_numpy()
-    if len(set(labels.tolist())) < 2:
-        return None
-    network = Network()
-    network.learn([t.encode() for t in table["text"].to_pylist()], (labels > 0).astype(int))
-    return network
+def learn(sample: DataFrame, most_bytes: int = LEARNING_BYTES) -> Network | None:
+    """A network from a bounded sample (text, label); None without both labels.
+
+    The rows come in the order of a hash; texts count up to `most_bytes`, a whole text at a time.
+    """
+
+    def fitted(batches):
+        texts, labels, size = [], [], 0
+        for batch in batches:
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                content = text.encode()
+                if not texts or size + len(content) <= most_bytes:
+                    texts.append(content)
+                    labels.append(int(label > 0))
+                    size += len(content)
+        if len(set(labels)) == 2:
+            network = Network()
+            network.learn(texts, np.array(labels))
+            yield pa.RecordBatch.from_arrays([pa.array([network.weights()], pa.binary())], ["weights"])
+
+    # The order of the rows decides nothing but the draws: fix it.
+    rows = sample.select("text", "label").repartition(1).sortWithinPartitions(F.xxhash64("text"), "text")
+    found = rows.mapInArrow(fitted, "weights binary").collect()
+    return Network.of(bytes(found[0]["weights"])) if found else None
 
 
 def score(docs: DataFrame, labels: DataFrame, parts: int = 3, residue: int = 1, rows: int = LEARNING_ROWS) -> DataFrame:
@@ -192,9 +221,7 @@ def score(docs: DataFrame, labels: DataFrame, parts: int = 3, residue: int = 1,
     `labels` (doc_id, quality) teach, outside the held-out part only.
     """
     held_out = share("held_out", F.col("doc_id"), parts, residue)
-    sample = with_labels(docs, labels, "quality", held_out, rows)
-    # The order of the rows decides nothing but the draws: fix it.
-    shared = docs.sparkSession.sparkContext.broadcast(learn(sample.orderBy(F.xxhash64("text"), "text")))
+    shared = docs.sparkSession.sparkContext.broadcast(learn(with_labels(docs, labels, "quality", held_out, rows)))
 
     def scored(batches):
         network = shared.value

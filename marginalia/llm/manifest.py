@@ -5,9 +5,9 @@ have places 0, 1, 2, … in key order; `FANOUT` neighbouring nodes have one pare
 to the group's subroot. The subroots, in the order of the groups, are the leaves of a tree of
 their own, whose top is the root.
 
-Every level is a self-join: a node in slot k of its run is looked up at the index its run's
-slot-zero node computes, index XOR 1 in a binary tree and index + k otherwise; slot-zero
-rows, with all the siblings that they met, emit the parents. Each node is shuffled once per
+Every level is an equi-join of the nodes with themselves on computed indices: a node in slot k of
+its run is shifted to the index of slot zero (index XOR 1 in a binary tree, index - k otherwise),
+and slot-zero rows, with all the siblings that they met, emit the parents. Each node is shuffled once per
 level, and levels shrink by `FANOUT`, so all levels together cost little more than the first.
 Proofs go the other way: a run hands each of its nodes what lies to the left and to the right of
 it, and what its parent got, so only the last step is as wide as the table. Everything is
@@ -64,17 +64,19 @@ def placed(rows: DataFrame, order: list[str]) -> DataFrame:
 def runs_of(nodes: DataFrame, fanout: int) -> DataFrame:
     """(group, run, n, digests) of every run of neighbouring nodes, from its slot-zero node.
 
-    The node of each further slot is joined at the index that slot zero computes for it.
+    Every other node is shifted to the index of its run's slot zero and joined there; the rows of a
+    run are then where the join left them, so gathering its `fanout` digests shuffles nothing more.
     """
-    slot = F.pmod("at", F.lit(fanout))
-    zero = nodes.filter(slot == 0).select("group", "at", "n", F.col("digest").alias("_0"))
-    for k in range(1, fanout):
-        # Where slot zero finds its sibling: in a binary tree either one's index XOR 1.
-        index = F.col("at").bitwiseXOR(F.lit(1)) if fanout == 2 else F.col("at") - k
-        sibling = nodes.filter(slot == k).select("group", index.alias("at"), F.col("digest").alias(f"_{k}"))
-        zero = zero.join(sibling, ["group", "at"], "left")
-    digests = F.array_compact(F.array(*[F.col(f"_{k}") for k in range(fanout)]))
-    return zero.select("group", F.floor(F.col("at") / fanout).cast("long").alias("run"), "n", digests.alias("digests"))
+    slot = F.pmod("at", F.lit(fanout)).cast("int")
+    index = F.col("at").bitwiseXOR(F.lit(1)) if fanout == 2 else F.col("at") - slot
+    sibling = F.struct(slot.alias("slot"), F.col("digest").alias("digest"))
+    zero = nodes.filter(slot == 0).select("group", "at", "n", "digest")
+    shifted = nodes.filter(slot > 0).select("group", index.alias("at"), sibling.alias("_sibling"))
+    met = zero.join(shifted, ["group", "at"], "left").groupBy("group", "at", "n", "digest")
+    others = F.transform(F.sort_array(F.collect_list("_sibling")), lambda s: s["digest"])
+    return met.agg(others.alias("_others")).select(
+        "group", F.floor(F.col("at") / fanout).cast("long").alias("run"), "n", F.concat(F.array("digest"), "_others").alias("digests")
+    )
 
 
 def tree(nodes: DataFrame, fanout: int = FANOUT) -> tuple[list[DataFrame], DataFrame]:

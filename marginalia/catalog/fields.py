@@ -64,6 +64,42 @@ def page_titles(spark: SparkSession, folder: str) -> DataFrame:
     return inputs.table(spark, folder, "pages").select("page_id", html.page_title(F.col("html")).alias("title"))
 
 
+@query(
+    "page_metadata",
+    rf"""WITH {TITLES}
+    SELECT page_id, title,
+           CASE page_id % 3 WHEN 0 THEN 'Ann & Bob ' || page_id || ' ' || chr((200 + page_id % 50)::INTEGER) || ' © 20…'
+                            WHEN 1 THEN 'O''Hare <' || page_id || '>' END AS author,
+           CASE page_id % 4 WHEN 0 THEN '2024-0' || (page_id % 9 + 1) || '-1' || page_id % 10
+                            WHEN 1 THEN '2023-12-0' || (page_id % 9 + 1) END AS date,
+           CASE page_id % 5 WHEN 0 THEN 'https://x.example/' || page_id || '?a=1&b=2&lang=en'
+                            WHEN 1 THEN 'https://og.example/' || page_id END AS canonical_url
+    FROM titles""",
+)
+def page_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages with tags of many spellings before them: names, order, quotes, references, empty values."""
+    page = F.col("page_id")
+    code = (200 + page % 50).cast("string")
+    author = (
+        F.when(page % 3 == 0, text_of('<META content="Ann &amp; Bob ', page, " &#", code, ';&#32;&copy 20&hellip;"\n Name=\'Author\'>'))
+        .when(page % 3 == 1, text_of('<meta name="author" content=""><meta property="article:author" content="O&#x27;Hare &lt;', page, '&gt">'))
+        .otherwise('<meta name="authors" content="nobody">')
+    )
+    date = (
+        F.when(page % 4 == 0, text_of("<meta itemprop='datePublished' content='2024-0", page % 9 + 1, "-1", page % 10, "T10:00:00Z'/>"))
+        .when(page % 4 == 1, text_of('<meta name="date" content="2023-12-0', page % 9 + 1, '">'))
+        .otherwise('<meta name="date" content="last week">')
+    )
+    link = (
+        F.when(page % 5 == 0, text_of('<link href="https://x.example/', page, '?a=1&amp;b=2&lang=en" rel=\'canonical\'>'))
+        .when(page % 5 == 1, text_of('<link rel="icon" href="/i.png"><meta property="og:url" content=" https://og.example/', page, ' ">'))
+        .otherwise('<link rel="stylesheet" href="/s.css">')
+    )
+    # The page's own title stays the first one.
+    whole = F.concat(author, date, F.col("html"), link)
+    return inputs.table(spark, folder, "pages").select("page_id", html.page_metadata(whole).alias("_meta")).select("page_id", "_meta.*")
+
+
 @query("domains", f"WITH {TITLES} SELECT page_id, domain FROM titles")
 def domains(spark: SparkSession, folder: str) -> DataFrame:
     return inputs.table(spark, folder, "pages").select("page_id", urls.network_location(F.col("url")).alias("domain"))

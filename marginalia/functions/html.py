@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from html import unescape as unescape_text
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from marginalia.functions.planning import once
-from marginalia.functions.text import first_truthy, strip
+from marginalia.functions.charrefs import unescape
+from marginalia.functions.planning import let, once
+from marginalia.functions.text import blank_to_null, first_truthy, strip
 
 # Element groups that decide what is body text.
 DROPPED = frozenset({"script", "style", "noscript", "template", "svg", "iframe"})
@@ -144,59 +144,70 @@ def mail_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
         )
 
 
-@once
-@F.pandas_udf(T.StringType())
-def _unescaped(texts: pd.Series) -> pd.Series:
-    return texts.map(unescape_text, na_action="ignore")
+# One pass over the page finds these; values are looked for in them only.
+TITLE_PATTERN = "(?is)<title[^>]*>(.*?)</title>"
+_TAGS = r"(?is)<(?:meta|link)\s[^>]*>"
+_KEYS = r"""(?is)(?:name|property|itemprop)\s*=\s*["']([^"'>]*)["']"""
+_REL = r"""(?is)rel\s*=\s*["']canonical["']"""
 
 
-def unescape(text: Column) -> Column:
-    """Every character reference resolved; texts without one are not looked at in Python."""
-    return F.coalesce(_unescaped(F.when(F.contains(text, F.lit("&")), text)), text)
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute in either kind of quotes; null when there is none or it is empty."""
+    return first_truthy(
+        F.regexp_extract(tag, rf"""(?is){name}\s*=\s*"([^">]*)\"""", 1),
+        F.regexp_extract(tag, rf"""(?is){name}\s*=\s*'([^'>]*)'""", 1),
+    )
 
 
-def _found(page: Column, pattern: str) -> Column:
-    """First group of the pattern that is not empty: a value in either kind of quotes."""
-    match = F.regexp_extract(page, pattern, 0)
-    groups = range(1, pattern.count("(") - pattern.count("(?") + 1)
-    inner = [F.regexp_extract(match, pattern, k) for k in groups]
-    return strip(unescape(F.coalesce(*(first_truthy(g) for g in inner), F.lit(""))))
+def _described(tag: Column) -> Column:
+    keys = F.transform(F.regexp_extract_all(tag, F.lit(_KEYS), 1), F.lower)
+    href = F.when(F.rlike(tag, F.lit(_REL)), _attribute(tag, "href"))
+    return F.struct(keys.alias("keys"), _attribute(tag, "content").alias("content"), href.alias("canonical"))
 
 
-def page_title(page: Column) -> Column:
-    return first_truthy(_found(page, TITLE_PATTERN))
+def _first(tags: Column, key: str) -> Column:
+    """Content of the first tag of a name that has any."""
+    named = F.filter(tags, lambda t: F.array_contains(t["keys"], key) & t["content"].isNotNull())
+    return F.try_element_at(named, F.lit(1))["content"]
 
 
-def _meta(page: Column, key: str) -> Column:
-    name = rf"""(?:name|property|itemprop)\s*=\s*["']{key}["']"""
-    value = r"""content\s*=\s*(?:"([^">]*)"|'([^'>]*)')"""
-    return first_truthy(
-        _found(page, rf"(?is)<meta\s[^>]*?{name}[^>]*?{value}"),
-        _found(page, rf"(?is)<meta\s[^>]*?{value}[^>]*?{name}"),
-    )
+def _raw(page: Column) -> Column:
+    """title, author, date and address as they stand in the page."""
 
+    def picked(tags: Column) -> Column:
+        linked = F.try_element_at(F.filter(tags, lambda t: t["canonical"].isNotNull()), F.lit(1))["canonical"]
+        return F.array(
+            F.regexp_extract(page, TITLE_PATTERN, 1),
+            F.coalesce(_first(tags, "author"), _first(tags, "article:author")),
+            F.coalesce(_first(tags, "article:published_time"), _first(tags, "datepublished"), _first(tags, "date")),
+            F.coalesce(linked, _first(tags, "og:url")),
+        )
 
-TITLE_PATTERN = "(?is)<title[^>]*>(.*?)</title>"
+    return let(F.transform(F.regexp_extract_all(page, F.lit(f"({_TAGS})"), 1), _described), picked)
 
 
-def page_author(page: Column) -> Column:
-    return F.coalesce(_meta(page, "author"), _meta(page, "article:author"))
+def _shown(value: Column) -> Column:
+    return blank_to_null(strip(unescape(value)))
 
 
-def page_date(page: Column) -> Column:
-    """Publication day as ISO text."""
-    stated = F.coalesce(_meta(page, "article:published_time"), _meta(page, "datePublished"), _meta(page, "date"))
-    day = F.substring(stated, 1, 10)
-    return F.when(F.rlike(day, F.lit(r"^\d{4}-\d\d-\d\d$")), day)
+def page_title(page: Column) -> Column:
+    return _shown(F.regexp_extract(page, TITLE_PATTERN, 1))
 
 
-def page_canonical(page: Column) -> Column:
-    rel = r"""rel\s*=\s*["']canonical["']"""
-    href = r"""href\s*=\s*(?:"([^">]*)"|'([^'>]*)')"""
-    return F.coalesce(
-        first_truthy(
-            _found(page, rf"(?is)<link\s[^>]*?{rel}[^>]*?{href}"),
-            _found(page, rf"(?is)<link\s[^>]*?{href}[^>]*?{rel}"),
-        ),
-        _meta(page, "og:url"),
-    )
+def page_metadata(page: Column) -> Column:
+    """``struct<title, author, date, canonical_url>``, each null where the page does not say it.
+
+    The page is searched once for its title and once for its meta and link tags. Of several tags
+    of a name the first with a value counts; a date counts when it begins with an ISO day.
+    """
+
+    def read(values: Column) -> Column:
+        day = F.substring(values[2], 1, 10)
+        return F.struct(
+            values[0].alias("title"),
+            values[1].alias("author"),
+            F.when(F.rlike(day, F.lit(r"^\d{4}-\d\d-\d\d$")), day).alias("date"),
+            values[3].alias("canonical_url"),
+        )
+
+    return let(F.transform(_raw(page), _shown), read)

@@ -10,15 +10,8 @@ from marginalia.functions import html, text, urls
 def articles(pages: DataFrame) -> DataFrame:
     """page_id, url, html → what an article read yields; rows without HTML are dropped."""
     page = F.col("html")
-    return pages.filter(page != "").select(
-        "page_id",
-        "url",
-        html.page_markdown(page).alias("text"),
-        html.page_title(page).alias("title"),
-        html.page_author(page).alias("author"),
-        html.page_date(page).alias("date"),
-        html.page_canonical(page).alias("canonical_url"),
-    )
+    read = pages.filter(page != "").select("page_id", "url", html.page_markdown(page).alias("text"), html.page_metadata(page).alias("_meta"))
+    return read.select("page_id", "url", "text", "_meta.*")
 
 
 def wanted_pages(pages: DataFrame, items: DataFrame) -> DataFrame:

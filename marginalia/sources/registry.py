@@ -9,22 +9,37 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marginalia import schemas
 
-# Wording of the scorer's instructions around the taxonomy; users may pass their own.
-INSTRUCTIONS = """\
-Catalogue the text you are given so that it can be found again later.
+# What each field of an analysis is asked for: (form, least, most); the limits are the contract's.
+ASKED = {
+    "summary": ("sentences of English prose", 2, 4),
+    "key_takeaways": ("points worth keeping, each a text of its own", 3, 7),
+    "tags": ("tags of the vocabulary for the subject, and as many as 2 for the use", 0, 3),
+    "content_type": (f"of {' / '.join(schemas.CONTENT_TYPES)}", 1, 1),
+    "description": ("sentence about the whole text", 1, 1),
+}
+
 
-Vocabulary. A tag may be used only if it is in this list, with the meaning stated there:
-{tags}
+def _asked(field: str) -> str:
+    form, least, most = ASKED[field]
+    amount = str(most) if least == most else f"at most {most}" if not least else f"{least} to {most}"
+    return f"- `{field}` holds {amount} {form}"
 
-How to choose among tags:
-{rules}
 
-Fill in the fields of the classify_content tool and answer with nothing else.
-summary: what the text says, in English, two to four sentences.
-key_takeaways: its main points, three to seven of them.
-tags: up to three that describe the subject, up to two that name a use.
-content_type: one of newsletter, clipping, paper, book, tool, note.
-description: the whole text in one sentence."""
+# Wording of the scorer's instructions around the taxonomy; users may pass their own.
+INSTRUCTIONS = "\n".join(
+    [
+        "Catalogue the text you are given so that it can be found again later.",
+        "",
+        "Vocabulary. A tag may be used only if it is in this list, with the meaning stated there:",
+        "{tags}",
+        "",
+        "How to choose among tags:",
+        "{rules}",
+        "",
+        "Answer through the classify_content tool alone, with these fields:",
+        *map(_asked, schemas.ANALYSIS.fieldNames()),
+    ]
+)
 
 
 def _load(path: str | Path) -> dict:

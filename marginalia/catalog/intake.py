@@ -134,6 +134,10 @@ def message_items(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Words that HTML shows as they are.
+_MAIL_WORD = r"[^\x00-\x20<>&\x7f-\x{a0}\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{3000}\x{feff}]+"
+
+
 @query(
     "mime_bodies",
     """SELECT d.doc_id, md5(d.text) AS plain_md5, md5(p.html) AS html_md5
@@ -156,12 +160,58 @@ def mime_bodies(spark: SparkSession, folder: str) -> DataFrame:
         F.array(part("text/plain", "text"), part("text/html", "html")).alias("parts"),
     )
     payload = F.to_json(F.struct(F.lit("multipart/mixed").alias("mimeType"), F.array(inner).alias("parts")))
-    parts = docs.select("doc_id", mime.flatten_parts(payload).alias("parts"))
+    parts = docs.select("doc_id", mime.walk(payload).alias("parts"))
     return parts.select(
         "doc_id",
-        F.md5(mime.body_of(F.col("parts"), "text/plain")).alias("plain_md5"),
-        F.md5(mime.body_of(F.col("parts"), "text/html")).alias("html_md5"),
+        F.md5(mime.decode_part(F.col("parts.plain"))).alias("plain_md5"),
+        F.md5(mime.decode_part(F.col("parts.html"))).alias("html_md5"),
+    )
+
+
+@query(
+    "service_messages",
+    f"""WITH mails AS (
+      SELECT d.doc_id, source, array_to_string(regexp_extract_all(d.text, '{_MAIL_WORD}'), ' ') AS words,
+             trim(d.text, {inputs.SPACES}) AS plain
+      FROM documents d)
+    SELECT 's' || doc_id || '/' || source AS item_id, 'Number ' || doc_id AS title, '[[' || source || ']]' AS author,
+           md5(CASE WHEN doc_id % 2 = 0 THEN words ELSE plain END) AS content_md5,
+           make_date(2024, 1, (1 + doc_id % 28)::INTEGER) AS published
+    FROM mails""",
+)
+def service_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as mails in the service's own JSON, half of them HTML, three levels down, → items."""
+    docs = inputs.table(spark, folder, "documents", "doc_id", "source", "text")
+    words = F.array_join(F.regexp_extract_all("text", F.lit(f"({_MAIL_WORD})"), 1), " ")
+    page = F.concat(F.lit("<html><head><style>p {}</style></head><body><nav>Home</nav><article><p>"), words, F.lit("</p></article></body></html>"))
+
+    def part(kind: str, body: F.Column) -> F.Column:
+        data = F.translate(F.base64(F.encode(body, "UTF-8")), "+/", "-_")
+        return F.struct(F.lit(kind).alias("mimeType"), F.struct(data.alias("data")).alias("body"))
+
+    def within(kind: str, *parts: F.Column) -> F.Column:
+        return F.struct(F.lit(kind).alias("mimeType"), F.array(*parts).alias("parts"))
+
+    marked = F.when(F.col("doc_id") % 2 == 0, page).otherwise("")
+    tree = within("multipart/mixed", within("multipart/related", within("multipart/alternative", part("text/plain", F.col("text")), part("text/html", marked))))
+    headers = F.array(
+        F.struct(F.lit("SUBJECT").alias("name"), text_of("Number ", F.col("doc_id")).alias("value")),
+        F.struct(F.lit("From").alias("name"), F.lit("<mail@example.com>").alias("value")),
+    )
+    noon = F.make_timestamp(F.lit(2024), F.lit(1), (1 + F.col("doc_id") % 28).cast("int"), F.lit(12), F.lit(0), F.lit(0))
+    mails = docs.select(
+        F.to_json(
+            F.struct(
+                text_of("s", F.col("doc_id")).alias("id"),
+                F.unix_millis(noon).cast("string").alias("internalDate"),
+                F.struct(tree["mimeType"].alias("mimeType"), tree["parts"].alias("parts"), headers.alias("headers")).alias("payload"),
+                F.lit("unread").alias("labelIds"),
+            )
+        ).alias("value")
     )
+    owners = docs.select(text_of("s", F.col("doc_id")).alias("message_id"), "source")
+    items = mail.to_items(mail.with_headers(mail.from_service(mails)).join(owners, "message_id"))
+    return items.select("item_id", "title", F.array_join("author", "|").alias("author"), F.md5("content").alias("content_md5"), "published")
 
 
 def scored_messages(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,46 +1,64 @@
-"""Mail message parts: flattening the MIME tree, choosing and decoding bodies."""
+"""Mail message parts: walking the MIME tree, choosing and decoding bodies."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from pyspark.sql import Column, functions as F
 
-import pyarrow as pa
-from pyspark.sql import Column, functions as F, types as T
-
-from marginalia.schemas import PART
-from marginalia.functions.planning import once
+from marginalia.functions.planning import let
 from marginalia.functions.text import blank_to_null, strip
 
+NODE = "struct<path:array<int>,node:variant>"
+DATA = "struct<path:array<int>,data:string>"
+
+
+def _children(level: Column) -> Column:
+    """The parts of all nodes of a level, each with its place in the tree."""
+
+    def of(parent: Column) -> Column:
+        parts = F.try_variant_get(parent["node"], "$.parts", "array<variant>")
+        return F.transform(parts, lambda node, at: F.struct(F.concat(parent["path"], F.array(at)).alias("path"), node.alias("node")))
 
-PARTS = pa.list_(
-    pa.struct([("path", pa.list_(pa.int32())), ("mime_type", pa.string()), ("data", pa.string())])
-)
+    return F.flatten(F.filter(F.transform(level, of), lambda parts: parts.isNotNull()))
 
 
-def _walk(node: dict, path: list[int]) -> Iterator[dict]:
-    data = (node.get("body") or {}).get("data")
-    if data:
-        yield {"path": path, "mime_type": node.get("mimeType"), "data": data}
-    for number, child in enumerate(node.get("parts") or []):
-        yield from _walk(child, [*path, number])
+def _earliest(before: Column, level: Column, mime_type: str) -> Column:
+    """The first part of a type with data, depth first: of those known and those of a level."""
 
+    def data(n: Column) -> Column:
+        fits = F.try_variant_get(n["node"], "$.mimeType", "string") == mime_type
+        return F.when(fits, blank_to_null(F.try_variant_get(n["node"], "$.body.data", "string")))
 
-def _parts(payload: str | None) -> list[dict] | None:
-    if payload is None:
-        return None
-    try:
-        return list(_walk(json.loads(payload), []))
-    except Exception:  # unreadable payload: the caller files the row as an extraction failure
-        return None
+    found = F.transform(level, lambda n: F.struct(n["path"].alias("path"), data(n).alias("data")))
+    return F.least(before, F.array_min(F.filter(found, lambda f: f["data"].isNotNull())))
+
+
+def walk(payload: Column) -> Column:
+    """``struct<html, plain>``: the data of the first part of each type; null if the payload is no object.
+
+    The tree (JSON text of any depth) is walked level by level; a level is deeper by at least one
+    bracket, so there are no more levels than brackets. Only the nodes of one level and the two
+    chosen parts are held.
+    """
+    nothing = F.lit(None).cast(DATA)
 
+    def walked(root: Column) -> Column:
+        level = F.array(F.struct(F.array().cast("array<int>").alias("path"), root.alias("node"))).cast(f"array<{NODE}>")
+        begin = F.struct(level.alias("level"), nothing.alias("html"), nothing.alias("plain"))
 
-@once
-@F.arrow_udf(T.ArrayType(PART))
-def flatten_parts(payloads: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """MIME tree (JSON text of any depth) → flat list of parts that hold data."""
-    for batch in payloads:
-        yield pa.array([_parts(payload) for payload in batch.to_pylist()], PARTS)
+        def deeper(known: Column, _: Column) -> Column:
+            return F.struct(
+                _children(known["level"]).alias("level"),
+                _earliest(known["html"], known["level"], "text/html").alias("html"),
+                _earliest(known["plain"], known["level"], "text/plain").alias("plain"),
+            )
+
+        def chosen(known: Column) -> Column:
+            return F.struct(known["html"]["data"].alias("html"), known["plain"]["data"].alias("plain"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.regexp_count(payload, F.lit(r"\["))), begin, deeper, chosen)
+
+    is_object = F.startswith(F.ltrim(payload, F.lit(" \t\r\n")), F.lit("{"))
+    return let(F.when(is_object, F.try_parse_json(payload)), lambda root: F.when(root.isNotNull(), walked(root)))
 
 
 def decode_part(data: Column) -> Column:
@@ -53,18 +71,6 @@ def decode_part(data: Column) -> Column:
     return F.make_valid_utf8(F.try_to_binary(plain, F.lit("base64")).cast("string"))
 
 
-def is_broken(parts: Column, mime_type: str) -> Column:
-    """Is there a part of the type whose data, that of the first one, cannot be decoded?"""
-    return F.exists(parts, lambda p: (p["mime_type"] == mime_type) & (p["data"] != "")) & body_of(parts, mime_type).isNull()
-
-
-def body_of(parts: Column, mime_type: str) -> Column:
-    """First part of a type, depth first; null when there is none with data."""
-    fitting = F.filter(parts, lambda p: (p["mime_type"] == mime_type) & (p["data"] != ""))
-    ordered = F.transform(fitting, lambda p: F.struct(p["path"].alias("path"), p["data"].alias("data")))
-    return decode_part(F.array_min(ordered)["data"])
-
-
 def header(headers: Column, name: str) -> Column:
     """Value of a header, any letter case; the last one wins when it is repeated."""
     same = F.filter(headers, lambda h: F.lower(h["name"]) == name)

@@ -6,14 +6,6 @@ from pyspark.sql import types as T
 
 HEADER = T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.StringType())])
 
-PART = T.StructType(
-    [
-        T.StructField("path", T.ArrayType(T.IntegerType())),
-        T.StructField("mime_type", T.StringType()),
-        T.StructField("data", T.StringType()),
-    ]
-)
-
 # A landed mail message. `payload` is the MIME tree as JSON text.
 MESSAGE = T.StructType(
     [

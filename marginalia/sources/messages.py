@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marginalia import schemas
 from marginalia.functions import dates, html, mime, text
@@ -13,6 +13,30 @@ def read_messages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     return with_headers(spark.read.schema(schemas.MESSAGE).format(fmt).load(path))
 
 
+def read_service(spark: SparkSession, path: str) -> DataFrame:
+    """Messages as the mail service gives them, one JSON object a line, typed like ``read_messages``."""
+    return with_headers(from_service(spark.read.text(path)))
+
+
+def from_service(lines: DataFrame) -> DataFrame:
+    """``value``: a message in the service's own layout (id, threadId, internalDate as text, the headers
+    inside payload) → a row of ``schemas.MESSAGE``. A line that is no such object gives an empty row,
+    which becomes a dead letter."""
+    read = lines.select(F.try_parse_json("value").alias("_m"))
+
+    def entry(path: str, kind: str) -> Column:
+        return F.try_variant_get("_m", path, kind)
+
+    return read.select(
+        entry("$.id", "string").alias("message_id"),
+        F.coalesce(entry("$.threadId", "string"), F.lit("")).alias("thread_id"),
+        # A missing or unreadable date is the epoch.
+        F.coalesce(entry("$.internalDate", "string").try_cast("long"), F.lit(0)).cast("long").alias("internal_date"),
+        entry("$.payload.headers", "array<struct<name:string,value:string>>").alias("headers"),
+        F.to_json(entry("$.payload", "variant")).alias("payload"),
+    )
+
+
 def with_headers(raw: DataFrame) -> DataFrame:
     return raw.withColumns(
         {
@@ -29,13 +53,11 @@ def to_items(messages: DataFrame, source: str = "source") -> DataFrame:
     A payload that cannot be read, or a body that cannot be decoded, gives ``error`` instead
     of content.
     """
-    parts = messages.withColumn("_parts", mime.flatten_parts(F.col("payload")))
-    bodies = parts.withColumns(
-        {
-            "_html": mime.body_of(F.col("_parts"), "text/html"),
-            "_plain": mime.body_of(F.col("_parts"), "text/plain"),
-        }
+    walked = messages.withColumn("_parts", mime.walk(F.col("payload")))
+    bodies = walked.withColumns(
+        {"_html": mime.decode_part(F.col("_parts.html")), "_plain": mime.decode_part(F.col("_parts.plain"))}
     )
+    broken = [F.col(f"_parts.{kind}").isNotNull() & F.col(f"_{kind}").isNull() for kind in ("html", "plain")]
     has_html = F.coalesce("_html", F.lit("")) != ""
     shown = text.display_name(F.col("from_header"))
     return bodies.select(
@@ -53,9 +75,6 @@ def to_items(messages: DataFrame, source: str = "source") -> DataFrame:
         F.col("thread_id"),
         F.col("internal_ts"),
         F.when(F.col("_parts").isNull(), F.lit("unreadable message payload"))
-        .when(
-            mime.is_broken(F.col("_parts"), "text/html") | mime.is_broken(F.col("_parts"), "text/plain"),
-            F.lit("undecodable message body"),
-        )
+        .when(broken[0] | broken[1], F.lit("undecodable message body"))
         .alias("error"),
     )

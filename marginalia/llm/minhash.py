@@ -14,7 +14,9 @@ order, rare ones first (by counts in `TALLY_BITS` slots, a table of fixed size),
 different components meet only where the larger one's first n - ceil(t n) + 1 shingles and the
 smaller one's first n - ceil(2t / (1 + t) n) + 1 have one in common. Sets over the threshold t
 always do, while a passage that many documents share is far behind in the order and joins
-nothing. So no link between two components is lost, and a group of near copies, or of texts
+nothing. A pair that meets must also have few enough odd slots: of `MARK_BITS` parities per set, no
+more can differ than shingles do, and few enough shingles besides its common one. Both bounds are
+exact. So no link between two components is lost, and a group of near copies, or of texts
 around one passage, costs about its own size.
 
 Cases: null and word-less texts have an empty set and link with nothing; equal sets are one
@@ -25,7 +27,7 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +43,13 @@ PERMUTATIONS = 156
 VALUES_PER_BAND = 6
 STAR_ROUNDS = 2
 TALLY_BITS = 20
+MARK_BITS = 1024
 _SLICE = 256
 
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 LISTED = "id long, n long, shingles array<long>"
 PREFIX = "key long, id long, n long, comp long, at int"
+MARKED = "id long, mark array<long>"
 
 
 def signatures(sets: list[np.ndarray], permutations: int) -> np.ndarray:
@@ -170,6 +174,23 @@ def _prefixes(batches, tally, percent: int):
         yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(places))], ["key", "id", "n", "comp", "at"])
 
 
+def _marks(batches):
+    """Per set the parity of its number of shingles in each of `MARK_BITS` slots."""
+    for batch in batches:
+        flat, bounds = _shingles(batch.column("shingles"))
+        slots = (mixed(flat.copy()) % np.uint64(MARK_BITS)).astype(np.int64)
+        rows = [
+            np.packbits((np.bincount(slots[low:high], minlength=MARK_BITS) & 1).astype(np.uint8)).view(np.uint64)
+            for low, high in zip(bounds[:-1], bounds[1:], strict=True)
+        ]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), _lists(rows)], ["id", "mark"])
+
+
+def _odd(left: str, right: str):
+    """Slots in which two sets differ in parity; no more than the shingles that only one of them has."""
+    return reduce(lambda x, y: x + y, (F.bit_count(F.col(left)[k].bitwiseXOR(F.col(right)[k])) for k in range(MARK_BITS // 64)))
+
+
 def _rare_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members (id, comp) of different components that may be similar enough."""
     own = held(sets.join(members, "id"))
@@ -179,16 +200,22 @@ def _rare_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     tally = own.sparkSession.sparkContext.broadcast(counts)
     prefixes = held(own.select("id", "n", "comp", "shingles").mapInArrow(partial(_prefixes, tally=tally, percent=percent), PREFIX))
     tally.destroy()
-    met = _open_buckets(prefixes)
+    marks = held(own.select("id", "shingles").mapInArrow(_marks, MARKED))
+    met = _open_buckets(prefixes).join(marks, "id")
     # The smaller set of a pair (of equal ones that with the smaller id) needs fewer of its shingles.
     short = met.filter(F.col("at") <= F.col("n") - F.ceil(2 * percent * F.col("n") / (100 + percent)))
-    small = short.select("key", F.col("id").alias("a"), F.col("n").alias("_n"), F.col("comp").alias("_comp"), F.col("at").alias("_at"))
+    small = short.select("key", F.col("mark").alias("_mark"), F.col("id").alias("a"), F.col("n").alias("_n"), F.col("comp").alias("_comp"), F.col("at").alias("_at"))
     later = F.struct("_n", "a") < F.struct("n", "id")
-    both = met.join(small, "key").filter(later & (F.col("comp") != F.col("_comp")) & _alike("n", "_n", percent))
+    both_sizes = F.col("_n") + F.col("n")
+    few_differ = (100 + percent) * _odd("mark", "_mark") <= (100 - percent) * both_sizes
+    # What lies before and after a common shingle must hold the others.
+    before, after = F.least("_at", "at"), F.least(F.col("_n") - F.col("_at"), F.col("n") - F.col("at"))
+    enough = (100 + percent) * (before + after) >= percent * both_sizes
+    both = met.join(small, "key").filter(later & (F.col("comp") != F.col("_comp")) & _alike("n", "_n", percent) & enough & few_differ)
+    # Nothing common lies before the first common shingle.
     first = both.groupBy("a", F.col("id").alias("b"), "_n", "n").agg(F.min(F.struct("_at", "at")).alias("_first"))
-    # What follows the first common shingle must hold the others.
     most = F.least(F.col("_n") - F.col("_first._at"), F.col("n") - F.col("_first.at"))
-    return first.filter((100 + percent) * most >= percent * (F.col("_n") + F.col("n"))).select("a", "b")
+    return first.filter((100 + percent) * most >= percent * both_sizes).select("a", "b")
 
 
 def near_duplicates(

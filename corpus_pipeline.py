@@ -2,17 +2,19 @@
 
 1. language: documents without a letter, or with no language that is likely, go.
 2. quality: documents that the network scores under a half go.
-3. near duplicates: one document of each group stays, the one with the smallest id.
+3. near duplicates: one document of each group stays, and one of equal rows.
 4. decontamination: documents that hold a passage of a benchmark item go.
 5. packing: what is left, packed into sequences, one row per piece.
 
 A stage works on what its predecessor kept and learns from those rows only. All but the last
-return the columns of documents, rows as they were. Rows without doc_id are kept by the
-filters, which cannot name them, and packed under a null id. Equal rows share their fate.
+return the columns of documents, rows as they were. Filters judge rows, not ids: every row has a
+key, a hash of all its columns, so a row without doc_id is judged like any other, and rows
+that share a doc_id but differ each have their own fate. Equal rows share theirs.
 """
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import public_tokenizers
@@ -33,39 +35,51 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def _documents(docs: DataFrame) -> DataFrame:
+    """The columns of documents; models and plans of the stage before are given back first."""
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
     ship_package(docs.sparkSession)
     return docs.select(*COLUMNS)
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """Documents whose doc_id is not among the rejected; only ids are shuffled with them."""
-    return docs.join(rejected.select("doc_id").dropna().distinct(), "doc_id", "left_anti").select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The rows for an operator: a key of the whole row (63 bits, never null) stands for doc_id."""
+    key = F.xxhash64(*COLUMNS).bitwiseAND(F.lit((1 << 63) - 1))
+    return _documents(docs).withColumn("_id", F.col("doc_id")).withColumn("doc_id", key)
+
+
+def _without(keyed: DataFrame, rejected: DataFrame) -> DataFrame:
+    """Rows whose key is not among the rejected, as they were; only keys are shuffled with them."""
+    kept = keyed.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti")
+    return kept.withColumn("doc_id", F.col("_id")).select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = _documents(docs)
+    keyed = _keyed(docs)
     unclear = (F.col("lang_pred") == UNKNOWN) | (F.col("score") < LEAST_LANGUAGE)
-    return _without(docs, identify(docs).filter(unclear))
+    return _without(keyed, identify(keyed).filter(unclear))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = _documents(docs)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _without(docs, quality.score(docs, labels).filter(F.col("score") < LEAST_QUALITY))
+    keyed = _keyed(docs)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias("_id"), "quality")
+    known = keyed.select("_id", "doc_id").join(labels, "_id").select("doc_id", "quality")
+    return _without(keyed, quality.score(keyed, known).filter(F.col("score") < LEAST_QUALITY))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = _documents(docs)
-    others = near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
-    # Of rows that repeat a doc_id one stays; they are few, so only they are gathered.
-    repeated = docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    single = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
-    return _without(_without(docs, repeated).unionByName(single), others)
+    keyed = _keyed(docs)
+    others = near_duplicates(keyed).filter(~F.col("kept")).select("doc_id")
+    # Of equal rows one stays; they are few, so only they are gathered.
+    repeated = keyed.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    single = keyed.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rest = keyed.join(repeated, "doc_id", "left_anti")
+    return _without(rest.unionByName(single), others)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = _documents(docs)
-    return _without(docs, leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    keyed = _keyed(docs)
+    return _without(keyed, leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -316,46 +316,6 @@ def render_layouts(spark: SparkSession, folder: str) -> DataFrame:
     return drawn.select("doc_id", "layout", F.md5(note).alias("note_md5"))
 
 
-@query("render_frontmatter")
-def render_frontmatter(spark: SparkSession, folder: str) -> DataFrame:
-    now = inputs.as_of(inputs.message_bounds(spark, folder))
-    front = F.struct(*(column.alias(name) for name, column in notes.newsletter_front_matter(now).items()))
-    staged = newsletter_items(spark, folder).select("doc_id", front.alias("front"))
-    return staged.select("doc_id", frontmatter.front_matter_yaml(F.col("front")).alias("front_matter"))
-
-
-@query("render_notes")
-def render_notes(spark: SparkSession, folder: str) -> DataFrame:
-    now = inputs.as_of(inputs.message_bounds(spark, folder))
-    items = newsletter_items(spark, folder)
-    written = notes.with_text(items, notes.newsletter_front_matter(now), F.col("content"))
-    return written.select(text.safe_filename(F.col("title")).alias("filename"), F.col("rendered").alias("note"))
-
-
-@query("pdf_notes")
-def pdf_notes(spark: SparkSession, folder: str) -> DataFrame:
-    """Wrapper notes of pages taken as PDF files, tags checked against the taxonomy."""
-    now = inputs.as_of(inputs.message_bounds(spark, folder))
-    pdfs = inputs.table(spark, folder, "pages", "page_id").select(
-        text_of("file:/vault/00 Inbox/page ", F.col("page_id"), ".pdf").alias("path")
-    )
-    items = vault.pdf_items(pdfs).withColumns(
-        {
-            "analysis": scoring.rule_analysis(F.col("content"), WORD_RULES, TYPE_RULES),
-            "message_id": F.lit(None).cast("string"),
-            "newsletter_name": F.lit(None).cast("string"),
-            "author": lists.empty_list(),
-            "published": F.lit(None).cast("date"),
-            "web_author": F.lit(None).cast("string"),
-        }
-    )
-    known = registry.vocabulary(inputs.taxonomy(spark, folder))
-    tagged = merge.resolve_tags(items, known, suggested="analysis.tags")
-    written = notes.with_text(tagged, notes.pdf_front_matter(now), F.lit(""), F.col("filename"))
-    name = text.safe_filename(F.col("title")).alias("filename")
-    return written.select(name, "status", F.col("rendered").alias("note"))
-
-
 INBOX_RESULT = f"""{TAXONOMY}, {CLIPS},
 known AS (SELECT list(tag) AS tags FROM taxonomy),
 {RULE_SCORES.replace("FROM items", "FROM enriched")}"""

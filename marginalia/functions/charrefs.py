@@ -10,7 +10,7 @@ from pyspark.sql import Column, functions as F
 from marginalia.functions.planning import let
 
 REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
-REPLACEMENT = "�"
+REPLACEMENT = "\ufffd"
 # Numbers that stand for another character, as the HTML standard reads them: those of the
 # Windows code page, null and carriage return.
 _WINDOWS = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}

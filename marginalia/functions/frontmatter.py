@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 from datetime import date
 
 import pandas as pd
 import yaml
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 from marginalia import schemas
 from marginalia.functions.planning import let, once
 from marginalia.functions.text import first_truthy, strip
+from marginalia.functions.yamltext import entry, listing
 
 FENCE = r"(?m)^-{3,}\s*$"
 # Keys that may hold the original address, in order of preference.
@@ -84,50 +84,46 @@ def source_url_of(meta: Column) -> Column:
     return source_url(*(string_only(meta, key) for key in URL_KEYS))
 
 
-# The C writer escapes and wraps some texts differently; for these characters it does not.
-_PLAIN = re.compile(r"[ -~\u00a1-\u1fff\u2010-\u2027\u2030-\ud7ff]*")
-_FAST = getattr(yaml, "CSafeDumper", yaml.SafeDumper)
+def _present(value: Column, line: Column) -> Column:
+    return F.when(value.isNotNull(), line)
 
 
-def _all_plain(data: dict) -> bool:
-    for value in data.values():
-        texts = value if isinstance(value, list) else [value]
-        if not all(_PLAIN.fullmatch(text) for text in texts if isinstance(text, str)):
-            return False
-    return True
-
-
-def _iso(day: date | None) -> str | None:
-    return None if day is None else day.isoformat()
-
-
-def _block(row: dict) -> str:
-    """YAML block of one note, keys in their fixed order; days are written as text."""
-    kind = row["type"]
-    data = {"title": row["title"], "source": row["source"], "author": list(row["author"])}
-    optional = {
-        "newsletter": row["newsletter"], "published": _iso(row["published"]), "gmail_url": row["gmail_url"],
-    }
-    data |= {key: value for key, value in optional.items() if value is not None}
-    data["created"] = _iso(row["created"])
-    data |= {key: row[key] for key in ("description", "type", "status")}
-    if row["rating"] is not None:
-        data["rating"] = int(row["rating"])
-    year = None if row["year"] is None else int(row["year"])
-    if kind == "paper":
-        data |= {"journal": row["journal"] or "", "doi": row["doi"] or "", "year": year}
-    elif kind == "book":
-        data |= {"year": year, "isbn": row["isbn"] or ""}
-    data["tags"] = list(row["tags"])
-    writer = _FAST if _all_plain(data) else yaml.SafeDumper
-    text = yaml.dump(data, Dumper=writer, default_flow_style=False, allow_unicode=True, sort_keys=False)
-    return "---\n" + text.rstrip("\n") + "\n---"
+def front_matter_yaml(front: Column) -> Column:
+    """Front matter struct (``schemas.FRONT_MATTER``) → YAML block, fences included.
 
+    Keys come in their fixed order; days are written as text; what a note lacks is left out, but
+    for the fields that its type has always.
+    """
 
-@once
-@F.pandas_udf(T.StringType())
-def front_matter_yaml(fields: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-    """Front matter struct → YAML block, fences included."""
-    for batch in fields:
-        clean = batch.astype(object).where(batch.notna(), None)
-        yield pd.Series([_block(row) for row in clean.to_dict("records")], dtype=object)
+    def day(name: str) -> Column:
+        return F.coalesce(F.concat(F.lit("'"), front[name].cast("string"), F.lit("'")), F.lit("null"))
+
+    kind = front["type"]
+    year = F.concat(F.lit("year: "), F.coalesce(front["year"].cast("int").cast("string"), F.lit("null")))
+
+    def text(name: str) -> Column:
+        return entry(name, front[name])
+
+    def stated(name: str) -> Column:
+        return entry(name, F.coalesce(front[name], F.lit("")))
+
+    return F.concat_ws(
+        "\n",
+        F.lit("---"),
+        text("title"),
+        text("source"),
+        listing("author", front["author"]),
+        _present(front["newsletter"], text("newsletter")),
+        _present(front["published"], F.concat(F.lit("published: "), day("published"))),
+        _present(front["gmail_url"], text("gmail_url")),
+        F.concat(F.lit("created: "), day("created")),
+        text("description"),
+        text("type"),
+        text("status"),
+        _present(front["rating"], F.concat(F.lit("rating: "), front["rating"].cast("int").cast("string"))),
+        F.when(kind == "paper", F.concat_ws("\n", stated("journal"), stated("doi"), year)).when(
+            kind == "book", F.concat_ws("\n", year, stated("isbn"))
+        ),
+        listing("tags", front["tags"]),
+        F.lit("---"),
+    )

@@ -9,10 +9,9 @@ from urllib.parse import parse_qsl, urlencode, urlsplit
 
 import pytest
 import yaml
-from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from marginalia.functions import charrefs, dates, frontmatter, html, lists, mime, render, replies, text, urls
+from marginalia.functions import charrefs, dates, frontmatter, html, lists, mime, render, replies, text, urls, yamltext
 
 
 def test_display_name(each):
@@ -317,18 +316,41 @@ def test_front_matter_of_typed_notes(spark, kind, extra):
     assert (loaded["rating"], loaded["newsletter"], loaded["published"]) == (4, "N", "2026-01-01")
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(max_size=120), min_size=4, max_size=4))
-def test_both_yaml_writers_agree(texts):
-    """The fast writer is used only where it writes what the plain one does."""
-    row = NOTE | {"title": texts[0], "description": texts[1], "author": [texts[2]], "tags": [texts[3]]}
-    row["created"] = dt.date(2026, 3, 7)
-    shown = {
-        "title": texts[0], "source": "", "author": [texts[2]], "created": "2026-03-07",
-        "description": texts[1], "type": "note", "status": "classified", "tags": [texts[3]],
-    }
-    plain = yaml.dump(shown, Dumper=yaml.SafeDumper, default_flow_style=False, allow_unicode=True, sort_keys=False)
-    assert frontmatter._block(row) == "---\n" + plain.rstrip("\n") + "\n---"
+def _dumped(data: dict) -> str:
+    return yaml.dump(data, Dumper=yaml.SafeDumper, default_flow_style=False, allow_unicode=True, sort_keys=False).rstrip("\n")
+
+
+ODD_SCALARS = [
+    "", "a", "yes", "null", "~", "1", "1.5", "0x1f", "12:30:45", "2024-01-02", "2024-1-2 10:00:00", "<<", "=", "it's", "- a", "a: b", "a:", " a",
+    "a ", "'q'", '"q"', "---x", "...", "#c", "a #c", "word " * 40, ("word " * 40).strip(), "'" + "w x " * 60, "é " * 100, "a\tb " * 40,
+    "😀 " * 60, "\\ " * 80, "x" * 200, "x" * 90 + " y" + " z" * 90, "a  " * 50 + "b", "1_000", "08", "1e5", "1.0e+5", ".inf", ".nan", "a\nb",
+    "a\n\nb", "a \nb", "a\n b", "\n", "\na", "a\n", "word\x85word " * 20, "\u2028", "a\u2029b " * 30, "\ufeff", "\U0010ffff " * 40, "\x00", "?", "? a", ":a",
+]
+
+
+def test_yaml_texts_equal_those_of_the_python_writer(spark):
+    draw = random.Random(5)
+    pieces = [
+        ["word", "and ", " ", "it's ", "a-b ", "é ", "(x) "], ["word ", "longish-word ", "'q' ", "c: ", "tab\t", "nul\x00 ", "\n"],
+        ["a", " ", "  ", "\n", "'", '"', "\\", ":", "#", "- ", "?", "\x85", "\u2028", "😀", "\ufeff", "\xa0", "x" * 30, "0", "…", "[", "&", "%", ","],
+    ]
+    made = ["".join(draw.choice(kind) for _ in range(draw.choice([1, 3, 12, 60]))) for kind in pieces for _ in range(200)]
+    texts = ODD_SCALARS + made
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, s string").repartition(4)
+    rows = df.select("i", yamltext.entry("title", F.col("s")).alias("a"), yamltext.listing("tags", F.array("s", F.lit("z"))).alias("b")).collect()
+    for row in rows:
+        assert row["a"] == _dumped({"title": texts[row["i"]]})
+        assert row["b"] == _dumped({"tags": [texts[row["i"]], "z"]})
+
+
+def test_blocks_equal_those_of_the_python_writer(spark):
+    for text in ("Wäre: es", "long " * 30 + "#", "tab\there"):
+        block = _block(spark, title=text, description=text, author=[text, "b"], tags=[])
+        shown = {
+            "title": text, "source": "", "author": [text, "b"], "created": "2026-03-07", "description": text,
+            "type": "note", "status": "classified", "tags": [],
+        }
+        assert block == "---\n" + _dumped(shown) + "\n---"
 
 
 def test_render_layouts(one):

@@ -69,14 +69,14 @@ def test_ranked_queries_prune_before_the_shuffle(spark, name):
     assert re.search(r"WindowGroupLimit .*Partial", plan(spark, name))
 
 
-@pytest.mark.parametrize("name", ["clean_urls", "rule_scores", "takeaway_repair", "parse_results", "sane_dates", "safe_filenames"])
+@pytest.mark.parametrize("name", ["clean_urls", "rule_scores", "takeaway_repair", "parse_results", "sane_dates", "safe_filenames", "mime_bodies", "page_metadata", "page_titles", "render_notes", "pdf_notes"])
 def test_native_queries_do_not_use_python(spark, name):
     assert "EvalPython" not in plan(spark, name)
 
 
 def test_yaml_writer_runs_once_per_note(spark):
-    # One line of the plan holds the call; the layouts refer to its result.
-    assert plan(spark, "render_notes").count("front_matter_yaml(") == 1
+    # One line of the plan holds the block; the layouts refer to its result.
+    assert plan(spark, "render_notes").count("newsletter: ") == 1
 
 
 def test_library_does_not_gather_rows_on_the_driver():

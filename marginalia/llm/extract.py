@@ -4,12 +4,15 @@ A page becomes a tree of its block elements. Paragraphs (text runs of `MIN_PARAG
 characters or more) earn points for length and commas and pass them to their ancestors, less
 at each level; a container's points are discounted by its share of link text. The best
 container is kept, or the article or main element around it, with siblings that score well
-themselves. Inside them everything stays but elements that are not article text by kind
-(menus, forms, scripts, …) or by the words of their class, id or role.
+themselves. Inside them everything stays but elements that are not article text by kind (menus,
+forms, scripts, …) or by what the words of their class, id or role say. Words are weighed: a name
+made of such words alone drops its element, unless most points of the page lie in it; a name that
+merely holds one drops an element only if it is mostly links, or has no text to speak of; a
+heading is never dropped by its name. Tags are read as browsers read them, attribute by attribute.
 
 Cases: null or empty html gives an empty text; so does a page without text; unclosed and
-stray tags are repaired as browsers do; very long and deeply nested pages are read in one
-pass without recursion; repeated rows are extracted each; other columns are ignored.
+stray tags are repaired as browsers do, a tag that never ends hides the rest of the page; very
+long, deeply nested and broken pages are read in one pass without recursion; repeated rows are extracted each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +44,19 @@ NOT_TEXT_WORDS = frozenset(
     "promo promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe "
     "toolbar widget contentinfo complementary alert alertdialog".split()
 )
+# Words that say nothing by themselves but complete a name of the kind above.
+COMPANIONS = frozenset(
+    "area bar block body bottom box buttons col column container content entry footer global header holder icon icons inner item "
+    "items label left link links list main message meta module outer page panel post posts right row section site slot text title "
+    "top unit user wrap wrapper".split()
+)
+# Names that hold one of these are what they say, whatever else they hold.
+PLAIN_WORDS = frozenset("comment comments disqus navbar breadcrumb breadcrumbs advertisement gdpr".split())
+# Share of the page's points with which an element stays in spite of its name, and of link text
+# with which a name that only hints decides.
+MOST_POINTS = 0.8
+MOST_LINKS = 0.5
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p li td th dd dt pre blockquote h1 h2 h3 h4 h5 h6 figcaption caption summary".split())
 # An open element of the first kind ends when one of the second begins, up to the third.
 _ENDED_BY = {
@@ -50,34 +66,95 @@ _ENDED_BY = {
     "tfoot": ("thead tbody tfoot tr td th", "table"), "body": ("head title", ""),
 }
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|template|svg|math|textarea|xmp|noembed)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<more>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>",
-    re.S | re.I,
-)
-_HINT = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_ATTRIBUTE = re.compile(r"[\s/]*+(?:>|(=?[^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(\"?)|'([^']*+)('?)|([^\s>]*+)))?)")
+RAW = frozenset("script style template svg math textarea xmp noembed".split())
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 _WORD = re.compile(r"[a-z0-9]+")
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+
+
+def _attributes(html: str, at: int) -> tuple[dict[str, str], int]:
+    """Attributes of the tag whose name ends at `at`, the first of a name counts; and where the tag ends (-1: never)."""
+    found: dict[str, str] = {}
+    size = len(html)
+    while at < size:
+        if html[at] == ">":
+            return found, at + 1
+        part = _ATTRIBUTE.match(html, at)
+        name, double, closed, single, ended, bare = part.groups()
+        if name is None:
+            return found, part.end()
+        if (double is not None and not closed) or (single is not None and not ended):
+            return found, -1
+        if name:
+            found.setdefault(name.lower(), double if double is not None else single if single is not None else bare or "")
+        at = part.end() if part.end() > at else at + 1
+    return found, -1
+
+
+def _tags(html: str):
+    """(where it begins, where it ends, name or None, is it an end tag, attributes) of all markup, in one pass."""
+    at, size = 0, len(html)
+    while (begin := html.find("<", at)) >= 0:
+        head = _OPEN.match(html, begin)
+        if head:
+            name = head[2].lower()
+            attributes, end = _attributes(html, head.end())
+            if end < 0:
+                yield begin, size, None, False, {}
+                return
+            if name in RAW and not head[1]:
+                close = _RAW_END[name].search(html, end)
+                end = close.start() if close else size
+                yield begin, end, None, False, {}
+            else:
+                yield begin, end, name, bool(head[1]), attributes
+        elif html.startswith("<!--", begin):
+            close = html.find("-->", begin + 4)
+            end = close + 3 if close >= 0 else size
+            yield begin, end, None, False, {}
+        elif html.startswith(("<!", "<?", "</"), begin):
+            close = html.find(">", begin)
+            end = close + 1 if close >= 0 else size
+            yield begin, end, None, False, {}
+        else:
+            at = begin + 1
+            continue
+        at = end
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "skip", "parts", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "skip", "hint", "parts", "points", "chars", "linked", "told", "own_chars", "own_linked")
 
-    def __init__(self, tag: str, parent: _Node | None, skip: bool) -> None:
-        self.tag, self.parent, self.skip = tag, parent, skip
+    def __init__(self, tag: str, parent: _Node | None, skip: bool, hint: int = 0) -> None:
+        self.tag, self.parent, self.skip, self.hint = tag, parent, skip, hint
         self.parts: list[_Node | str] = []
-        self.points = self.chars = self.linked = 0.0
+        # Points passed on by paragraphs; text, link text and paragraph points inside; its own text.
+        self.points = self.chars = self.linked = self.told = self.own_chars = self.own_linked = 0.0
+
 
+def _named(token: str) -> int:
+    """2: a name of what is no article text; 1: a name that holds such a word; 0: neither."""
+    words = set(_WORD.findall(_CAMEL.sub("-", token).lower()))
+    if not words & NOT_TEXT_WORDS:
+        return 0
+    return 2 if words & PLAIN_WORDS or words <= NOT_TEXT_WORDS | COMPANIONS else 1
 
-def _skipped(tag: str, more: str, inside: set[str]) -> bool:
+
+def _kind(tag: str, attributes: dict[str, str], inside: set[str]) -> tuple[bool, int]:
+    """Is an element no article text by its kind, and what does its name say?"""
     if tag in NEVER or (tag == "header" and not inside & {"article", "main"}):
-        return True
-    if not more or tag in ("html", "body", "main", "article"):
-        return False
-    words = {w for hint in _HINT.findall(more) for w in _WORD.findall(hint.lower())}
-    return bool(words & NOT_TEXT_WORDS) or bool(_HIDDEN.search(more))
+        return True, 0
+    if not attributes or tag in ("html", "body", "main", "article"):
+        return False, 0
+    style = "".join(attributes.get("style", "").lower().split())
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style:
+        return True, 0
+    tokens = [t for key in ("class", "role") for t in attributes.get(key, "").split()]
+    hint = max(map(_named, tokens), default=0)
+    own = _named(attributes.get("id", ""))
+    return False, 0 if tag in HEADINGS else max(hint, own)
 
 
 def _tree(html: str) -> list[_Node]:
@@ -91,8 +168,8 @@ def _tree(html: str) -> list[_Node]:
             text = " ".join(unescape("".join(run)).split())
             if text:
                 top.parts.append(text)
-                top.chars += len(text)
-                top.linked += min(link[1], len(text))
+                top.own_chars += len(text)
+                top.own_linked += min(link[1], len(text))
         run.clear()
         link[1] = 0
 
@@ -102,19 +179,17 @@ def _tree(html: str) -> list[_Node]:
         del stack[depth:]
 
     at = 0
-    for tag in _TAG.finditer(html):
-        if tag.start() > at:
-            piece = html[at : tag.start()]
+    for begin, end, name, ends, attributes in _tags(html):
+        if begin > at:
+            piece = html[at:begin]
             run.append(piece)
             if link[0]:
                 link[1] += len(piece)
-        at = tag.end()
-        name = tag["name"]
+        at = end
         if name is None:
             continue
-        name = name.lower()
         if name in BLOCKS:
-            if tag["end"]:
+            if ends:
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth].tag == name:
                         close(depth)
@@ -134,8 +209,8 @@ def _tree(html: str) -> list[_Node]:
                         close(depth)
                         break
             top = stack[-1]
-            skip = top.skip or _skipped(name, tag["more"], {n.tag for n in stack} if name == "header" else set())
-            node = _Node(name, top, skip)
+            never, hint = _kind(name, attributes, {n.tag for n in stack} if name == "header" else set())
+            node = _Node(name, top, top.skip or never, hint)
             top.parts.append(node)
             nodes.append(node)
             stack.append(node)
@@ -145,13 +220,44 @@ def _tree(html: str) -> list[_Node]:
             elif name == "br":
                 run.append(" ")
         elif name == "a":
-            link[0] = not tag["end"]
+            link[0] = not ends
     if at < len(html):
         run.append(html[at:])
     flush()
     return nodes
 
 
+def _points(text: str) -> float:
+    """What a run of text counts: nothing if it is short, more for length and commas."""
+    return 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3) if len(text) >= MIN_PARAGRAPH else 0.0
+
+
+def _gather(nodes: list[_Node]) -> None:
+    """Text, link text and points inside each element, without what is skipped."""
+    for node in nodes:
+        node.chars, node.linked = node.own_chars, node.own_linked
+        node.told = sum(_points(text) for text in node.parts if isinstance(text, str))
+    for node in reversed(nodes):
+        up = node.parent
+        if up and not node.skip:
+            up.chars += node.chars
+            up.linked += node.linked
+            up.told += node.told
+
+
+def _drop_named(nodes: list[_Node]) -> None:
+    """Skips elements that their names, weighed against what they hold, say are no article text."""
+    for node in nodes:
+        if node.parent and node.parent.skip:
+            node.skip = True
+        elif node.hint and not node.skip:
+            links = node.linked / node.chars if node.chars else 0.0
+            if node.hint == 2:
+                node.skip = not (node.told > MOST_POINTS * nodes[0].told and links < MOST_LINKS)
+            else:
+                node.skip = links >= MOST_LINKS or (not node.told and node.tag not in PARAGRAPHS)
+
+
 def _blocks(node: _Node) -> list[str]:
     found, todo = [], [node]
     while todo:
@@ -168,20 +274,21 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     nodes = _tree(html)
+    _gather(nodes)
+    if any(node.hint for node in nodes):
+        _drop_named(nodes)
+        _gather(nodes)
     for node in nodes:
+        if node.skip:
+            continue
         for text in node.parts:
-            if isinstance(text, str) and len(text) >= MIN_PARAGRAPH:
-                points = 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)
+            if isinstance(text, str) and (points := _points(text)):
                 holder = node.parent if node.tag in PARAGRAPHS and node.parent else node
                 for level in range(LEVELS):
                     if holder is None:
                         break
                     holder.points += points / (1, 2, 6, 9, 12)[level]
                     holder = holder.parent
-    for node in reversed(nodes):
-        if node.parent and not node.skip:
-            node.parent.chars += node.chars
-            node.parent.linked += node.linked
     worth = {id(n): n.points * (1 - n.linked / n.chars) if n.chars else 0.0 for n in nodes if not n.skip}
     best = max((n for n in nodes if not n.skip), key=lambda n: worth[id(n)])
     if not worth[id(best)]:

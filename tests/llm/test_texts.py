@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +37,47 @@ def test_container_without_article_element():
     assert main_text(page) == ("long text, " * 20).strip() + "\nend."
 
 
+FRAME = "{0}<p>Some first paragraph, with commas, that is long enough to be kept.</p>{{}}<p>Some last paragraph, with commas, that is long enough.</p>{1}"
+FRAMES = [FRAME.format(*x) for x in (("<article>", "</article>"), ("<main>", "</main>"), ("<div>", "</div>"), ("<body><table><tr><td>", ""), ("", ""))]
+KEPT = [
+    '<p title="the hidden truth">Kept text of a paragraph, long enough.</p>', '<h2 id="social-history">Kept heading</h2>',
+    '<p data-id="share-12">Kept text of a paragraph, long enough.</p>', '<p class="notice-board-text">Kept text of a paragraph, long enough.</p>',
+    '<section id="related-work"><h2>Kept</h2><p>Kept text of a paragraph, long enough.</p></section>',
+    "<p title=it's>Kept text of a paragraph, it's long enough.</p>", '<p class="commentary">Kept.</p>', '<p x="a>b" y=\'<p>\'>Kept text, long enough to count.</p>',
+]
+DROPPED = [
+    '<div class="comment-list"><p>Dropped, by a reader, who has much to say, and more.</p></div>', '<p hidden>Dropped text of a paragraph</p>',
+    '<div id="comments"><p>Dropped, by a reader, who has much to say.</p></div>', '<div class="share-buttons">Dropped</div>',
+    '<div class="post-related-links"><a href=x>Dropped link text here</a></div>', '<div style="display: NONE">Dropped</div>',
+    '<div role="complementary">Dropped text, long enough to count here.</div>', '<div aria-hidden=true>Dropped</div>',
+    '<div class="userComment"><p>Dropped, by a reader, who has much to say.</p></div>', "<div class=ad><p>Dropped, buy now, it is cheap, and good.</p></div>",
+    '<div class="newsletter-signup">Dropped: get our letters, every week, for free.</div>',
+]
+
+
+@pytest.mark.parametrize("frame", FRAMES)
+def test_names_are_weighed_against_what_elements_hold(frame):
+    around = main_text(frame.replace("{}", "")).split("\n")
+    assert [line.split(" ")[1] for line in around] == ["first", "last"]
+    for part in KEPT:
+        lines = main_text(frame.replace("{}", part)).split("\n")
+        assert lines[0] == around[0] and lines[-1] == around[1] and "Kept" in lines[1], part
+    for part in DROPPED:
+        assert main_text(frame.replace("{}", part)).split("\n") == around, part
+
+
+def test_a_container_with_most_points_stays_whatever_its_name():
+    text = "long text, with commas, that goes on, " * 20
+    assert main_text(f'<div class="sidebar"><p>{text}</p></div><p>A short end, after it.</p>').startswith("long text")
+
+
+@pytest.mark.parametrize("piece", ['<p "', '<p a="', "<", "<a", "<!--", "</", "<script ", "<script>", "<p a='>", "&", "<p " + "a " * 9, "<b><i>"])
+def test_hostile_markup_takes_linear_time(piece):
+    begun = time.process_time()
+    main_text(piece * (300_000 // len(piece)))
+    assert time.process_time() - begun < 3
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [(None, ""), ("", ""), ("plain", "plain"), ("<p>a<p>b", "a\nb"), ("<!-- open <p>a", ""), ("<script>x", ""),

@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from marginalia.catalog import inputs
-from marginalia.catalog.inputs import MESSAGES, NEW_MESSAGES
+from marginalia.catalog.inputs import BATCHES, MESSAGES, NEW_MESSAGES
 from marginalia.catalog.registry import query
 from marginalia.session import use_checkpoint_dir
-from marginalia.streaming import intake
+from marginalia.streaming import answers, intake
 
 
 def _stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,3 +69,30 @@ def message_dedup(spark: SparkSession, folder: str) -> DataFrame:
     writer = intake.distinct_messages(delivered).writeStream.option("checkpointLocation", f"{root}/checkpoint")
     writer.trigger(availableNow=True).format("parquet").start(f"{root}/distinct").awaitTermination()
     return spark.read.parquet(f"{root}/distinct").select("message_id", "internal_ts")
+
+
+@query(
+    "stream_answers",
+    f"""WITH {BATCHES}
+    SELECT batch_id, custom_id, CASE WHEN r.custom_id IS NULL THEN 'batch expired' ELSE r.error END AS error
+    FROM pending_items p JOIN batches b USING (batch_id) LEFT JOIN last_results r USING (batch_id, custom_id)
+    WHERE r.custom_id IS NOT NULL OR (SELECT as_of FROM clock) >= b.expires_at""",
+)
+def stream_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """Requests and results as streams: answered ones reconciled, unanswered ones given out when they expire."""
+    root = f"{use_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    now = inputs.as_of(inputs.message_bounds(spark, folder))
+    clock = spark.range(1).select(now.cast("timestamp").alias("now")).first()["now"]
+    submitted = inputs.batches(spark, folder, F.lit(clock)).select("batch_id", "submitted_at")
+    asked = inputs.pending_items(spark, folder).join(submitted, "batch_id").select("batch_id", "custom_id", F.col("submitted_at").cast("timestamp"))
+    raw = inputs.results(spark, folder).join(submitted, "batch_id")
+    given = raw.select("batch_id", "custom_id", "type", "message", "error", "seq", (F.col("submitted_at") + F.expr("INTERVAL 1 DAY")).cast("timestamp").alias("answered_at"))
+    tick = spark.range(1).select((F.lit(clock) + F.expr("INTERVAL 1 SECOND")).alias("at"))
+    streams = []
+    for name, rows, time in (("requests", asked, "submitted_at"), ("results", given, "answered_at")):
+        ticks = tick.select(*(F.col("at").alias(c) if c == time else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns))
+        rows.unionByName(ticks).write.parquet(f"{root}/{name}")
+        streams.append(intake.message_stream(spark, f"{root}/{name}", rows.schema))
+    writer = answers.answered(*streams).writeStream.option("checkpointLocation", f"{root}/checkpoint")
+    writer.trigger(availableNow=True).format("parquet").start(f"{root}/answers").awaitTermination()
+    return answers.settled(spark.read.parquet(f"{root}/answers")).select("batch_id", "custom_id", "error")

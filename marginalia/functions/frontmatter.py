@@ -13,7 +13,7 @@ from pyspark.sql import Column, functions as F
 from marginalia import schemas
 from marginalia.functions.planning import let, once
 from marginalia.functions.text import first_truthy, strip
-from marginalia.functions.yamltext import entry, listing
+from marginalia.functions.yamltext import entries
 
 FENCE = r"(?m)^-{3,}\s*$"
 # Keys that may hold the original address, in order of preference.
@@ -98,32 +98,31 @@ def front_matter_yaml(front: Column) -> Column:
     def day(name: str) -> Column:
         return F.coalesce(F.concat(F.lit("'"), front[name].cast("string"), F.lit("'")), F.lit("null"))
 
-    kind = front["type"]
+    kind, blank = front["type"], F.lit("")
     year = F.concat(F.lit("year: "), F.coalesce(front["year"].cast("int").cast("string"), F.lit("null")))
+    texts = {name: front[name] for name in ("title", "source", "newsletter", "gmail_url", "description", "type", "status")}
+    texts |= {name: F.coalesce(front[name], blank) for name in ("journal", "doi", "isbn")}
+
+    def block(line: dict[str, Column]) -> Column:
+        return F.concat_ws(
+            "\n",
+            F.lit("---"),
+            line["title"],
+            line["source"],
+            line["author"],
+            _present(front["newsletter"], line["newsletter"]),
+            _present(front["published"], F.concat(F.lit("published: "), day("published"))),
+            _present(front["gmail_url"], line["gmail_url"]),
+            F.concat(F.lit("created: "), day("created")),
+            line["description"],
+            line["type"],
+            line["status"],
+            _present(front["rating"], F.concat(F.lit("rating: "), front["rating"].cast("int").cast("string"))),
+            F.when(kind == "paper", F.concat_ws("\n", line["journal"], line["doi"], year)).when(
+                kind == "book", F.concat_ws("\n", year, line["isbn"])
+            ),
+            line["tags"],
+            F.lit("---"),
+        )
 
-    def text(name: str) -> Column:
-        return entry(name, front[name])
-
-    def stated(name: str) -> Column:
-        return entry(name, F.coalesce(front[name], F.lit("")))
-
-    return F.concat_ws(
-        "\n",
-        F.lit("---"),
-        text("title"),
-        text("source"),
-        listing("author", front["author"]),
-        _present(front["newsletter"], text("newsletter")),
-        _present(front["published"], F.concat(F.lit("published: "), day("published"))),
-        _present(front["gmail_url"], text("gmail_url")),
-        F.concat(F.lit("created: "), day("created")),
-        text("description"),
-        text("type"),
-        text("status"),
-        _present(front["rating"], F.concat(F.lit("rating: "), front["rating"].cast("int").cast("string"))),
-        F.when(kind == "paper", F.concat_ws("\n", stated("journal"), stated("doi"), year)).when(
-            kind == "book", F.concat_ws("\n", year, stated("isbn"))
-        ),
-        listing("tags", front["tags"]),
-        F.lit("---"),
-    )
+    return entries(texts, {"author": front["author"], "tags": front["tags"]}, block)

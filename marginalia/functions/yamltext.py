@@ -8,6 +8,8 @@ block style, Unicode allowed and keys in the given order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from marginalia.functions.planning import let
@@ -59,15 +61,15 @@ def _state(done: Column, line: Column, column: Column) -> Column:
     return F.struct(done.alias("done"), line.alias("line"), column.cast("int").alias("column"))
 
 
-def _start(column: int) -> Column:
-    return _state(F.array().cast("array<string>"), F.lit(""), F.lit(column))
+def _start(column: Column) -> Column:
+    return _state(F.array().cast("array<string>"), F.lit(""), column)
 
 
 def _ended(state: Column) -> Column:
     return F.concat(F.array_join(state["done"], ""), state["line"])
 
 
-def _folded(text: Column, column: int) -> Column:
+def _folded(text: Column, column: Column) -> Column:
     """Words, runs of spaces and line breaks, one after the other; `column` is where the text begins."""
     tokens = F.regexp_extract_all(text, F.lit(rf"( +|[{_BREAK}]+|[^ {_BREAK}]+)"), 1)
 
@@ -102,7 +104,7 @@ def _escape(char: Column) -> Column:
     )
 
 
-def _double_folded(text: Column, column: int) -> Column:
+def _double_folded(text: Column, column: Column) -> Column:
     """Characters one after the other; `held` are those since the last possible fold."""
     chars = F.split(text, "")
 
@@ -140,26 +142,46 @@ def _double_folded(text: Column, column: int) -> Column:
     return let(chars, folded)
 
 
-def scalar(text: Column, lead: int) -> Column:
-    """A text as YAML, after ``lead`` characters of its line and a space; null is ``null``."""
+def _written(item: Column, kind: Column) -> Column:
+    """A text that is not null: folded as it is or with doubled quotes, or character by character."""
+    text, quoted = item["text"], kind == SINGLE
+    lead = item["lead"] + F.when(kind == PLAIN, 1).otherwise(2)
+    shown = F.when(quoted, F.replace(text, F.lit("'"), F.lit("''"))).otherwise(text)
+    quote = F.when(quoted, F.lit("'")).otherwise("")
+    return F.when(kind == DOUBLE, F.concat(F.lit('"'), _double_folded(text, lead), F.lit('"'))).otherwise(
+        F.concat(quote, _folded(shown, lead), quote)
+    )
+
+
+def scalars(items: Column) -> Column:
+    """``array<struct<text, lead>>`` → each text as YAML, after ``lead`` characters of its line and a
+    space; null is ``null``. However many texts there are, the writer stands once in the plan."""
+
+    def written(item: Column) -> Column:
+        text = item["text"]
+        return F.when(text.isNull(), F.lit("null")).otherwise(let(style(text), lambda kind: _written(item, kind)))
+
+    return F.transform(items, written)
 
-    def written(kind: Column) -> Column:
-        single = F.replace(text, F.lit("'"), F.lit("''"))
-        return (
-            F.when(kind == PLAIN, _folded(text, lead + 1))
-            .when(kind == SINGLE, F.concat(F.lit("'"), _folded(single, lead + 2), F.lit("'")))
-            .when(kind == DOUBLE, F.concat(F.lit('"'), _double_folded(text, lead + 2), F.lit('"')))
-        )
 
-    return F.when(text.isNull(), F.lit("null")).otherwise(let(style(text), written))
+def item(text: Column, lead: int) -> Column:
+    return F.struct(text.alias("text"), F.lit(lead).alias("lead"))
 
 
-def entry(key: str, text: Column) -> Column:
-    """``key: text``"""
-    return F.concat(F.lit(f"{key}: "), scalar(text, len(key) + 1))
+def entries(texts: dict[str, Column], lists: dict[str, Column], body: Callable[[dict[str, Column]], Column]) -> Column:
+    """``body`` of the lines ``key: text`` of all texts, and of the blocks of all lists, by key."""
+    empty = F.array().cast("array<struct<text:string,lead:int>>")
+    given = {key: F.coalesce(values, F.array().cast("array<string>")) for key, values in lists.items()}
+    parts = [F.array(*(item(text, len(key) + 1) for key, text in texts.items())) if texts else empty]
+    parts += [F.transform(values, lambda t: item(t, 1)) for values in given.values()]
 
+    def lines(found: Column) -> Column:
+        made = {key: F.concat(F.lit(f"{key}: "), found[at]) for at, key in enumerate(texts)}
+        begin: Column = F.lit(len(texts) + 1)
+        for key, values in given.items():
+            own = F.transform(F.slice(found, begin, F.size(values)), lambda line: F.concat(F.lit("\n- "), line))
+            made[key] = F.when(F.size(values) == 0, F.lit(f"{key}: []")).otherwise(F.concat(F.lit(f"{key}:"), F.array_join(own, "")))
+            begin = begin + F.size(values)
+        return body(made)
 
-def listing(key: str, texts: Column) -> Column:
-    """A list under its key, one line each; an empty or missing one in brackets."""
-    lines = F.array_join(F.transform(texts, lambda t: F.concat(F.lit("\n- "), scalar(t, 1))), "")
-    return F.when(F.size(F.coalesce(texts, F.array().cast("array<string>"))) == 0, F.lit(f"{key}: []")).otherwise(F.concat(F.lit(f"{key}:"), lines))
+    return let(scalars(F.concat(*parts)), lines)

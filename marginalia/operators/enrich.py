@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, functions as F
 
 from marginalia.functions import html, text, urls
+from marginalia.session import use_checkpoint_dir
 
 
 def articles(pages: DataFrame) -> DataFrame:
@@ -22,49 +25,53 @@ def wanted_pages(pages: DataFrame, items: DataFrame) -> DataFrame:
     return keyed.join(keys, "_key", "left_semi").drop("_key")
 
 
-def one_per_url(found: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Articles:
+    """The article of every cleaned URL as a narrow row, and the texts, fetched by ``article``."""
+
+    winners: DataFrame  # clean_url, article, chars, author, date
+    texts: DataFrame  # article, text
+
+
+def one_per_url(found: DataFrame) -> Articles:
     """One article per cleaned URL: the longest text, then the lowest page id.
 
-    ``max_by`` keeps one candidate per URL in every task before anything is shuffled.
+    Texts are read once and written; only their lengths are ranked, one candidate per URL in
+    every task before anything is shuffled.
     """
-    best = F.struct(F.coalesce(F.length("text"), F.lit(-1)), -F.col("page_id"))
-    return (
-        found.withColumn("clean_url", urls.clean_url(F.col("url")))
-        .groupBy("clean_url")
-        .agg(F.max_by(F.struct("page_id", "text", "author", "date"), best).alias("article"))
-        .select("clean_url", "article.*")
-    )
+    use_checkpoint_dir(found.sparkSession)
+    numbered = found.withColumn("article", F.monotonically_increasing_id())
+    fixed = numbered.withColumn("clean_url", urls.clean_url(F.col("url"))).checkpoint()
+    chars = F.length("text")
+    best = F.struct(F.coalesce(chars, F.lit(-1)), -F.col("page_id"), -F.col("article"))
+    row = F.struct("article", chars.alias("chars"), "author", "date")
+    winners = fixed.groupBy("clean_url").agg(F.max_by(row, best).alias("_w")).select("clean_url", "_w.*")
+    return Articles(winners, fixed.select("article", "text"))
 
 
-def keep_longest(items: DataFrame, by_url: DataFrame, enabled: bool = True) -> DataFrame:
+def keep_longest(items: DataFrame, by_url: Articles, enabled: bool = True) -> DataFrame:
     """Items with cleaned URL, the longer of captured and crawled text, web author and date.
 
-    Author and date are adopted even when the text is not; the canonical URL never is.
+    Author and date are adopted even when the text is not; the canonical URL never is. What is
+    adopted is decided on lengths; contents meet texts in the last join only, those that are longer.
+    ``item_id`` identifies an item.
     """
     nothing = F.lit(None).cast("string")
     if not enabled:
         return items.withColumns({"web_author": nothing, "web_date": nothing})
     eligible = ~F.coalesce("is_pdf", F.lit(False)) & (F.coalesce("source_url", F.lit("")) != "")
-    cleaned = F.when(eligible, urls.clean_url(F.col("source_url")))
-    # Rows that cannot match get a key of their own; a shared null would land in one task.
-    key = F.coalesce(cleaned, F.concat(F.lit("\u0000"), F.col("item_id").cast("string")))
-    crawled = by_url.select(
-        F.col("clean_url").alias("_key"),
-        F.col("text").alias("_text"),
-        F.col("author").alias("_author"),
-        F.col("date").alias("_date"),
-    )
-    longer = F.length("_text") > F.length(F.coalesce("content", F.lit("")))
-    return (
-        items.withColumn("_key", key)
-        .join(crawled, "_key", "left")
-        .withColumns(
-            {
-                "source_url": F.coalesce(cleaned, "source_url"),
-                "content": F.when(longer, F.col("_text")).otherwise(F.col("content")),
-                "web_author": text.blank_to_null(F.col("_author")),
-                "web_date": text.blank_to_null(F.col("_date")),
-            }
-        )
-        .drop("_key", "_text", "_author", "_date")
-    )
+    wanted = items.filter(eligible).select(
+        F.col("item_id").alias("_item"), urls.clean_url(F.col("source_url")).alias("clean_url"),
+        F.length(F.coalesce("content", F.lit(""))).alias("_own"),
+    )
+    decided = wanted.join(by_url.winners, "clean_url", "left")
+    longer = decided.filter(F.col("chars") > F.col("_own")).select("_item", "article")
+    fetched = longer.join(by_url.texts, "article").select(F.col("_item").alias("_for"), F.col("text").alias("_text"))
+    facts = decided.select(
+        "_item", F.col("clean_url").alias("_cleaned"), text.blank_to_null(F.col("author")).alias("web_author"),
+        text.blank_to_null(F.col("date")).alias("web_date"),
+    )
+    joined = items.join(facts, F.col("item_id") == F.col("_item"), "left").join(fetched, F.col("item_id") == F.col("_for"), "left")
+    return joined.withColumns(
+        {"source_url": F.coalesce("_cleaned", "source_url"), "content": F.coalesce("_text", "content")}
+    ).drop("_item", "_cleaned", "_for", "_text")

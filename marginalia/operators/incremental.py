@@ -8,6 +8,11 @@ from marginalia.functions import dates, text
 from marginalia.operators.keyed import top_k_per_key
 from marginalia.settings import LOOKBACK_DAYS
 
+# Characters of the grams that sender names are looked up by.
+GRAM = 3
+# Parts of a day's landed messages, by the sender's address.
+SENDER_PARTS = 32
+
 
 def source_cutoffs(
     sources: DataFrame, sync_state: DataFrame, as_of: Column, lookback_days: int = LOOKBACK_DAYS
@@ -36,6 +41,41 @@ def coarse_search(messages: DataFrame, cutoffs: DataFrame, ts: str = "internal_t
     return messages.filter(F.col(ts) >= _same_type(messages, ts, earliest_search(cutoffs)))
 
 
+def _part(address: Column) -> Column:
+    return F.lpad(F.pmod(F.xxhash64(address), F.lit(SENDER_PARTS)).cast("string"), 2, "0")
+
+
+def slice_of(ts: Column, address: Column) -> Column:
+    """Folder of a landed message: its day, and a part of it by the sender's address."""
+    return F.concat_ws("_", F.date_format(ts, "yyyyMMdd"), _part(address))
+
+
+def wanted_slices(sources: DataFrame, cutoffs: DataFrame, as_of: Column) -> DataFrame:
+    """(slice) of all landed folders that some source can have new messages in.
+
+    A source known by its address needs one part of each day since its own search day; one
+    known by its display name all parts. Messages dated after tomorrow are read when their day comes.
+    """
+    named = F.nullif(F.col("sender_name"), F.lit("")).isNotNull()
+    every = F.sequence(F.lit(0), F.lit(SENDER_PARTS - 1))
+    parts = F.when(named, F.transform(every, lambda k: F.lpad(k.cast("string"), 2, "0"))).otherwise(F.array(_part(F.lower("email"))))
+    dated = sources.select("name", "email", "sender_name").join(cutoffs.select("name", "search_from"), "name")
+    until = F.date_add(as_of.cast("date"), 1)
+    dated = dated.filter(F.col("search_from").cast("date") <= until)
+    days = dated.select(F.explode(F.sequence(F.col("search_from").cast("date"), until)).alias("_day"), parts.alias("_parts"))
+    cells = days.select("_day", F.explode("_parts").alias("_part")).distinct()
+    return cells.select(F.concat_ws("_", F.date_format("_day", "yyyyMMdd"), "_part").alias("slice"))
+
+
+def landed_search(messages: DataFrame, sources: DataFrame, cutoffs: DataFrame, as_of: Column) -> DataFrame:
+    """Landed messages (with ``slice``, their partition) of the folders that some source needs.
+
+    The folders are known when the scan starts, so the others are not even listed; a source with
+    an old mark makes no other source's folders be read.
+    """
+    return messages.join(wanted_slices(sources, cutoffs, as_of), "slice", "left_semi")
+
+
 def is_new(ts: Column) -> Column:
     """After the mark, or since the search day for a source that has no mark."""
     return F.when(F.col("last_sync").isNotNull(), ts > F.col("last_sync")).otherwise(
@@ -61,26 +101,39 @@ def sender_address(from_header: Column) -> Column:
     return F.lower(text.strip(F.when(inside != "", inside).otherwise(from_header)))
 
 
+def _grams(name: Column, size: int) -> Column:
+    """The distinct runs of ``size`` characters of a name; a shorter name has none."""
+    starts = F.when(F.length(name) >= size, F.sequence(F.lit(1), F.length(name) - size + 1))
+    return F.array_distinct(F.coalesce(F.transform(starts, lambda at: F.substr(name, at, F.lit(size))), F.array().cast("array<string>")))
+
+
 def _named_lookup(names: DataFrame, named: DataFrame) -> DataFrame:
     """(key: display name, source) for every sender name a display name contains.
 
-    The substring test is an equi-join: a display name offers each of its substrings
-    that is as long as some sender name, so no name is compared with every source.
+    The substring test is an equi-join on q-grams: a sender name is looked up by one gram, the one
+    that the fewest display names hold, and then compared. A name that has no longer gram than
+    one or two characters is looked up by that. A display name gives as many rows as it has
+    characters, three at most for each, whatever sender names there are.
     """
-    pieces = F.flatten(
-        F.transform(
-            F.filter(F.col("_sizes"), lambda n: n <= F.length("key")),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.length("key") - n + 1), lambda at: F.substr("key", at, n)
-            ),
-        )
-    )
-    return (
-        names.withColumn("_sizes", named.agg(F.collect_set(F.length("_piece"))).scalar())
-        .select("key", F.explode(F.array_distinct(pieces)).alias("_piece"))
-        .join(named, "_piece")
-        .select("key", "source")
+    sized = named.withColumn("_size", F.least(F.length("_piece"), F.lit(GRAM)))
+    sizes = sized.agg(F.collect_set("_size")).scalar()
+
+    def grams_of(name: Column, size: Column) -> Column:
+        return F.when(size == 1, _grams(name, 1)).when(size == 2, _grams(name, 2)).otherwise(_grams(name, GRAM))
+
+    of_all = F.flatten(F.transform("_sizes", lambda n: grams_of(F.col("key"), n)))
+    found = names.withColumn("_sizes", sizes).select("key", F.explode(of_all).alias("_gram"))
+    wanted = sized.select("source", "_piece", F.explode(grams_of(F.col("_piece"), F.col("_size"))).alias("_gram"))
+    held = found.groupBy("_gram").agg(F.count("*").alias("_n"))
+    rarest = (
+        wanted.join(held, "_gram")
+        .groupBy("source", "_piece")
+        # A gram that no display name holds rules its sender name out.
+        .agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"), F.count("*").alias("_met"))
     )
+    whole = wanted.groupBy("source", "_piece").agg(F.count("*").alias("_all"))
+    usable = rarest.join(whole, ["source", "_piece"]).filter("_met = _all").select("source", "_piece", "_gram")
+    return found.join(usable, "_gram").filter(F.contains("key", F.col("_piece"))).select("key", "source")
 
 
 def match_senders(messages: DataFrame, sources: DataFrame, from_header: str = "from_header") -> DataFrame:
@@ -112,10 +165,11 @@ def newest_per_source(messages: DataFrame, k: int, ts: str = "internal_ts", sour
 
 
 def new_marks(processed: DataFrame, ok: Column, ts: str = "internal_ts", source: str = "source") -> DataFrame:
-    """Latest successfully processed timestamp of each source."""
+    """Latest successfully processed timestamp of each source; a message without a date moves no mark."""
+    dated = F.unix_micros(F.col(ts).cast("timestamp")) > 0
     return (
         processed.groupBy(F.col(source).alias("source"))
-        .agg(F.max(F.when(ok, F.col(ts))).alias("last_sync"))
+        .agg(F.max(F.when(ok & dated, F.col(ts))).alias("last_sync"))
         .filter(F.col("last_sync").isNotNull())
     )
 

@@ -102,14 +102,19 @@ def move(notes: DataFrame, processed: DataFrame, inbox_folder: str, notes_folder
     return last_per_key(placed, KEY, F.col("_moved").desc()).drop("_moved")
 
 
+def file_digests(files: DataFrame) -> DataFrame:
+    """binaryFile rows → path, length, sha256; the content goes no further than the scan."""
+    return files.select("path", "length", F.sha2(F.col("content"), 256).alias("sha256"))
+
+
+def asset_rows(digests: DataFrame, folder: str) -> DataFrame:
+    name = F.element_at(F.split("path", "/"), -1)
+    return digests.select(F.lit(folder).alias("folder"), name.alias("filename"), "length", "sha256")
+
+
 def asset_manifest(files: DataFrame, folder: str) -> DataFrame:
     """binaryFile rows → assets table rows, content replaced by its digest."""
-    return files.select(
-        F.lit(folder).alias("folder"),
-        F.element_at(F.split("path", "/"), -1).alias("filename"),
-        F.col("length"),
-        F.sha2(F.col("content"), 256).alias("sha256"),
-    )
+    return asset_rows(file_digests(files), folder)
 
 
 def ensure_labels(labels: DataFrame, names: DataFrame) -> DataFrame:

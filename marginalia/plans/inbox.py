@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marginalia.functions import lists, text, urls
 from marginalia.operators import enrich, merge, notes, report, scoring
+from marginalia.operators.keyed import last_per_key
 from marginalia.operators.scoring import Scorer
-from marginalia.plans.runs import RunResult, StateFolder, materialise, run_time, write_part, write_run_report
+from marginalia.plans import moves
+from marginalia.plans.runs import RunResult, StateFolder, materialise_counted, run_time, write_part, write_run_report
 from marginalia.schemas import FRONT_MATTER
 from marginalia.settings import JobSettings
 from marginalia.sources import state, vault
@@ -81,11 +83,6 @@ def _rows(
     )
 
 
-def remaining(notes_files: DataFrame, done: DataFrame) -> DataFrame:
-    """Files a finished run leaves in the inbox."""
-    return notes_files.join(done.select(F.col("original_path").alias("path")), "path", "left_anti")
-
-
 def without_done(files: DataFrame, folder: StateFolder, run_id: str) -> DataFrame:
     """Inbox files no other run has made into a note; failed ones are tried again.
 
@@ -99,24 +96,41 @@ def without_done(files: DataFrame, folder: StateFolder, run_id: str) -> DataFram
     return files.join(done.select("path").distinct(), "path", "left_anti")
 
 
-def outcome(scored: DataFrame, vocabulary: Column, now: str, settings: JobSettings, batch: bool = False) -> RunResult:
+def outcome(
+    scored: DataFrame, vocabulary: Column, now: str, settings: JobSettings, batch: bool = False, observed: dict[str, int] | None = None
+) -> RunResult:
+    """What a run gives. With ``observed`` counts the report reads no row."""
+    stated = observed is not None
     return RunResult(
         scored=scored,
         notes=note_rows(scored, vocabulary, now, settings),
-        report=report.run_report(scored, "inbox", batch),
+        report=report.stated_report(scored.sparkSession, observed, "inbox", batch) if stated else report.run_report(scored, "inbox", batch),
         dead_letters=report.dead_letters(scored, F.col("stage"), "inbox", ["item_id"]),
     )
 
 
+def asset_digests(scored: DataFrame, pdf_files: DataFrame) -> DataFrame:
+    """(path, length, sha256) of the PDF files that became notes; only paths and digests are joined."""
+    kept = scored.filter("error IS NULL AND is_pdf").select(F.col("original_path").alias("path"))
+    return notes.file_digests(pdf_files).join(kept, "path", "left_semi")
+
+
+def log_moves(result: RunResult, notes_files: DataFrame, pdf_files: DataFrame, folder: StateFolder, run_id: str, settings: JobSettings) -> None:
+    """The intent to write the run's notes and assets as files and to remove their originals."""
+    done = result.scored.filter("error IS NULL AND NOT is_pdf").select(F.col("original_path").alias("path"))
+    originals = notes_files.select("path", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256")).join(done, "path", "left_semi")
+    # Of notes that share a name the last one is the file.
+    last = last_per_key(result.notes, notes.KEY, F.col("seq").desc())
+    moves.log(moves.intents(last, originals, asset_digests(result.scored, pdf_files), settings.assets_folder), folder, run_id)
+
+
 def commit(
     scored: DataFrame, pdf_files: DataFrame, vocabulary: Column, folder: StateFolder, now: str, run_id: str,
-    settings: JobSettings,
+    settings: JobSettings, observed: dict[str, int] | None = None,
 ) -> RunResult:
-    result = outcome(scored, vocabulary, now, settings)
+    result = outcome(scored, vocabulary, now, settings, observed=observed)
     state.append_increment(result.notes, folder.path("notes"), ["folder"])
-    kept = scored.filter("error IS NULL AND is_pdf").select(F.col("original_path").alias("path"))
-    assets = notes.asset_manifest(pdf_files.join(kept, "path", "left_semi"), settings.assets_folder)
-    write_part(assets, folder, "assets", run_id)
+    write_part(notes.asset_rows(asset_digests(scored, pdf_files), settings.assets_folder), folder, "assets", run_id)
     write_part(result.dead_letters, folder, "dead_letters_inbox", run_id)
     done = scored.filter("error IS NULL").select(F.col("original_path").alias("path"))
     write_part(done, folder, "inbox_done", run_id)
@@ -137,14 +151,25 @@ def run(
     run_id: str,
     settings: JobSettings = JobSettings(),
     write: bool = True,
+    vault_root: str | None = None,
 ) -> RunResult:
+    """One run over the inbox. With ``vault_root`` notes and assets are written there as files and their
+    originals removed; what an earlier run left of that is finished first."""
     from marginalia.sources.registry import vocabulary
 
+    moving = write and vault_root is not None
+    if moving:
+        moves.finish_all(spark, folder, vault_root)
     notes_files, pdfs = (without_done(files, folder, run_id) for files in (notes_files, pdf_files))
     items, quarantined = inbox_items(notes_files, pdfs, pages, settings)
-    scored = scoring.score(items, scorer, system_prompt, limit=settings.prompt_max_chars).withColumn("stage", F.lit("score"))
+    scored = scoring.score(items, scorer, system_prompt, limit=settings.prompt_max_chars, in_flight=settings.in_flight, per_second=settings.per_second).withColumn("stage", F.lit("score"))
     if not write:
         return outcome(scored, vocabulary(taxonomy), now, settings)
-    fixed = materialise(scored, folder.path(f"scored_inbox/run_id={run_id}"))
+    seen = report.counts(F.col("error").isNotNull())
+    fixed, observed = materialise_counted(scored, folder.path(f"scored_inbox/run_id={run_id}"), seen)
     write_part(quarantined, folder, "quarantine", run_id)
-    return commit(fixed, pdf_files, vocabulary(taxonomy), folder, now, run_id, settings)
+    result = commit(fixed, pdf_files, vocabulary(taxonomy), folder, now, run_id, settings, observed)
+    if moving:
+        log_moves(result, notes_files, pdfs, folder, run_id, settings)
+        moves.finish(spark, folder, vault_root, run_id)
+    return result

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from marginalia import schemas
 from marginalia.sources import state
 
 
+_WHOLE = "batch_id IS NOT NULL AND expires_at IS NOT NULL"
+
+
 @dataclass(frozen=True)
 class StateFolder:
     """Tables of one installation, all under one shared folder."""
@@ -23,9 +26,20 @@ class StateFolder:
         return state.read_snapshot(spark, self.path("sync_state"), schemas.SYNC_STATE)
 
     def pending_batches(self, spark: SparkSession) -> DataFrame:
-        """Pending batches; entries without an id or an end are left out."""
-        stored = state.read_snapshot(spark, self.path("pending_batches"), schemas.PENDING_BATCH)
-        return stored.filter("batch_id IS NOT NULL AND expires_at IS NOT NULL")
+        """Pending batches; entries without an id or an end are left out, see ``broken_batches``."""
+        return self._stored_batches(spark).filter(_WHOLE)
+
+    def broken_batches(self, spark: SparkSession) -> DataFrame:
+        """Entries of the pending state that no run can use, with the reason."""
+        lacks = F.concat_ws(", ", *(F.when(F.col(c).isNull(), F.lit(c)) for c in ("batch_id", "expires_at")))
+        return self._stored_batches(spark).filter(f"NOT ({_WHOLE})").withColumn("problem", F.concat(F.lit("missing: "), lacks))
+
+    def _stored_batches(self, spark: SparkSession) -> DataFrame:
+        return state.read_snapshot(spark, self.path("pending_batches"), schemas.PENDING_BATCH)
+
+    def label_names(self, spark: SparkSession) -> DataFrame:
+        """The labels there are, with their ids."""
+        return state.read_snapshot(spark, self.path("labels"), schemas.LABEL)
 
     def labels(self, spark: SparkSession) -> DataFrame:
         found = state.read_increments(spark, self.path("message_labels"))
@@ -51,6 +65,13 @@ def materialise(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialise_counted(df: DataFrame, path: str, counts: dict[str, F.Column]) -> tuple[DataFrame, dict[str, int]]:
+    """``materialise``, and aggregates of the rows that are observed while they are written."""
+    seen = Observation()
+    fixed = materialise(df.observe(seen, *(value.alias(name) for name, value in counts.items())), path)
+    return fixed, seen.get
+
+
 def run_time(now: str) -> F.Column:
     """The time of a run is a parameter, so that a repeated run gives the same rows."""
     return F.lit(now).cast("timestamp")

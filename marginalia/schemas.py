@@ -77,6 +77,8 @@ SYNC_STATE = T.StructType(
     [T.StructField("source", T.StringType()), T.StructField("last_sync", T.TimestampType())]
 )
 
+LABEL = T.StructType([T.StructField("label", T.StringType()), T.StructField("label_id", T.StringType())])
+
 PENDING_BATCH = T.StructType(
     [
         T.StructField("batch_id", T.StringType()),

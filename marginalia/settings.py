@@ -29,3 +29,6 @@ class JobSettings:
     enrich_from_web: bool = True
     # None reads every new message; 50 gives the page limit of the mail search.
     max_per_source: int | None = None
+    # Scorer calls that a task has under way at once, and how many may begin in a second.
+    in_flight: int = 1
+    per_second: float | None = None

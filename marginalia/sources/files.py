@@ -10,6 +10,15 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 WRITTEN = T.StructType([T.StructField("folder", T.StringType()), T.StructField("files", T.LongType())])
 
 
+def opened(path: str):
+    """The file system of a path and the path in it. Local paths may hold any characters."""
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    if path.startswith(("/", "file:")):
+        return LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return FileSystem.from_uri(path)
+
+
 def write_files(rows: DataFrame, root: str, content: Column) -> DataFrame:
     """Write ``root/folder/filename`` for every row; returns how many files each task wrote.
 
@@ -19,9 +28,7 @@ def write_files(rows: DataFrame, root: str, content: Column) -> DataFrame:
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow.fs import FileSystem
-
-        system, base = FileSystem.from_uri(root)
+        system, base = opened(root)
         for batch in batches:
             for folder in batch["folder"].unique():
                 system.create_dir(f"{base}/{folder}", recursive=True)
@@ -37,11 +44,3 @@ def write_files(rows: DataFrame, root: str, content: Column) -> DataFrame:
 def write_notes(notes: DataFrame, root: str) -> DataFrame:
     """Rendered notes as Markdown files."""
     return write_files(notes, root, F.encode("rendered", "UTF-8"))
-
-
-def copy_assets(pdf_files: DataFrame, folder: str, root: str) -> DataFrame:
-    """PDF files (binaryFile rows) into the assets folder."""
-    named = pdf_files.select(
-        F.lit(folder).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("filename"), "content"
-    )
-    return write_files(named, root, F.col("content"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marginalia import schemas
 from marginalia.functions import dates, html, mime, text
+from marginalia.operators import incremental
 
 
 def read_messages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -13,6 +14,18 @@ def read_messages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
     return with_headers(spark.read.schema(schemas.MESSAGE).format(fmt).load(path))
 
 
+def land(messages: DataFrame, path: str) -> None:
+    """Add typed messages (``with_headers``) to a landed table, one folder per day and part of the senders."""
+    address = incremental.sender_address(F.col("from_header"))
+    sliced = messages.withColumn("slice", incremental.slice_of(F.col("internal_ts"), address))
+    sliced.repartition("slice").write.mode("append").partitionBy("slice").parquet(path)
+
+
+def read_landed(spark: SparkSession, path: str) -> DataFrame:
+    """The landed table; runs over it read the folders that their sources need."""
+    return spark.read.parquet(path)
+
+
 def read_service(spark: SparkSession, path: str) -> DataFrame:
     """Messages as the mail service gives them, one JSON object a line, typed like ``read_messages``."""
     return with_headers(from_service(spark.read.text(path)))

@@ -18,6 +18,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; no folder has none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(status.getPath().getName() for status in system.listStatus(where)) if system.exists(where) else []
+
+
 def read_notes(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text) of the `.md` files directly in a folder; no folder gives no rows."""
     if not path_exists(spark, folder):

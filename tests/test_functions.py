@@ -337,10 +337,13 @@ def test_yaml_texts_equal_those_of_the_python_writer(spark):
     made = ["".join(draw.choice(kind) for _ in range(draw.choice([1, 3, 12, 60]))) for kind in pieces for _ in range(200)]
     texts = ODD_SCALARS + made
     df = spark.createDataFrame(list(enumerate(texts)), "i int, s string").repartition(4)
-    rows = df.select("i", yamltext.entry("title", F.col("s")).alias("a"), yamltext.listing("tags", F.array("s", F.lit("z"))).alias("b")).collect()
-    for row in rows:
-        assert row["a"] == _dumped({"title": texts[row["i"]]})
-        assert row["b"] == _dumped({"tags": [texts[row["i"]], "z"]})
+    both = yamltext.entries(
+        {"title": F.col("s"), "note": F.lit(None).cast("string")}, {"tags": F.array("s", F.lit("z")), "none": F.lit(None).cast("array<string>")},
+        lambda line: F.concat_ws("\n", *line.values()),
+    )
+    for row in df.select("i", both.alias("text")).collect():
+        text = texts[row["i"]]
+        assert row["text"] == _dumped({"title": text, "note": None, "tags": [text, "z"], "none": []})
 
 
 def test_blocks_equal_those_of_the_python_writer(spark):

@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 import pytest
 from helpers import FixedScorer, message, messages, sources, taxonomy
 from pyspark.sql import functions as F
 
-from marginalia.operators import batches, enrich, incremental, keyed, notes, scoring
+from marginalia.operators import batches, enrich, incremental, keyed, notes, report, scoring
 from marginalia.sources import registry
 
 
@@ -211,23 +212,79 @@ def test_replies_of_a_wrong_type_are_repaired_or_errors(spark):
     assert got["kind"]["error"] == "Missing or invalid fields: content_type"
 
 
+class _Clock:
+    """A clock that a pause moves on."""
+
+    def __init__(self) -> None:
+        self.now, self.pauses = 0.0, []
+
+    def __call__(self) -> float:
+        return self.now
+
+    def pause(self, seconds: float) -> None:
+        self.pauses.append(seconds)
+        self.now += seconds
+
+
 def test_retry_waits_longer_and_gives_up():
-    waits, calls = [], []
+    clock, calls = _Clock(), []
 
     def limited(content, hint):
         calls.append(content)
         raise scoring.RateLimited("slow down")
 
-    with pytest.raises(scoring.RateLimited):
-        scoring.with_retry(limited, waits.append)("c", None)
-    assert (waits, len(calls)) == ([2.0, 4.0], 3)
+    assert scoring.Window(limited, clock=clock, pause=clock.pause).ask([("c", None)]) == [(None, "slow down")]
+    assert (clock.pauses, len(calls)) == ([2.0, 4.0], 3)
 
     def broken(content, hint):
-        raise ValueError("other")
+        calls.append(content)
+        raise ValueError("no")
+
+    calls.clear()
+    assert scoring.Window(broken, clock=clock, pause=clock.pause).ask([("c", None), (None, "h")]) == [(None, "no"), (None, None)]
+    assert calls == ["c"]
+
+
+def test_other_calls_go_on_while_a_limited_one_waits():
+    clock, calls = _Clock(), []
+
+    def analyze(content, hint):
+        calls.append(content)
+        if content == "limited" and calls.count("limited") < 3:
+            raise scoring.RateLimited("later")
+        if content == "bad":
+            raise ValueError("bad text")
+        return {"of": content}
+
+    rows = [("limited", None), ("a", None), ("bad", None), ("b", None)]
+    got = scoring.Window(analyze, clock=clock, pause=clock.pause).ask(rows)
+    assert got == [({"of": "limited"}, None), ({"of": "a"}, None), (None, "bad text"), ({"of": "b"}, None)]
+    assert calls == ["limited", "a", "bad", "b", "limited", "limited"] and sum(clock.pauses) == 6.0
+
+
+def test_calls_overlap_and_keep_their_order():
+    begun = time.monotonic()
 
-    with pytest.raises(ValueError):
-        scoring.with_retry(broken, waits.append)("c", None)
-    assert waits == [2.0, 4.0]
+    def slow(content, hint):
+        time.sleep(0.2 if content % 2 else 0.1)
+        return {"n": content}
+
+    got = scoring.Window(slow, in_flight=8).ask([(n, None) for n in range(16)])
+    assert [reply["n"] for reply, _ in got] == list(range(16))
+    # One after the other they would take 2.4 seconds.
+    assert time.monotonic() - begun < 1.6
+
+
+def test_calls_begin_at_the_rate_that_is_allowed():
+    clock = _Clock()
+    starts = []
+
+    def analyze(content, hint):
+        starts.append(clock.now)
+        return {}
+
+    scoring.Window(analyze, in_flight=2, per_second=4, clock=clock, pause=clock.pause).ask([("c", None)] * 8)
+    assert len(starts) == 8 and clock.now >= 6 / 4 - 1e-9
 
 
 def test_upsert_and_collisions(spark):
@@ -262,3 +319,32 @@ def test_registry_files(spark, tmp_path):
 
 def test_vocabulary_of_the_shared_fixture(spark):
     assert spark.range(1).select(registry.vocabulary(taxonomy(spark)).alias("v")).first()["v"] == ["ai/news", "func/teach"]
+
+
+def test_sender_names_are_found_by_one_gram(spark):
+    names = ["Ann Weekly", "ann", "An", "The Weekly Ann Report", "Bob", "xyz", "ΣΑΣ news", "A.B. Daily", "", "weekly weekly weekly"]
+    wanted = ["ann", "Weekly", "an", "a", "news", "Daily", "nothing of that", "report", "e w", "aily"]
+    mail = messages(spark, [message(k, f"{name} <u{k}@x.com>", "2026-03-08T10:00:00") for k, name in enumerate(names)])
+    registered = sources(spark, *((f"s{k}@y.com", f"S{k}", name) for k, name in enumerate(wanted)))
+    got = rows(incremental.match_senders(mail, registered), "message_id", "source")
+    assert got == sorted((f"m{k}", f"S{n}") for k, name in enumerate(names) for n, piece in enumerate(wanted) if piece.lower() in name.lower())
+
+
+def test_lookup_rows_grow_with_the_names_only(spark):
+    name = "abcdefghij" * 5
+    names = spark.createDataFrame([(name,)], "key string")
+    for count in (1, 30):
+        named = spark.createDataFrame([(f"S{k}", "abc" + "defghij"[: k % 7] ) for k in range(count)], "source string, _piece string")
+        assert incremental._named_lookup(names, named).count() == count
+    # Ten distinct grams of three characters; each sender name is looked up by one of them.
+    assert spark.range(1).select(F.size(incremental._grams(F.lit(name), 3)).alias("n")).first()["n"] == 10
+
+
+def test_messages_without_a_date_move_no_mark(spark):
+    df = spark.createDataFrame([("a", dt.datetime(1970, 1, 1)), ("b", dt.datetime(2026, 1, 1)), ("b", None)], "source string, internal_ts timestamp")
+    assert rows(incremental.new_marks(df, F.lit(True)), "source") == [("b",)]
+
+
+def test_errors_are_numbered_in_order(spark):
+    letters = spark.createDataFrame([("b", 2, "x"), ("a", None, "y"), ("a", 1, "z")], "source string, at int, message string")
+    assert rows(report.in_order(letters, ["source", "at"]), "position", "message") == [(1, "y"), (2, "z"), (3, "x")]

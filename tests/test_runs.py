@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import os
+import re
+from pathlib import Path
 
 import pytest
 from helpers import FixedScorer, message, messages, sources, taxonomy
 from pyspark.sql import functions as F
 
 from marginalia import schemas
-from marginalia.plans import inbox, newsletter, runs, twophase
+from marginalia.operators import incremental
+from marginalia.plans import inbox, moves, newsletter, purge, replay, runs, twophase
 from marginalia.settings import JobSettings
 from marginalia.sources import files, registry, state, vault
+from marginalia.sources.messages import land, read_landed
 from marginalia.streaming import intake
 
 NOW = "2026-03-10 12:00:00"
@@ -198,11 +203,151 @@ def test_missing_or_empty_inbox(spark, folder, tmp_path):
     assert (report["items_processed"], report["errors"]) == (0, 0)
 
 
-def test_remaining_files(spark, vault_folder):
-    files = vault.read_notes(spark, vault_folder)
-    assert files.count() == 5
-    done = files.filter(F.col("path").contains("stub")).select(F.col("path").alias("original_path"))
-    assert inbox.remaining(files, done).count() == 4
+def run_moving(spark, folder, box, root, run_id="r1"):
+    return inbox.run(
+        spark, vault.read_notes(spark, box), vault.read_pdfs(spark, box), None, taxonomy(spark), folder,
+        FixedScorer(), "prompt", NOW, run_id, JobSettings(), vault_root=root,
+    )
+
+
+def files_under(root) -> list[str]:
+    return sorted(str(path.relative_to(root)) for path in Path(root).rglob("*") if path.is_file() and not path.name.endswith(".crc"))
+
+
+LEFT = ["UPPER.MD", "boom.md", "broken.md", "done.md", "other.txt", "sub/deep.md"]
+MOVED = ["01 Notes/a plain+1%.md", "01 Notes/my.paper.md", "01 Notes/stub.md", "04 Assets/my.paper.pdf"]
+
+
+def test_processed_files_are_moved(spark, folder, vault_folder, tmp_path):
+    root = tmp_path / "vault"
+    result = run_moving(spark, folder, vault_folder, str(root))
+    assert files_under(vault_folder) == LEFT and files_under(root) == MOVED
+    rendered = {r["filename"]: r["rendered"] for r in result.notes.collect()}
+    for name in ("a plain+1%.md", "my.paper.md", "stub.md"):
+        assert (root / "01 Notes" / name).read_text(encoding="utf-8") == rendered[name]
+    assert (root / "04 Assets" / "my.paper.pdf").read_bytes() == b"fake pdf"
+    # The second run finds what failed, and nothing else.
+    again = run_moving(spark, folder, vault_folder, f"file://{root}", "r2")
+    assert again.report.first()["items_processed"] == 1 and files_under(root) == MOVED
+
+
+@pytest.mark.parametrize("step", ["intent", "copied", "committed", "removed"])
+def test_moves_go_on_after_a_crash(spark, folder, vault_folder, tmp_path, monkeypatch, step):
+    """The job dies before the named step is written; the next run finishes the move, once."""
+    root = tmp_path / "vault"
+    write = moves.materialise
+
+    def dying(df, path):
+        if path.endswith(f"/{step}"):
+            if step in ("copied", "removed"):
+                write(df, path + "-half")  # the tasks have done their work, but nobody wrote it down
+            raise KeyboardInterrupt
+        return write(df, path)
+
+    monkeypatch.setattr(moves, "materialise", dying)
+    with pytest.raises(KeyboardInterrupt):
+        run_moving(spark, folder, vault_folder, str(root))
+    monkeypatch.setattr(moves, "materialise", write)
+    run_moving(spark, folder, vault_folder, str(root), "r1" if step == "intent" else "r2")
+    assert files_under(vault_folder) == LEFT and files_under(root) == MOVED
+
+
+def test_edited_originals_stay(spark, folder, vault_folder, tmp_path, monkeypatch):
+    monkeypatch.setattr(inbox.moves, "finish", lambda *args: None)
+    run_moving(spark, folder, vault_folder, str(tmp_path / "vault"))
+    monkeypatch.undo()
+    Path(vault_folder, "stub.md").write_text("edited since")
+    gone = moves.finish(spark, folder, str(tmp_path / "vault"), "r1")
+    assert [r["path"].rsplit("/", 1)[1] for r in gone.filter("NOT removed").collect()] == ["stub.md"]
+    assert "stub.md" in files_under(vault_folder) and "my.paper.pdf" not in files_under(vault_folder)
+
+
+def test_dead_letters_are_replayed_until_they_succeed(spark, folder):
+    run_letters(spark, folder, "r1")
+    assert rows(replay.open_letters(spark, folder), "message_id", "attempt") == [("m2", 1)]
+    for run_id, tries in (("p1", 2), ("p2", 3)):
+        replay.replay(spark, folder, FixedScorer(), "prompt", NOW, run_id)
+        assert rows(replay.open_letters(spark, folder), "message_id", "attempt") == [("m2", tries)]
+    assert replay.replay(spark, folder, FixedScorer(), "prompt", NOW, "p3", most_attempts=3) is None
+
+    class Patient:
+        def open(self, system_prompt):
+            return lambda content, hint: FixedScorer().reply
+
+    before = rows(folder.sync_state(spark), "source", "last_sync")
+    result = replay.replay(spark, folder, Patient(), "prompt", NOW, "p4")
+    assert rows(result.report, "items_processed", "items_created", "errors") == [(1, 1, 0)]
+    assert replay.open_letters(spark, folder).isEmpty() and rows(folder.sync_state(spark), "source", "last_sync") == before
+    assert "Subject 2.md" in {r["filename"] for r in state.current_notes(spark, folder.path("notes")).collect()}
+    assert ("m2",) in rows(folder.labels(spark), "message_id")
+
+
+def test_labels_are_created_by_the_run(spark, folder):
+    run_letters(spark, folder, "r1")
+    first = rows(folder.label_names(spark), "label", "label_id")
+    assert [label for label, _ in first] == ["Newsletters"]
+    run_letters(spark, folder, "r2", newsletter_label="Letters")
+    assert set(first) < set(rows(folder.label_names(spark), "label", "label_id")) and folder.label_names(spark).count() == 2
+
+
+def test_a_source_that_could_not_be_fetched_is_an_error(spark, folder):
+    failures = spark.createDataFrame([("Bob", "timed out")], "source string, error string")
+    result = newsletter.run(spark, mail(spark), registered(spark), folder, FixedScorer(), "prompt", NOW, "r1", fetch_failures=failures)
+    assert rows(result.report, "items_processed", "items_created", "errors") == [(5, 4, 2)]
+    stored = spark.read.parquet(folder.path("dead_letters")).filter("stage = 'fetch'")
+    assert rows(stored, "source", "message") == [("Bob", "Gmail fetch failed for Bob: timed out")]
+
+
+def test_purge_keeps_what_is_still_needed(spark, folder):
+    run_letters(spark, folder, "r1")
+    items = letters(spark, folder)
+    for batch_id, now in (("b1", "2026-01-01 00:00:00"), ("b2", NOW)):
+        twophase.submit(items, folder, "newsletters", batch_id, now)
+    for path in Path(folder.root).rglob("*=*"):
+        os.utime(path, (0, 0))
+    # r1 has an open dead letter, b2 waits; b1 is over.
+    assert [path.rsplit("/", 1)[1] for path in purge.purge(spark, folder, NOW)] == ["batch_id=b1", "batch=b1"]
+
+    class Patient:
+        def open(self, system_prompt):
+            return lambda content, hint: FixedScorer().reply
+
+    replay.replay(spark, folder, Patient(), "prompt", NOW, "p1")
+    for path in Path(folder.root).rglob("*=*"):
+        os.utime(path, (0, 0))
+    assert [path.rsplit("/", 1)[1] for path in purge.purge(spark, folder, NOW)] == ["run_id=p1", "run_id=r1"]
+    assert purge.purge(spark, folder, NOW) == []
+
+
+def test_broken_pending_entries_are_set_aside(spark, folder):
+    at = dt.datetime(2026, 3, 1)
+    entries = spark.createDataFrame([("b1", "inbox", at, at), (None, "inbox", at, at), ("b3", "inbox", at, None)], schemas.PENDING_BATCH)
+    state.write_snapshot(entries, folder.path("pending_batches"))
+    assert rows(folder.pending_batches(spark), "batch_id") == [("b1",)]
+    assert sorted(r["problem"] for r in folder.broken_batches(spark).collect()) == ["missing: batch_id", "missing: expires_at"]
+
+
+def test_landed_messages_are_read_by_source(spark, folder, tmp_path):
+    path = str(tmp_path / "landed")
+    many = [message(100 + k, f"Other <o{k}@z.com>", f"2026-03-0{1 + k % 9}T08:00:00") for k in range(40)]
+    landed_mail = mail(spark).unionByName(messages(spark, many))
+    land(landed_mail.filter("message_id <= 'm3'"), path)
+    land(landed_mail.filter("message_id > 'm3'"), path)
+    table = read_landed(spark, path)
+    plain = newsletter.new_items(landed_mail, registered(spark), folder.sync_state(spark), NOW, JobSettings())
+    pruned = newsletter.new_items(table, registered(spark), folder.sync_state(spark), NOW, JobSettings())
+    assert rows(pruned, "item_id", "content") == rows(plain, "item_id", "content") and plain.count() == 5
+    # A stale source widens the scan of its own part of the days only.
+    stale = spark.createDataFrame([("Ann News", dt.datetime(2025, 1, 1)), ("Fresh", dt.datetime(2026, 3, 9))], schemas.SYNC_STATE)
+    both = sources(spark, ("ann@x.com", "Ann News", None), ("o1@z.com", "Fresh", None))
+    cutoffs = incremental.source_cutoffs(both.select("name"), stale, runs.run_time(NOW))
+    slices = {r["slice"] for r in incremental.wanted_slices(both, cutoffs, runs.run_time(NOW)).collect()}
+    days = {}
+    for name in slices:
+        days.setdefault(name.rsplit("_", 1)[1], set()).add(name[:8])
+    assert sorted(map(len, days.values())) == [3, 435]
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*dynamicpruning[^\]]*slice", plan)
 
 
 def results_for(spark, requests, types, seq=1):
@@ -294,7 +439,8 @@ def test_vault_files(spark, folder, vault_folder, tmp_path):
     for _ in range(2):
         assert sum(r["files"] for r in files.write_notes(notes, f"file://{root}").collect()) == 3
     assert "![[my.paper.pdf]]" in (root / "01 Notes" / "my.paper.md").read_text(encoding="utf-8")
-    files.copy_assets(vault.read_pdfs(spark, vault_folder), "04 Assets", f"file://{root}").collect()
+    pdfs = vault.read_pdfs(spark, vault_folder).select(F.lit("04 Assets").alias("folder"), vault.file_name(F.col("path")).alias("filename"), "content")
+    files.write_files(pdfs, f"file://{root}", F.col("content")).collect()
     assert (root / "04 Assets" / "my.paper.pdf").read_bytes() == b"fake pdf"
     # What was written can be read back as notes that are done.
     again = vault.parse_notes(vault.read_notes(spark, str(root / "01 Notes")))

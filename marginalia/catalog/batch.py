@@ -209,21 +209,21 @@ def run_report(spark: SparkSession, folder: str) -> DataFrame:
     "run_errors",
     f"""WITH {SCORED},
     letters AS (
-      SELECT 0 AS run, source, internal_ts::TIMESTAMP AS at, message_id AS id, '[' || source || '] ' || title || ': ' || error AS message
+      SELECT 0 AS run, source, internal_ts::TIMESTAMP AS moment, message_id AS id, '[' || source || '] ' || title || ': ' || error AS message
       FROM scored WHERE error IS NOT NULL
       UNION ALL
       SELECT 1, '', NULL, batch_id || '/' || custom_id, coalesce(title, '') || ': ' || error
       FROM (WITH {BATCHES} SELECT * FROM reconciled) WHERE error IS NOT NULL)
-    SELECT row_number() OVER (ORDER BY run, source, at NULLS FIRST, id) AS position, message FROM letters""",
+    SELECT row_number() OVER (ORDER BY run, source, moment NULLS FIRST, id) AS position, message FROM letters""",
 )
 def run_errors(spark: SparkSession, folder: str) -> DataFrame:
     """Every error of two runs as a row, in the order of their processing; nothing is gathered into one list."""
     own = scored_messages(spark, folder).withColumn("id", F.col("message_id"))
-    letters = report.dead_letters(own, F.lit("score"), "newsletters", ["source", F.col("internal_ts").cast("timestamp").alias("at"), "id"])
+    letters = report.dead_letters(own, F.lit("score"), "newsletters", ["source", F.col("internal_ts").cast("timestamp").alias("moment"), "id"])
     late = reconciled(spark, folder).withColumn("id", F.concat_ws("/", "batch_id", "custom_id"))
-    inbox = report.dead_letters(late, F.lit("reconcile"), "inbox", [F.lit("").alias("source"), F.lit(None).cast("timestamp").alias("at"), "id"])
+    inbox = report.dead_letters(late, F.lit("reconcile"), "inbox", [F.lit("").alias("source"), F.lit(None).cast("timestamp").alias("moment"), "id"])
     both = letters.withColumn("run", F.lit(0)).unionByName(inbox.withColumn("run", F.lit(1)))
-    return report.in_order(both, ["run", "source", "at", "id"]).select("position", "message")
+    return report.in_order(both, ["run", "source", "moment", "id"]).select("position", "message")
 
 
 @query(

@@ -90,7 +90,8 @@ def stream_answers(spark: SparkSession, folder: str) -> DataFrame:
     tick = spark.range(1).select((F.lit(clock) + F.expr("INTERVAL 1 SECOND")).alias("at"))
     streams = []
     for name, rows, time in (("requests", asked, "submitted_at"), ("results", given, "answered_at")):
-        ticks = tick.select(*(F.col("at").alias(c) if c == time else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns))
+        own = {time: F.col("at"), "batch_id": F.lit(answers.TICK), "custom_id": F.lit(answers.TICK)}
+        ticks = tick.select(*(own.get(c, F.lit(None)).cast(rows.schema[c].dataType).alias(c) for c in rows.columns))
         rows.unionByName(ticks).write.parquet(f"{root}/{name}")
         streams.append(intake.message_stream(spark, f"{root}/{name}", rows.schema))
     writer = answers.answered(*streams).writeStream.option("checkpointLocation", f"{root}/checkpoint")

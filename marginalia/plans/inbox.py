@@ -140,8 +140,8 @@ def commit(
 
 def run(
     spark: SparkSession,
-    notes_files: DataFrame,
-    pdf_files: DataFrame,
+    notes_files: DataFrame | str,
+    pdf_files: DataFrame | str,
     pages: DataFrame | None,
     taxonomy: DataFrame,
     folder: StateFolder,
@@ -154,12 +154,17 @@ def run(
     vault_root: str | None = None,
 ) -> RunResult:
     """One run over the inbox. With ``vault_root`` notes and assets are written there as files and their
-    originals removed; what an earlier run left of that is finished first."""
+    originals removed; what an earlier run left of that is finished first. Give the inbox as its path
+    then, so that it is listed after that."""
     from marginalia.sources.registry import vocabulary
 
     moving = write and vault_root is not None
     if moving:
         moves.finish_all(spark, folder, vault_root)
+    if isinstance(notes_files, str):
+        notes_files = vault.read_notes(spark, notes_files)
+    if isinstance(pdf_files, str):
+        pdf_files = vault.read_pdfs(spark, pdf_files)
     notes_files, pdfs = (without_done(files, folder, run_id) for files in (notes_files, pdf_files))
     items, quarantined = inbox_items(notes_files, pdfs, pages, settings)
     scored = scoring.score(items, scorer, system_prompt, limit=settings.prompt_max_chars, in_flight=settings.in_flight, per_second=settings.per_second).withColumn("stage", F.lit("score"))

@@ -204,10 +204,7 @@ def test_missing_or_empty_inbox(spark, folder, tmp_path):
 
 
 def run_moving(spark, folder, box, root, run_id="r1"):
-    return inbox.run(
-        spark, vault.read_notes(spark, box), vault.read_pdfs(spark, box), None, taxonomy(spark), folder,
-        FixedScorer(), "prompt", NOW, run_id, JobSettings(), vault_root=root,
-    )
+    return inbox.run(spark, box, box, None, taxonomy(spark), folder, FixedScorer(), "prompt", NOW, run_id, JobSettings(), vault_root=root)
 
 
 def files_under(root) -> list[str]:

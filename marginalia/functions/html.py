@@ -119,6 +119,10 @@ def _guarded(convert, page: str | None) -> str | None:
         return None
 
 
+# Row by row: a worker holds the hundred pages that Spark sends at a time, not thousands in one Arrow batch.
+_per_page = F.udf(returnType=T.StringType(), useArrow=False)
+
+
 @once
 @F.pandas_udf(T.StringType())
 def page_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -127,21 +131,16 @@ def page_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 @once
-@F.pandas_udf(T.StringType())
-def page_markdown(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in pages:
-        yield batch.map(lambda page: _guarded(lambda p: main_text(p, True), page), na_action="ignore")
+@_per_page
+def page_markdown(page: str | None) -> str | None:
+    return _guarded(lambda p: main_text(p, True), page)
 
 
 @once
-@F.pandas_udf(T.StringType())
-def mail_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@_per_page
+def mail_text(page: str | None) -> str | None:
     """Body text of an HTML mail; the whole mail as Markdown when no body is found."""
-    for batch in pages:
-        yield batch.map(
-            lambda page: _guarded(main_text, page) or _guarded(plain_markdown, page),
-            na_action="ignore",
-        )
+    return _guarded(main_text, page) or _guarded(plain_markdown, page)
 
 
 # One pass over the page finds these; values are looked for in them only.

@@ -93,3 +93,10 @@ def test_library_does_not_gather_rows_on_the_driver():
 @pytest.mark.parametrize("name", ["unprocessed_notes", "inbox_scan", "parse_notes"])
 def test_headers_are_parsed_once(spark, name):
     assert plan(spark, name).count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize("name", ["page_markdown", "page_articles", "service_messages"])
+def test_pages_go_to_python_in_small_groups(spark, name):
+    text = plan(spark, name)
+    # An Arrow batch would hold thousands of whole pages in each worker.
+    assert "BatchEvalPython" in text and "ArrowEvalPython" not in text

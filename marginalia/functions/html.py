@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 from marginalia.functions.charrefs import unescape
@@ -124,10 +122,9 @@ _per_page = F.udf(returnType=T.StringType(), useArrow=False)
 
 
 @once
-@F.pandas_udf(T.StringType())
-def page_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in pages:
-        yield batch.map(lambda page: _guarded(main_text, page), na_action="ignore")
+@_per_page
+def page_text(page: str | None) -> str | None:
+    return _guarded(main_text, page)
 
 
 @once

@@ -95,7 +95,7 @@ def test_headers_are_parsed_once(spark, name):
     assert plan(spark, name).count("ArrowEvalPython") == 1
 
 
-@pytest.mark.parametrize("name", ["page_markdown", "page_articles", "service_messages"])
+@pytest.mark.parametrize("name", ["page_text", "page_markdown", "page_articles", "service_messages"])
 def test_pages_go_to_python_in_small_groups(spark, name):
     text = plan(spark, name)
     # An Arrow batch would hold thousands of whole pages in each worker.

@@ -18,6 +18,11 @@ def fresh_messages(spark: SparkSession, folder: str) -> DataFrame:
     return incremental.new_messages(inputs.messages(spark, folder), inputs.cutoffs(bounds))
 
 
+def _base64url(content: F.Column) -> F.Column:
+    coded = F.base64(F.encode(content, "UTF-8"))
+    return F.replace(F.replace(coded, F.lit("+"), F.lit("-")), F.lit("/"), F.lit("_"))
+
+
 @query(
     "incremental_messages",
     f"WITH {NEW_MESSAGES} SELECT message_id, source, internal_ts FROM fresh",
@@ -102,7 +107,7 @@ def top_k_per_source(spark: SparkSession, folder: str) -> DataFrame:
 )
 def message_items(spark: SparkSession, folder: str) -> DataFrame:
     """Raw messages (headers, epoch milliseconds, base64url body, some of them cut) → items."""
-    body = F.translate(F.base64(F.encode(text_of("  value ", F.col("event_id"), "\n"), "UTF-8")), "+/", "-_")
+    body = _base64url(text_of("  value ", F.col("event_id"), "\n"))
     body = F.when(F.col("event_id") % 11 == 5, "A").otherwise(body)
     part = F.struct(F.lit("text/plain").alias("mimeType"), F.struct(body.alias("data")).alias("body"))
 
@@ -134,8 +139,9 @@ def message_items(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-# Words that HTML shows as they are.
-_MAIL_WORD = r"[^\x00-\x20<>&\x7f-\x{a0}\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{3000}\x{feff}]+"
+# What ends a word that HTML shows as it is.
+_MAIL_GAP = r"\x00-\x20<>&\x7f-\x{a0}\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{3000}\x{feff}"
+_MAIL_WORD = f"[^{_MAIL_GAP}]+"
 
 
 @query(
@@ -147,11 +153,8 @@ def mime_bodies(spark: SparkSession, folder: str) -> DataFrame:
     """Document text and page HTML as nested multipart mails, read back part by part."""
     from marginalia.functions import mime
 
-    def encoded(column: str) -> F.Column:
-        return F.translate(F.base64(F.encode(column, "UTF-8")), "+/", "-_")
-
     def part(kind: str, column: str) -> F.Column:
-        return F.struct(F.lit(kind).alias("mimeType"), F.struct(encoded(column).alias("data")).alias("body"))
+        return F.struct(F.lit(kind).alias("mimeType"), F.struct(_base64url(F.col(column)).alias("data")).alias("body"))
 
     pages = inputs.table(spark, folder, "pages").select(F.col("page_id").alias("doc_id"), "html")
     docs = inputs.table(spark, folder, "documents", "doc_id", "text").join(pages, "doc_id", "left")
@@ -182,12 +185,12 @@ def mime_bodies(spark: SparkSession, folder: str) -> DataFrame:
 def service_messages(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as mails in the service's own JSON, half of them HTML, three levels down, → items."""
     docs = inputs.table(spark, folder, "documents", "doc_id", "source", "text")
-    words = F.array_join(F.regexp_extract_all("text", F.lit(f"({_MAIL_WORD})"), 1), " ")
+    # Gaps are replaced: taking words out one by one copies the whole text for each.
+    words = F.trim(F.regexp_replace("text", f"[{_MAIL_GAP}]+", " "))
     page = F.concat(F.lit("<html><head><style>p {}</style></head><body><nav>Home</nav><article><p>"), words, F.lit("</p></article></body></html>"))
 
     def part(kind: str, body: F.Column) -> F.Column:
-        data = F.translate(F.base64(F.encode(body, "UTF-8")), "+/", "-_")
-        return F.struct(F.lit(kind).alias("mimeType"), F.struct(data.alias("data")).alias("body"))
+        return F.struct(F.lit(kind).alias("mimeType"), F.struct(_base64url(body).alias("data")).alias("body"))
 
     def within(kind: str, *parts: F.Column) -> F.Column:
         return F.struct(F.lit(kind).alias("mimeType"), F.array(*parts).alias("parts"))

@@ -55,7 +55,8 @@ def walk(payload: Column) -> Column:
         def chosen(known: Column) -> Column:
             return F.struct(known["html"]["data"].alias("html"), known["plain"]["data"].alias("plain"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.regexp_count(payload, F.lit(r"\["))), begin, deeper, chosen)
+        brackets = F.octet_length(payload) - F.octet_length(F.replace(payload, F.lit("["), F.lit("")))
+        return F.aggregate(F.sequence(F.lit(0), brackets), begin, deeper, chosen)
 
     is_object = F.startswith(F.ltrim(payload, F.lit(" \t\r\n")), F.lit("{"))
     return let(F.when(is_object, F.try_parse_json(payload)), lambda root: F.when(root.isNotNull(), walked(root)))
@@ -65,10 +66,13 @@ def decode_part(data: Column) -> Column:
     """base64url → text; null for data that cannot be decoded.
 
     Characters outside the alphabet are ignored, padding may lack, and bytes that are no
-    UTF-8 become U+FFFD.
+    UTF-8 become U+FFFD. Well-formed data, in lines or not, is decoded as it is; only other
+    data is searched for such characters.
     """
-    plain = F.regexp_replace(F.translate(data, "-_", "+/"), "[^A-Za-z0-9+/]", "")
-    return F.make_valid_utf8(F.try_to_binary(plain, F.lit("base64")).cast("string"))
+    kind = F.lit("base64")
+    usual = F.replace(F.replace(data, F.lit("-"), F.lit("+")), F.lit("_"), F.lit("/"))
+    cleaned = F.regexp_replace(usual, "[^A-Za-z0-9+/]", "")
+    return F.make_valid_utf8(F.coalesce(F.try_to_binary(usual, kind), F.try_to_binary(cleaned, kind)).cast("string"))
 
 
 def header(headers: Column, name: str) -> Column:

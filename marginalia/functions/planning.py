@@ -25,3 +25,8 @@ def once(python_function):
     not moved below such a call either, so jobs filter before they parse.
     """
     return python_function.asNondeterministic()
+
+
+def pinned(value: Column) -> Column:
+    """The value, marked like ``once`` without Python: filters on it are not moved below its projection."""
+    return F.when(F.spark_partition_id() >= 0, value)

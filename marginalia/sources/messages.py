@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marginalia import schemas
 from marginalia.functions import dates, html, mime, text
+from marginalia.functions.planning import pinned
 from marginalia.operators import incremental
 
 
@@ -35,7 +36,8 @@ def from_service(lines: DataFrame) -> DataFrame:
     """``value``: a message in the service's own layout (id, threadId, internalDate as text, the headers
     inside payload) → a row of ``schemas.MESSAGE``. A line that is no such object gives an empty row,
     which becomes a dead letter."""
-    read = lines.select(F.try_parse_json("value").alias("_m"))
+    # A join by message_id brings a filter on it, which would parse every line once more.
+    read = lines.select(pinned(F.try_parse_json("value")).alias("_m"))
 
     def entry(path: str, kind: str) -> Column:
         return F.try_variant_get("_m", path, kind)

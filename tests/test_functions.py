@@ -392,6 +392,12 @@ def test_bodies_that_cannot_be_decoded_are_null(each):
     assert each(mime.decode_part, data) == [None, "hi", "hi", "hi", "é", "\ufffd\ufffd", ""]
 
 
+def test_decoding_ignores_what_is_not_of_the_alphabet(each):
+    # In lines, padded within, with other characters, too short in spite of padding, padded in excess.
+    data = ["aGVs\r\nbG8=\r\n", "QQ==QQ==", "a*G\u20acVs bG8", "a\u2028G\u00a0k=", "QQ=", "Q===", "-_-_", "==", None]
+    assert each(mime.decode_part, data) == ["hello", "A\x04\x10", "hello", "hi", "A", None, "\ufffd\ufffd\ufffd", "", None]
+
+
 def test_metadata_keeps_the_other_kind_of_quotes_and_resolves_references(each):
     pages = [
         """<meta name="author" content="Tim O'Hare">""",

@@ -100,3 +100,10 @@ def test_pages_go_to_python_in_small_groups(spark, name):
     text = plan(spark, name)
     # An Arrow batch would hold thousands of whole pages in each worker.
     assert "BatchEvalPython" in text and "ArrowEvalPython" not in text
+
+
+def test_mails_are_parsed_once_and_not_searched_character_by_character(spark):
+    text = plan(spark, "service_messages")
+    # The join by message_id filters on it; that must not parse every line again.
+    assert text.count("parseJson(invoke(StructsToJsonEvaluator") == 1
+    assert "regexp_extract_all" not in text
